@@ -24,8 +24,8 @@ from panelforge.llm.common import documents, map_arrow
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Above this many bytes a word's smallest rank comes from a heap instead of a scan.
 HEAP_FROM = 128
-#: Distinct words kept per task.
-CACHE_WORDS = 200_000
+#: Distinct words, and runs of words, kept per worker; about 100 MB in all.
+CACHE_WORDS, CACHE_RUNS = 300_000, 300_000
 NEVER = 1 << 60
 
 
@@ -59,6 +59,7 @@ class Bpe:
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.find = regex.compile(WORDS).findall
         self.words: dict[str, str] = {}
+        self.older: dict[str, str] = {}
         self.runs: dict[str, str] = {}
         self.decoded: dict[str, bytes] = {}
 
@@ -109,8 +110,10 @@ class Bpe:
 
     def pieces(self, text: str) -> list[str]:
         """The words of ``text`` as comma-joined ids, in order; a piece may hold several words."""
-        for known in (self.words, self.runs, self.decoded):
-            if len(known) > CACHE_WORDS:
+        if len(self.words) > CACHE_WORDS:
+            self.older, self.words = self.words, {}
+        for known in (self.runs, self.decoded):
+            if len(known) > CACHE_RUNS:
                 known.clear()
         out: list[str] = []
         at = 0
@@ -141,7 +144,7 @@ class Bpe:
     def _word(self, word: str) -> str:
         ids = self.words.get(word)
         if ids is None:
-            ids = self.words[word] = ",".join(map(str, self.word(word.encode())))
+            ids = self.words[word] = self.older.get(word) or ",".join(map(str, self.word(word.encode())))
         return ids
 
     def encode(self, text: str) -> list[int]:

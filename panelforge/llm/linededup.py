@@ -93,9 +93,8 @@ def dropped_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", b
             told = seen.withColumn("_old", F.lit(None).cast("long"))
         else:
             told = seen.join(known.withColumnRenamed("_first", "_old"), HASH, "left")
-        last = b == len(set(cuts))
-        if not last:
-            told = staged(told, "batch")
+        told = staged(told, "batch")  # so that the join below shuffles both sides and a hot line can be split
+        if b < len(set(cuts)):
             runs.add(told.where(F.col("_old").isNull()).select(*HASH, F.col("_min").alias("_first")))
         first = told.select(*HASH, F.coalesce("_old", "_min").alias("_first"), "_max").where(F.col("_max") > F.col("_first"))
         hit = own.join(first.select(*HASH, "_first"), HASH).where(F.col("_id") > F.col("_first")).select("_id", "_row", "_pos")
