@@ -97,7 +97,8 @@ def balanced_shards(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     rows = staged(rows, "sized")
     stats = rows.agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.max("size").alias("m")).first()
     n, mean, digits = stats["n"], (stats["b"] or 0) / shards, hash_digits(stats["n"])
-    multi = rows.groupBy("grp").agg(F.count("*").alias("members")).where(F.col("members") > 1).select("grp")
+    # written before the join, so that both its sides are shuffled for it and a hot group can be split
+    multi = staged(rows.groupBy("grp").agg(F.count("*").alias("members")).where(F.col("members") > 1).select("grp"), "groups")
     first = F.pmod(F.conv(F.substring("h", 1, 12), 16, 10).cast("long"), F.lit(shards)).cast("int")
     tagged = rows.join(multi.withColumn("linked", F.lit(True)), "grp", "left")
     tagged = staged(tagged.withColumn("shard", F.when(F.col("linked"), first)), "tagged")
