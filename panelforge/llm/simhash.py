@@ -27,7 +27,7 @@ from panelforge.llm.common import bounded_batches, documents, map_arrow, staged
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED, BITS = 42, 64
-BLOCK = 2048
+BLOCK = 8192
 #: Shingles hashed at once.
 STRIP = 1 << 18
 #: The production parameters of the query.
