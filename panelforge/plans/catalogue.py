@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelforge.plans import match_queries, ml_queries, panel_queries
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {**panel_queries.QUERIES, **match_queries.QUERIES, **ml_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {**panel_queries.SQL, **match_queries.SQL, **ml_queries.SQL}
