@@ -79,13 +79,16 @@ def dropped_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", b
     """(_id, _row, _drop): for each document that loses lines, their positions from 0."""
     spark = docs.sparkSession
     lines = keyed_lines(docs, text, id_col)
-    cuts = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("double").alias("x")).approxQuantile("x", [k / batches for k in range(1, batches)], 0.01)
+    cuts: list[float] = []
+    if batches > 1:
+        ids = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).cast("double").alias("x"))
+        cuts = sorted(set(ids.approxQuantile("x", [k / batches for k in range(1, batches)], 0.01)))
     batch = F.lit(0)
-    for c in sorted(set(cuts)):
+    for c in cuts:
         batch = batch + (F.col("_id").cast("double") > F.lit(c)).cast("int")
     lines = staged(lines.withColumn("_batch", batch), "lines")
     runs, out = LineRuns(spark), None
-    for b in range(len(set(cuts)) + 1):
+    for b in range(len(cuts) + 1):
         own = lines.where(F.col("_batch") == b)
         seen = own.groupBy(*HASH).agg(F.min("_id").alias("_min"), F.max("_id").alias("_max"))
         known = runs.known()
@@ -94,7 +97,7 @@ def dropped_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", b
         else:
             told = seen.join(known.withColumnRenamed("_first", "_old"), HASH, "left")
         told = staged(told, "batch")  # so that the join below shuffles both sides and a hot line can be split
-        if b < len(set(cuts)):
+        if b < len(cuts):
             runs.add(told.where(F.col("_old").isNull()).select(*HASH, F.col("_min").alias("_first")))
         first = told.select(*HASH, F.coalesce("_old", "_min").alias("_first"), "_max").where(F.col("_max") > F.col("_first"))
         hit = own.join(first.select(*HASH, "_first"), HASH).where(F.col("_id") > F.col("_first")).select("_id", "_row", "_pos")

@@ -1,0 +1,311 @@
+"""Corpus operators against brute force, held-out truth, round trips and odd inputs."""
+
+import base64
+import collections
+import hashlib
+import json
+import os
+import random
+import sys
+import zlib
+from pathlib import Path
+
+import numpy as np
+import pytest
+
+sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+import compare  # noqa: E402
+
+from panelforge.llm import avi, bpe, licenses, linededup, mixing, neighbours, quality, secrets, sharding, simhash  # noqa: E402
+from panelforge.llm import queries as Q  # noqa: E402
+from tests.llm import brute  # noqa: E402
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, h string, bucket string, label long, fp long, kept string, domain string, copies long, `_id` long, `_row` long, score double"
+LONG = "Lorem ipsum dolor " * 20_000
+ODD = [
+    (1, "", "en", "src1"), (1, "", "en", "src1"), (2, None, None, None), (None, "a line that is long enough\nshort", "en", "src1"), (3, LONG, "en", "src1"), (4, LONG, "de", "src2"),
+    (5, "A Line That Is Long Enough \nshort\n\n", "en", "src9"), (6, "a line that is long enough", "en", "odd"), (6, "a line that is long enough", "en", "odd"), (7, "\n\n", "", ""), (8, "é" * 50 + "\nÉÉÉÉÉÉÉÉÉÉÉÉ", "fr", "src1"), (9, "éé éé " * 9, "fr", "src1"),
+]
+ODD = [(*r, None, 1, 2, "h", "b", 3, 4, "k", "d", 5, 6, 7, 0.5) for r in ODD]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(ODD, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+def test_sql(spark, name):
+    folder = "/root/testdata/sf0.01"
+    assert compare.differences(Q.queries()[name](spark, folder), compare.database(folder), Q.oracle_sql()[name]) is None
+
+
+def test_all_on_empty(spark, none):
+    model = quality.Model(b" ", b" ", 1.0, 0.0)
+    for made in (mixing.mix(none), mixing.mixed_rows(none), sharding.balanced_shards(none), avi.avi_features(none), licenses.license_scan(none), secrets.secret_scan(none), quality.quality_scores(none, model), quality.keep_good(none, model), bpe.bpe_encode(none, bpe.default_vocab()), linededup.dedup_lines(none), simhash.near_duplicates(none)):
+        assert made.count() == 0
+
+
+def test_mixture_brute(odd):
+    dom = lambda s: {0: "web", 1: "news", 2: "books", 3: "forum"}.get(int(s[3:]) // 5, "other") if s and s[:3] == "src" and s[3:].isdigit() else "other"
+    for budget in (0.1, 0.6, 5.0):
+        got = sorted((r["doc"]["doc_id"] or -1, r["copies"], r["tail_tokens"]) for r in mixing.mix(odd, budget=budget).collect())
+        want = sorted((d[0] or -1, c, t) for d, c, t in brute.mixture([r[:4] for r in ODD], mixing.WEIGHTS, budget, mixing.MAX_EPOCHS, mixing.SEED, dom))
+        assert got == want
+    rows = mixing.mixed_rows(odd, budget=5.0)
+    assert rows.columns == odd.columns and rows.count() == sum(c + (t > 0) for _, c, t in got)
+
+
+def test_shortage_goes_to_siblings_first(spark):
+    leaves = spark.createDataFrame([("a", "en", "x", 10, 1), ("a", "en", "y", 1000, 1), ("b", "en", "z", 1000, 1)], "domain string, lang string, source string, tokens long, n long")
+    got = {r["source"]: r["target"] for r in mixing.leaf_budgets(leaves, {}, 400 / 2010, 1).collect()}
+    assert got == {"x": 10, "y": 190, "z": 200}
+
+
+def test_shards(spark, odd):
+    rows = sharding.op2_shards(spark, "/root/testdata/sf0.01").toPandas()
+    assert sorted(rows.shard.unique()) == list(range(40)) and set(rows.law) == {"bytes"}
+    assert all(sorted(g) == list(range(len(g))) for _, g in rows.groupby("shard").slot)
+    size = rows.groupby("shard")["size"].sum()
+    assert size.max() < 1.06 * size.mean() and size.min() > 0.94 * size.mean()
+    assert (rows.groupby(["text_crc32", "size"]).shard.nunique() == 1).all()
+    got = sharding.balanced_shards(odd, shards=3).toPandas()
+    assert len(got) == len(ODD) and all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard").slot)
+
+
+def test_shards_hot_group(spark):
+    """A group larger than a shard fills shards; others stay whole."""
+    rows = [(k, "same text here") for k in range(900)] + [(1000 + k, f"text {k // 2} of a pair, and more words") for k in range(600)] + [(5000 + k, f"alone {k} " * 9) for k in range(900)]
+    got = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).toPandas()
+    size = got.groupby("shard")["size"].sum()
+    assert size.max() < 1.02 * size.mean()
+    pairs = got[(got.doc_id >= 1000) & (got.doc_id < 5000)]
+    assert (pairs.groupby((pairs.doc_id - 1000) // 2).shard.nunique() == 1).mean() > 0.9
+    assert got[got.doc_id < 900].shard.nunique() <= 4
+
+
+def test_avi_round_trip(docs, odd):
+    rng = random.Random(3)
+    for data in (b"", b"x" * 191, bytes(range(256)) * 3, rng.randbytes(192 * 9)):
+        p = avi.padded(data)
+        v = avi.read_avi(avi.encode_bytes(p))
+        assert len(p) % 192 == 0 and p and avi.decode_frames(v.frames).tobytes()[: v.length] == p
+    f = avi.encode_frames(np.frombuffer(rng.randbytes(192), np.uint8))[0]
+    head = avi.frame_head(f[: len(avi.HEAD)])
+    slow = avi._any_table(head, f[head.at : -2].replace(b"\xff\0", b"\xff"))
+    assert (np.cumsum(slow.reshape(12, 16)[:, 1:], axis=1, dtype=np.uint8) + avi.decode_frames([f]).reshape(12, 16)[:, :1] == avi.decode_frames([f]).reshape(12, 16)[:, 1:]).all()
+    with pytest.raises(ValueError):
+        avi.read_avi(b"RIFF\x04\0\0\0WAVE")
+    texts = collections.defaultdict(list)
+    for r in docs.collect():
+        texts[r["doc_id"]] = r["text"]
+    for r in avi.avi_features(docs).collect():
+        p = avi.padded(texts[r["doc_id"]].encode())
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(texts[r["doc_id"]].encode()), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]))
+    rows = avi.avi_features(odd).collect()
+    assert len(rows) == len(ODD) and len({(r["media_sha256"], r["feature"]) for r in rows if not r["n_bytes"]}) == 1
+
+
+def test_avi_shots(spark):
+    dark, bright = bytes([10]) * 192, bytes([240]) * 192
+    film = avi.encode_bytes(dark * 10 + bright * 15)
+    rows = avi.avi_clips(spark.createDataFrame([(1, bytearray(film)), (2, None)], "doc_id long, content binary")).collect()
+    assert [(r["clip"], r["start_s"], r["end_s"], r["frames"]) for r in rows] == [(0, 0.0, 0.4, 10), (1, 0.4, 1.0, 15)]
+    assert avi.avi_encode(spark.createDataFrame([(1, "abc")], "doc_id long, text string")).first()["content"] == avi.encode_bytes(avi.padded(b"abc"))
+
+
+def test_licenses(docs, odd):
+    assert len(licenses.RULES) >= 300
+    for table in (docs, odd):
+        texts = collections.defaultdict(set)
+        for r in table.collect():
+            texts[r["doc_id"]].add(r["text"])
+        for r in licenses.license_scan(table).collect():
+            n, found = brute.phrases(next(iter(texts[r["doc_id"]])))
+            assert (r["n_words"], r["n_base"]) == (n, len(found))
+            assert (r["first_word"], r["last_word"]) == ((found[0][0], found[-1][0]) if found else (None, None))
+            assert r["base_labels"] == ",".join(sorted({x for _, x in found})) and set(r["base_labels"].split(",")) - {""} <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
+    scan = lambda t: licenses._row(t.encode().translate(licenses.LOWER))[5]
+    assert scan("SPDX-License-Identifier: Apache-2.0") == "apache-2.0"
+    assert scan("GNU Lesser General Public License version 2.1") == "gpl,lgpl-2.1"
+    assert scan("Licensed under CC BY-NC 4.0.") == "cc-by-nc" and scan("Released under the MIT License.") == "mit"
+    assert scan("We admit licensees to the museum.") == ""
+    found = licenses.scan(b"licensed under the apache license, version 2.0 (the license)")
+    assert [f.label for f in found] == ["apache-2.0"]
+
+
+def der(tag, body):
+    n = len(body)
+    return bytes([tag]) + (bytes([n]) if n < 128 else bytes([0x82]) + n.to_bytes(2, "big")) + body
+
+
+def test_secrets(docs):
+    for r in docs.limit(200).collect():
+        text = r["text"]
+        assert secrets.shown(secrets.base_spans(text, text.lower())) == brute.secrets(text)
+    for text in ("token=secret=abcdefgh12", "password:token: abcdefghij", "API_KEY = 'x.y_z-0123'", "AKIA" + "A" * 11, "AKIA" + "B" * 12 + "c", "f" * 31 + "g" + "0" * 32, "PASSWORD\"=\"é", "ſecret=abcdefghijk"):
+        assert secrets.shown(secrets.base_spans(text, text.lower())) == brute.secrets(text)
+    key = der(0x30, b"".join(der(0x02, x) for x in (b"\0", b"\1" * 128, b"\1\0\1", b"\2" * 128, b"\3" * 64, b"\4" * 64)))
+    good = base64.b64encode(key).decode()
+    assert [k for *_, k in secrets.own_spans(f"x {good} y")] == ["der"]
+    assert secrets.own_spans(f"x {base64.b64encode(key[:-1] + b'').decode()} y") == []
+    assert [k for *_, k in secrets.own_spans(key.hex())] == ["der"]
+    assert [k for *_, k in secrets.own_spans("-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(good[i : i + 64] for i in range(0, len(good), 64)) + "\n-----END RSA PRIVATE KEY-----")][0] == "pem"
+    b64 = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).rstrip(b"=").decode()
+    assert [k for *_, k in secrets.own_spans(f"{b64({'alg': 'HS256', 'typ': 'JWT'})}.{b64({'sub': 1})}.c2lnbmF0dXJl")] == ["token"]
+    assert secrets.own_spans(f"{b64({'typ': 'none at all'})}.{b64({'sub': 1})}.c2ln") == []
+    ssh = secrets.MAGIC + b"".join(len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")) + (1).to_bytes(4, "big") + b"".join(len(x).to_bytes(4, "big") + x for x in (b"p" * 40, b"q" * 99))
+    assert secrets.structure(ssh) == "openssh" and secrets.structure(ssh[:-1]) is None
+
+
+def test_secret_rows(odd):
+    assert {r["base_sha256"] for r in secrets.secret_scan(odd).collect()} == {hashlib.sha256(b"").hexdigest()}
+
+
+def test_quality(spark, odd):
+    folder = "/root/testdata/sf0.1"
+    rows = quality.op6_quality(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out").toPandas()
+    assert (rows.predicted == rows.quality).mean() > 0.94
+    assert all(zlib.crc32(str(i).encode()) % 4 == 2 for i in rows.doc_id)
+    model = quality.fit(["good words of prose " * 50] * 20, ["!!! ### $$$ " * 50] * 20, [("good words of prose", 1), ("!!! ###", 0)] * 20)
+    assert quality.score("good words of prose again", model) > quality.score("### !!! $$$", model)
+    assert quality.score("", quality.fit([], [], [])) == 0.5
+    got = quality.quality_scores(odd, model).collect()
+    assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in got)
+    assert quality.keep_good(odd, model).columns == odd.columns
+
+
+def test_quality_ignores_held_out_labels(spark):
+    texts = spark.createDataFrame([(k, f"some words {k} " * 20) for k in range(200)], "doc_id long, text string")
+    fit = lambda flip: quality.fit_on_labels(texts, spark.createDataFrame([(k, (k % 3 > 0) ^ (flip and zlib.crc32(str(k).encode()) % 4 == 2)) for k in range(200)], "doc_id long, q boolean").selectExpr("doc_id", "cast(q as int) quality"))
+    assert fit(False) == fit(True)
+
+
+def test_neighbours_odd(spark):
+    nan, inf = float("nan"), float("inf")
+    rng = random.Random(1)
+    rows = [(0, None), (1, [0.0] * 4), (2, [1.0, None, 1.0, 1.0]), (3, [nan, 1.0, 1.0, 1.0]), (4, [inf, 1.0, 1.0, 1.0]), (None, [1.0] * 4), (5, []), (6, [1.0] * 3), (7, [2.0] * 3)]
+    rows += [(20 + k, [float(rng.randint(-3, 3)) + 0.25 for _ in range(4)]) for k in range(300)]
+    table = spark.createDataFrame([(*r, 1, 2.0) for r in rows], "vec_id long, embedding array<float>, rank int, score double")
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest(table.where("vec_id % 20 = 0 or vec_id = 6"), table, 20).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    ok = {i: np.array(v, np.float64) for i, v in rows if i is not None and i >= 6}
+    for q in [i for i in ok if i % 20 == 0 or i == 6]:
+        want = sorted(((-float(ok[q] @ v), i) for i, v in ok.items() if i != q and len(v) == len(ok[q])))[:20]
+        assert got[q] == [(i, -s) for s, i in want]
+    assert set(got) == {i for i in ok if i % 20 == 0 or i == 6}
+    assert neighbours.nearest(table.limit(0), table).count() == 0
+
+
+def test_bpe(docs, odd):
+    from tokenizers import Tokenizer
+
+    own, other = bpe.load(bpe.default_vocab()), Tokenizer.from_file(bpe.default_vocab())
+    rng = random.Random(5)
+    texts = [r["text"] or "" for r in [*docs.collect(), *odd.collect()]]
+    texts += ["<|endoftext|>", "a<|endoftext|> <|endoftext|>b", "x" * 3000, "ab" * 500 + "   y\n\n z ", "I'll 've'S 12345    x", "".join(chr(rng.choice((rng.randrange(32, 0x250), rng.randrange(0x370, 0xD000), rng.randrange(0x1F300, 0x1F700)))) for _ in range(5000))]
+    for text, want in zip(texts, other.encode_batch(texts, add_special_tokens=False)):
+        ids = own.encode(text)
+        assert ids == want.ids and own.decode(ids) == other.decode(ids, skip_special_tokens=False)
+    rows = {r["doc_id"]: r for r in bpe.bpe_encode(docs, bpe.default_vocab(), keep_ids=True).collect()}
+    for r in docs.collect():
+        ids = other.encode(r["text"], add_special_tokens=False).ids
+        assert rows[r["doc_id"]]["ids"] == ids and rows[r["doc_id"]]["n_tokens"] == len(ids) and rows[r["doc_id"]]["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+    assert [r["n_tokens"] for r in bpe.bpe_encode(odd, bpe.default_vocab()).where("doc_id in (1, 2)").collect()] == [0, 0, 0]
+
+
+def test_line_dedup_odd(spark, odd):
+    rows = [(k, "\n".join(random.Random(k % 7).choice(["the quick brown fox", " The QUICK brown fox\t", "tiny", "", f"line number {k % 5} here", "ÉÉÉÉÉÉÉÉÉÉÉÉ", "éééééééééééé"]) for _ in range(k % 9))) for k in range(120)]
+    for batches in (1, 2, 7):
+        got = {r["doc"]["doc_id"]: (r["kept"], r["n_lines"], r["n_dropped"]) for r in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), batches=batches).collect()}
+        assert got == brute.line_dedup(rows)
+    by = collections.defaultdict(list)
+    for r in linededup.dedup_lines(odd).collect():
+        by[r["doc"]["doc_id"]].append((r["n_lines"], r["n_dropped"], r["doc"]["size"]))
+    assert by[1] == [(1, 0, 1)] * 2 and by[2] == [(1, 0, 1)] and by[6] == [(1, 1, 1)] * 2 and by[None] == [(2, 1, 1)] and by[5] == [(4, 0, 1)]
+
+
+def test_line_dedup_is_native(docs):
+    plan = linededup.dedup_lines(docs)._jdf.queryExecution().toString()
+    assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
+
+
+@pytest.mark.parametrize("block", [8192, 3])
+def test_simhash(spark, odd, block, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(12)]
+    fps = [(k, base[k % 12] ^ sum(1 << rng.randrange(64) for _ in range(rng.randrange(4))) & (2**64 - 1)) for k in range(150)]
+    table = spark.createDataFrame([(i, int(np.uint64(f).astype(np.int64))) for i, f in fps], "doc_id long, fp long")
+    for bits in (4, 7):
+        nodes = table.groupBy("fp").agg({"doc_id": "min"}).withColumnRenamed("min(doc_id)", "label")
+        found = {r["fp"]: r["label"] for r in simhash.components(nodes, simhash.links(nodes.select("fp"), bits)).collect()}
+        want = simhash.brute_force(fps, bits)
+        assert {i: found.get(int(np.uint64(f).astype(np.int64)), min(j for j, g in fps if g == f)) for i, f in fps} == want
+    got = {(r["doc_id"], r["fp"]): r["component_id"] for r in simhash.near_duplicates(odd).collect()}
+    assert {v for (i, f), v in got.items() if f == 0} == {1} and got[4, simhash.fingerprint(LONG) - (1 << 64 if simhash.fingerprint(LONG) >> 63 else 0)] == 3
+
+
+def test_simhash_table(spark):
+    rows = simhash.op10_simhash(spark, SF).collect()
+    fps = [(r["doc_id"], simhash.fingerprint(t)) for r in rows for t in [None] if False] or [(r["doc_id"], int(r["fingerprint"], 16)) for r in rows]
+    assert simhash.brute_force(fps) == {r["doc_id"]: r["component_id"] for r in rows}
+    import xxhash
+
+    def slow(text):
+        w = text.translate(brute.LOWER).split()  # the tables hold no blanks beyond the contract's
+        s = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+        return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(30).collect()}
+    by = dict(fps)
+    assert all(by[i] == slow(t) for i, t in texts.items())
+
+
+def test_pipeline_brute(spark):
+    import corpus_pipeline as cp
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit_on_labels(docs, quality.labels_of(spark, SF))
+    rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect() if quality.score(r["text"], model) >= quality.THRESHOLD]
+    kept = brute.line_dedup([r[:2] for r in rows])
+    rows = [(i, kept[i][0], a, b) for i, _, a, b in rows if kept[i][2] < kept[i][1] or not kept[i][2]]
+    groups = simhash.brute_force([(r[0], simhash.fingerprint(r[1], cp.WORDS)) for r in rows], cp.MAX_BITS)
+    rows = [r for r in rows if groups[r[0]] == r[0]]
+    dom = lambda s: {0: "web", 1: "news", 2: "books", 3: "forum"}[int(s[3:]) // 5]
+    mixed = [d for d, c, t in brute.mixture(rows, mixing.WEIGHTS, cp.BUDGET, cp.MAX_EPOCHS, mixing.SEED, dom) for _ in range(c + (t > 0))]
+    tok = Tokenizer.from_file(bpe.default_vocab())
+    want = sorted((d[0], len(e.ids), hashlib.sha256(",".join(map(str, e.ids)).encode()).hexdigest()) for d, e in zip(mixed, tok.encode_batch([d[1] for d in mixed], add_special_tokens=False)))
+    got = cp.run(spark, SF)
+    assert sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in got.collect()) == want
+    at = docs
+    for name, stage in cp.STAGES[:-1]:
+        at = stage(spark, at, SF)
+        assert at.columns == docs.columns, name
+
+
+def test_pipeline_odd(spark, odd, none):
+    import corpus_pipeline as cp
+
+    for table in (odd, none):
+        for _, stage in cp.STAGES[1:]:
+            out = stage(spark, table, SF)
+            assert out.count() <= cp.MAX_EPOCHS * len(ODD)
+
+
+def test_registered():
+    assert len(Q.queries()) == 10 and os.path.exists(bpe.default_vocab())
