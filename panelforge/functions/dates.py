@@ -35,7 +35,7 @@ def haversine(lat1: Column | str, lon1: Column | str, lat2: Column | str, lon2:
     """Great-circle kilometres; null where a coordinate is."""
     a1, o1, a2, o2 = (F.radians(_c(x)) for x in (lat1, lon1, lat2, lon2))
     h = F.pow(F.sin((a2 - a1) / 2), 2) + F.cos(a1) * F.cos(a2) * F.pow(F.sin((o2 - o1) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(h > 1, F.lit(1.0)).otherwise(h)))  # least() would pass over a null
 
 
 def interval_fix(df: DataFrame, low: str, mid: str, high: str) -> DataFrame:

@@ -121,15 +121,18 @@ def propagation_score(composite: Column | str, forward: Column, reverse: Column,
     return consistency, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.72 * _c(composite) + 0.28 * consistency + boost))
 
 
-@F.pandas_udf("double")
-def fuzzy_ratio(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Matching-blocks ratio of two strings (order matters); null counts as ''. Run it on distinct pairs."""
+def _ratios(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     from difflib import SequenceMatcher
 
     for a, b in batches:
         yield pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
 
 
+def fuzzy_ratio(a: Column | str, b: Column | str) -> Column:
+    """Matching-blocks ratio of two strings (order matters); null counts as ''. Run it on distinct pairs."""
+    return F.pandas_udf(_ratios, "double")(_c(a), _c(b))
+
+
 def edit_ratio(a: Column | str, b: Column | str) -> Column:
     """1 - edit distance / longer length; two empty strings are 1."""
     longest = F.greatest(F.length(_c(a)), F.length(_c(b)))

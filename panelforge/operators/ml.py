@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import Imputer, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
@@ -36,10 +36,16 @@ REGRESSORS = {
 LINEAR = {"ridge", "elastic_net"}
 
 
-def preprocess(numeric: list[str], categorical: list[str], scaled: bool = False) -> list:
-    """Median for missing numbers, codes for categories (missing ones "none", unseen ones a code of their own), one vector."""
-    made = [f"{c}__n" for c in numeric]
-    stages = [Imputer(strategy="median", inputCols=numeric, outputCols=made)] if numeric else []
+def preprocess(numeric: list[str], categorical: list[str], scaled: bool = False, unknown: list[str] | None = None) -> list:
+    """Median for missing numbers, codes for categories (missing ones "none", unseen ones a code of their own), one vector.
+
+    ``unknown``: numbers that training never saw; they have no median and count 0.
+    """
+    made, unknown = [f"{c}__n" for c in numeric], unknown or []
+    seen = [c for c in numeric if c not in unknown]
+    stages = [Imputer(strategy="median", inputCols=seen, outputCols=[f"{c}__n" for c in seen])] if seen else []
+    if unknown:
+        stages.append(SQLTransformer(statement="SELECT *, " + ", ".join(f"0.0D AS {c}__n" for c in unknown) + " FROM __THIS__"))
     if categorical:
         codes = [f"{c}__c" for c in categorical]
         stages.append(StringIndexer(inputCols=categorical, outputCols=codes, handleInvalid="keep", stringOrderType="alphabetAsc"))
@@ -65,7 +71,9 @@ def fit_regressor(train: DataFrame, kind: str, numeric: list[str], categorical:
         model.setMaxBins(max(32, *(rows.agg(*[F.count_distinct(c).alias(c) for c in categorical]).first()[c] + 2 for c in categorical)) if categorical else 32)
     if kind == "ridge":
         model.setRegParam(1.0 / max(1, rows.count()))
-    return Pipeline(stages=[*preprocess(numeric, categorical, kind in LINEAR), model]).fit(rows)
+    known = rows.agg(*[F.count(c).alias(c) for c in numeric]).first()
+    unknown = [c for c in numeric if not known[c]]
+    return Pipeline(stages=[*preprocess(numeric, categorical, kind in LINEAR, unknown), model]).fit(rows)
 
 
 def predict(model: Transformer, rows: DataFrame, numeric: list[str], categorical: list[str], out: str = "predicted_pd") -> DataFrame:

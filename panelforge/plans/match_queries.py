@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.functions import similarity as S
@@ -15,24 +15,31 @@ from panelforge.operators import profiling as PR
 from panelforge.operators import relational as R
 from panelforge.plans.panel_queries import _t, r6
 
-KV = F.element_at(F.array(*[F.lit(k) for k in (69, 138, 345, 500)]), (F.col("p_size") % 4 + 1).cast("int"))
-STYLES = {
-    "market": F.concat_ws(" ", "p_name", F.concat(KV.cast("string"), F.lit(" K V")), F.col("p_brand"), F.lit("XFMER")),
-    "pano": F.concat_ws("_", F.upper("p_name"), F.concat(KV.cast("string"), F.lit("kV")), F.col("p_type")),
-    "dayzer": F.concat_ws("-", "p_name", "p_brand", F.lit("SER DEV")),
-}
+
+def kv_of() -> Column:
+    return F.element_at(F.array(*[F.lit(k) for k in (69, 138, 345, 500)]), (F.col("p_size") % 4 + 1).cast("int"))
+
+
+def styles() -> dict[str, Column]:
+    """Three ways of naming one part."""
+    kv = kv_of().cast("string")
+    return {
+        "market": F.concat_ws(" ", "p_name", F.concat(kv, F.lit(" K V")), F.col("p_brand"), F.lit("XFMER")),
+        "pano": F.concat_ws("_", F.upper("p_name"), F.concat(kv, F.lit("kV")), F.col("p_type")),
+        "dayzer": F.concat_ws("-", "p_name", "p_brand", F.lit("SER DEV")),
+    }
 
 
 def parts(s: SparkSession, d: str) -> DataFrame:
-    return _t(s, d, "part").withColumn("kv", KV)
+    return _t(s, d, "part").withColumn("kv", kv_of())
 
 
 def records(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(reference records, candidate records): every 20th part against all parts of two other styles."""
     p = _t(s, d, "part")
-    ref = M.record_features(p.where(F.col("p_partkey") % 20 == 0), "market", F.col("p_partkey"), STYLES["market"], F.col("p_type"), F.col("p_brand"))
-    pano = M.record_features(p.where(F.col("p_partkey") % 5 == 0), "pano", F.col("p_partkey"), STYLES["pano"], F.col("p_type"), F.col("p_brand"), True)
-    day = M.record_features(p.where(F.col("p_partkey") % 5 == 0), "dayzer", F.col("p_partkey"), STYLES["dayzer"])
+    ref = M.record_features(p.where(F.col("p_partkey") % 20 == 0), "market", F.col("p_partkey"), styles()["market"], F.col("p_type"), F.col("p_brand"))
+    pano = M.record_features(p.where(F.col("p_partkey") % 5 == 0), "pano", F.col("p_partkey"), styles()["pano"], F.col("p_type"), F.col("p_brand"), True)
+    day = M.record_features(p.where(F.col("p_partkey") % 5 == 0), "dayzer", F.col("p_partkey"), styles()["dayzer"])
     return ref, pano.unionByName(day)
 
 
@@ -46,15 +53,15 @@ def flagged(s: SparkSession, d: str) -> DataFrame:
 
 
 def normalize_text(s, d):
-    return _t(s, d, "part").select("p_partkey", *[X.normalize_text(c).alias(n) for n, c in STYLES.items()])
+    return _t(s, d, "part").select("p_partkey", *[X.normalize_text(c).alias(n) for n, c in styles().items()])
 
 
 def extract_voltage(s, d):
-    return _t(s, d, "part").select("p_partkey", *[X.extract_voltage(c).alias(n) for n, c in STYLES.items()])
+    return _t(s, d, "part").select("p_partkey", *[X.extract_voltage(c).alias(n) for n, c in styles().items()])
 
 
 def unique_tokens(s, d):
-    return _t(s, d, "part").select("p_partkey", F.array_join(X.unique_tokens(X.normalize_text(STYLES["market"])), " ").alias("tokens"))
+    return _t(s, d, "part").select("p_partkey", F.array_join(X.unique_tokens(X.normalize_text(styles()["market"])), " ").alias("tokens"))
 
 
 def interface_words(s, d):
@@ -63,7 +70,7 @@ def interface_words(s, d):
 
 
 def zone_words(s, d):
-    return _t(s, d, "part").select("p_partkey", F.array_join(X.zone_tokens("p_brand", STYLES["pano"]), " | ").alias("words"))
+    return _t(s, d, "part").select("p_partkey", F.array_join(X.zone_tokens("p_brand", styles()["pano"]), " | ").alias("words"))
 
 
 def node_names(s, d):
@@ -77,7 +84,7 @@ def joined_names(s, d):
 
 
 def _pairs(s, d):
-    p = _t(s, d, "part").select("p_partkey", X.unique_tokens(X.normalize_text(F.concat_ws(" ", "p_name", "p_type"))).alias("t"), F.when(F.col("p_size") % 6 != 0, KV).alias("kv"))
+    p = _t(s, d, "part").select("p_partkey", X.unique_tokens(X.normalize_text(F.concat_ws(" ", "p_name", "p_type"))).alias("t"), F.when(F.col("p_size") % 6 != 0, kv_of()).alias("kv"))
     q = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("t").alias("u"), F.col("kv").alias("kw"))
     return p.join(q, "p_partkey")
 
@@ -170,8 +177,12 @@ def passage_blocking(s, d):
 
 # graph alignment: suppliers seen through orders of odd and of even lines
 
-LAT = 30 + (F.col("s_suppkey") * 37 % 101) / 50.0
-LON = -100 + (F.col("s_suppkey") * 53 % 97) / 40.0
+def lat_of() -> Column:
+    return 30 + (F.col("s_suppkey") * 37 % 101) / 50.0
+
+
+def lon_of() -> Column:
+    return -100 + (F.col("s_suppkey") * 53 % 97) / 40.0
 
 
 def nodes(s: SparkSession, d: str, right: bool) -> DataFrame:
@@ -179,8 +190,8 @@ def nodes(s: SparkSession, d: str, right: bool) -> DataFrame:
     shift = 0.01 if right else 0.0
     name = F.concat_ws(" ", F.lit("N"), "s_name") if right else F.concat_ws("_", F.lit("North"), "s_name")
     kv = F.element_at(F.array(*[F.lit(float(k)) for k in (69, 138, 345, 500)]), (F.col("s_nationkey") % 4 + 1).cast("int"))
-    lat = LAT + shift if right else F.when(F.col("s_suppkey") % 17 != 0, LAT)
-    lon = LON + shift if right else F.when(F.col("s_suppkey") % 17 != 0, LON)
+    lat = lat_of() + shift if right else F.when(F.col("s_suppkey") % 17 != 0, lat_of())
+    lon = lon_of() + shift if right else F.when(F.col("s_suppkey") % 17 != 0, lon_of())
     out = t.select(F.col("s_suppkey").alias("id"), name.alias("name"), kv.alias("kv"), lat.alias("lat"), lon.alias("lon")).withColumn("norm", X.normalize_node_name("name"))
     return out.withColumns({"tokens": X.name_tokens("norm"), "numbers": X.numeric_tokens("norm")})
 

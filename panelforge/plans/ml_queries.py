@@ -11,7 +11,7 @@ from panelforge.operators import metrics as ME
 from panelforge.operators import ml
 from panelforge.operators import panel as P
 from panelforge.plans import match_queries as MQ
-from panelforge.plans.panel_queries import BOUNDARY, _t, keyed, panel
+from panelforge.plans.panel_queries import _t, boundary, keyed, panel
 
 NUMERIC, CATEGORICAL = FC.MEMBER_FEATURES, ["bus", "zone"]
 
@@ -19,8 +19,8 @@ NUMERIC, CATEGORICAL = FC.MEMBER_FEATURES, ["bus", "zone"]
 def features(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(train, test): features as known at the boundary; test rows carry training means."""
     rows = FC.member_features(panel(s, d), "bus", "zone")
-    train, test = rows.where(F.col("ts") <= BOUNDARY), rows.where(F.col("ts") > BOUNDARY)
-    test = FC.with_train_mean(P.boundary_mask(test, BOUNDARY), train, ["bus", "he", "day_of_week"], "pd", "historical_avg_bus_he_dow_pd")
+    train, test = rows.where(F.col("ts") <= boundary()), rows.where(F.col("ts") > boundary())
+    test = FC.with_train_mean(P.boundary_mask(test, boundary()), train, ["bus", "he", "day_of_week"], "pd", "historical_avg_bus_he_dow_pd")
     return train, test
 
 
@@ -49,7 +49,7 @@ def gbt_forecast(s, d):
 
 def forecast_errors(s, d):
     """Errors of a model at member and zone level over the overlapping horizons."""
-    rows = FC.with_horizons(ridge_forecast(s, d), BOUNDARY)
+    rows = FC.with_horizons(ridge_forecast(s, d), boundary())
     member = ME.metrics(rows, ["model", "horizon"]).withColumn("level", F.lit("member"))
     zone = ME.metrics(ME.to_zone(rows, ["model", "horizon", "zone", "ts"]), ["model", "horizon"]).withColumn("level", F.lit("zone"))
     return member.unionByName(zone)

@@ -16,7 +16,10 @@ from panelforge.operators import profiling as PR
 from panelforge.operators import relational as R
 from panelforge.sources import io
 
-BOUNDARY = F.lit("2024-01-21 23:00:00").cast("timestamp_ntz")
+
+def boundary():
+    """The forecasts' creation time."""
+    return F.lit("2024-01-21 23:00:00").cast("timestamp_ntz")
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -46,8 +49,8 @@ ERRORS = """count(*) FILTER (actual_pd IS NOT NULL AND predicted_pd IS NOT NULL)
 
 
 def predictions(spark: SparkSession, d: str) -> DataFrame:
-    feats = P.boundary_mask(P.lags(panel(spark, d), ["bus"], (168,)), BOUNDARY)
-    return feats.where(F.col("ts") > BOUNDARY).select("bus", "zone", "ts", F.col("pd").alias("actual_pd"), F.col("lag_168h_pd").alias("predicted_pd"))
+    feats = P.boundary_mask(P.lags(panel(spark, d), ["bus"], (168,)), boundary())
+    return feats.where(F.col("ts") > boundary()).select("bus", "zone", "ts", F.col("pd").alias("actual_pd"), F.col("lag_168h_pd").alias("predicted_pd"))
 
 
 def lifted(df: DataFrame, *cols: str) -> DataFrame:
@@ -138,7 +141,7 @@ def zone_lag_parity(s, d):
 
 def boundary_mask(s, d):
     rows = P.zone_context(P.rolling(P.lags(panel(s, d), ["bus"]), ["bus"]), ["zone"], ["bus"])
-    rows = P.boundary_mask(rows, BOUNDARY)
+    rows = P.boundary_mask(rows, boundary())
     names = ["lag_24h_pd", "lag_168h_pd", "rolling_7d_mean_pd", "zone_total_pd_lag_24h"]
     return lifted(rows.select("bus", "ts", *names), *names)
 
@@ -166,7 +169,7 @@ def share_fallback(s, d):
 
 def zone_allocation(s, d):
     p = keyed(s, d)
-    train, test = p.where(F.col("ts") <= BOUNDARY), p.where(F.col("ts") > BOUNDARY)
+    train, test = p.where(F.col("ts") <= boundary()), p.where(F.col("ts") > boundary())
     zone = train.groupBy("zone", "ts", "he", "day_of_week").agg(F.sum("pd").alias("z"))
     mean = FC.group_mean(zone, ["zone", "he", "day_of_week"], "z", "zone_pred")
     forecast = test.select("zone", "ts", "he", "day_of_week").distinct().join(mean, ["zone", "he", "day_of_week"], "left").select("zone", "ts", "zone_pred")
@@ -176,8 +179,8 @@ def zone_allocation(s, d):
 
 def train_mean_override(s, d):
     p = keyed(s, d)
-    train = p.where(F.col("ts") <= BOUNDARY)
-    rows = FC.with_train_mean(p.where(F.col("ts") > BOUNDARY), train, ["bus", "he", "day_of_week"], "pd", "hist")
+    train = p.where(F.col("ts") <= boundary())
+    rows = FC.with_train_mean(p.where(F.col("ts") > boundary()), train, ["bus", "he", "day_of_week"], "pd", "hist")
     return r6(rows.select("bus", "ts", "hist"), "hist")
 
 
@@ -187,7 +190,7 @@ def baselines_long(s, d):
 
 
 def horizons(s, d):
-    rows = FC.with_horizons(predictions(s, d), BOUNDARY)
+    rows = FC.with_horizons(predictions(s, d), boundary())
     return r6(rows.groupBy("horizon").agg(F.count("*").alias("rows"), F.sum("actual_pd").alias("total"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")), "total")
 
 
@@ -356,7 +359,7 @@ def walk_forward(s, d):
 
 def prediction_schema(s, d):
     p = predictions(s, d)
-    return r6(p.select(F.lit("baseline_lag_168h").alias("model_name"), BOUNDARY.alias("forecast_created_at"), F.to_date("ts").alias("target_date"), (F.hour("ts") + 1).alias("he"), F.col("bus").alias("bus_id"), F.col("zone").alias("zone_id"), F.col("predicted_pd").alias("predict_pd")), "predict_pd")
+    return r6(p.select(F.lit("baseline_lag_168h").alias("model_name"), boundary().alias("forecast_created_at"), F.to_date("ts").alias("target_date"), (F.hour("ts") + 1).alias("he"), F.col("bus").alias("bus_id"), F.col("zone").alias("zone_id"), F.col("predicted_pd").alias("predict_pd")), "predict_pd")
 
 
 ROLL = {n: f"(PARTITION BY bus ORDER BY ts ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (168, 672)}
