@@ -341,6 +341,8 @@ SQL: dict[str, str] = {
     "block_candidates": f"WITH {REC} SELECT left_id, dataset, right_id, overlap, block_rank FROM bl WHERE block_rank <= 10",
     "pair_scores": f"WITH {SC} SELECT left_id, dataset, right_id, round(fs, 6) AS facility_score, round(cs, 6) AS contingency_score, vm AS voltage_match, zo AS zone_overlap, round(v1, 6) AS score_v1, round(v2, 6) AS score_v2 FROM s2",
     "group_flags": f"WITH {RANKED} SELECT left_id, dataset, rank, round(best, 6) AS best, round(second, 6) AS second, round(best - second, 6) AS margin, best < 0.75::DOUBLE OR best - second < 0.05::DOUBLE AS ambiguous FROM fl",
+    "best_match": f"WITH {SC}, r1 AS (SELECT *, row_number() OVER (PARTITION BY left_id, dataset ORDER BY v1 DESC, right_id) AS k FROM s2), b AS (SELECT left_id, dataset, max(v1) FILTER (k = 1) AS score, coalesce(max(v1) FILTER (k = 2), 0) AS second FROM r1 GROUP BY ALL) SELECT lf.id AS left_id, dataset, round(coalesce(score, 0), 6) AS score, round(coalesce(second, 0), 6) AS second, coalesce(score < 0.35::DOUBLE OR score - second < 0.05::DOUBLE, true) AS ambiguous, CASE WHEN score >= 0.7::DOUBLE THEN 'high' WHEN score >= 0.45::DOUBLE THEN 'medium' ELSE 'low' END AS label FROM lf LEFT JOIN b ON b.left_id = lf.id",
+    "review_queue": f"WITH {RANKED}, b AS (SELECT *, best < 0.75::DOUBLE OR best - second < 0.05::DOUBLE AS amb FROM fl WHERE rank = 1), a AS (SELECT * FROM b WHERE NOT amb ORDER BY md5('42|' || left_id || '|' || dataset), left_id, dataset LIMIT 50) SELECT left_id, dataset, right_id, 'flagged' AS reason, NULL::INTEGER AS manual_label, '' AS review_notes FROM b WHERE amb UNION ALL SELECT left_id, dataset, right_id, 'audit', NULL, '' FROM a",
     "final_matches": f"WITH {RANKED} SELECT left_id, source, right_id, round(score, 6) AS score, right_id IS NOT NULL AS accepted, CASE WHEN right_id IS NULL THEN 'low' WHEN score >= 0.85::DOUBLE THEN 'high' WHEN score >= 0.7::DOUBLE THEN 'medium' ELSE 'low' END AS label FROM fin",
     "wide_matches": f"WITH {RANKED} SELECT left_id, max(right_id) FILTER (source = 'pano') AS pano_right_id, round(max(score) FILTER (source = 'pano'), 6) AS pano_score, max(right_id) FILTER (source = 'dayzer') AS dayzer_right_id, round(max(score) FILTER (source = 'dayzer'), 6) AS dayzer_score FROM fin GROUP BY left_id",
     "final_validation": "WITH n AS (SELECT count(*) * 2 AS k FROM part WHERE p_partkey % 20 = 0) SELECT 'rows' AS \"check\", k AS found, k AS expected FROM n UNION ALL SELECT 'accepted_below', 0, 0 UNION ALL SELECT 'no_reference', 0, 0",
