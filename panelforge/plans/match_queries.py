@@ -355,7 +355,7 @@ SQL: dict[str, str] = {
     "graph_edges": f"WITH {EDGE} SELECT src, dst FROM e",
     "graph_fingerprint": f"WITH {NODES_SQL}, {EDGE}, j AS (SELECT a.id, b.kv - a.kv AS g, {BAND('b.kv')} AS band, b.id AS other FROM n a LEFT JOIN e ON e.src = a.id LEFT JOIN n b ON b.id = e.dst) SELECT id, count(other) AS degree, count(*) FILTER (abs(g) <= 1e-6) AS same_kv, count(*) FILTER (g > 1e-6) AS higher_kv, count(*) FILTER (g < -1e-6) AS lower_kv, count(other) FILTER (band = 'ehv') AS n_ehv, count(other) FILTER (band = 'hv') AS n_hv, count(other) FILTER (band = 'lv') AS n_lv, count(other) FILTER (band = 'unknown') AS n_unknown FROM j GROUP BY id",
     "endpoint_validity": "SELECT count(*) AS branches, count(*) AS from_found, count(*) FILTER (s_suppkey % 4 <> 0) AS to_found, count(*) FILTER (s_suppkey % 4 <> 0) AS both_found, count(*) FILTER (s_suppkey % 4 <> 0) AS self_loops FROM supplier",
-    "coordinate_profile": f"WITH {NODES_SQL}, m AS (SELECT CASE WHEN id % 17 <> 0 THEN lat END AS lat, CASE WHEN id % 17 <> 0 THEN lon END AS lon FROM n) SELECT count(*) AS rows, count(*) FILTER (lat IS NULL) AS missing, 0 AS out_of_range, 0 AS zero, count(*) - count(DISTINCT (lat, lon)) AS repeated, round(min(lat), 6)::DOUBLE AS min_lat, round(max(lat), 6)::DOUBLE AS max_lat, round(min(lon), 6)::DOUBLE AS min_lon, round(max(lon), 6)::DOUBLE AS max_lon FROM m",
+    "coordinate_profile": f"WITH {NODES_SQL}, m AS (SELECT CASE WHEN id % 17 <> 0 THEN lat END AS lat, CASE WHEN id % 17 <> 0 THEN lon END AS lon FROM n) SELECT count(*) AS rows, count(*) FILTER (lat IS NULL) AS missing, 0::BIGINT AS out_of_range, 0::BIGINT AS zero, count(*) - count(DISTINCT (lat, lon)) AS repeated, round(min(lat), 6)::DOUBLE AS min_lat, round(max(lat), 6)::DOUBLE AS max_lat, round(min(lon), 6)::DOUBLE AS min_lon, round(max(lon), 6)::DOUBLE AS max_lon FROM m",
     "haversine_pairs": f"WITH {DIST} SELECT left_id, right_id, round(km, 6) AS distance_km FROM dist WHERE km <= 60",
     "nearest_pairs": f"WITH {DIST}, r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY km, right_id) AS k FROM dist) SELECT left_id, right_id, round(km, 6) AS distance_km FROM r WHERE k <= 5",
     "name_fallback": f"WITH {NODES_SQL}, x AS (SELECT l.id AS left_id, r.id AS right_id, {BAND('l.kv')} = {BAND('r.kv')} AS band, list_distinct(string_split('n ' || {NODE('a.s_name')}, ' ')) AS lt, list_distinct(string_split('n ' || {NODE('b.s_name')}, ' ')) AS rt FROM n l JOIN supplier a ON a.s_suppkey = l.id CROSS JOIN n r JOIN supplier b ON b.s_suppkey = r.id WHERE l.id % 17 = 0), y AS (SELECT left_id, right_id, {INTER('lt', 'rt')}::DOUBLE / (len(lt) + len(rt) - {INTER('lt', 'rt')}) + CASE WHEN band THEN 0.25 ELSE 0 END AS s FROM x) SELECT left_id, right_id, fallback_rank FROM (SELECT left_id, right_id, row_number() OVER (PARTITION BY left_id ORDER BY s DESC, right_id DESC)::INTEGER AS fallback_rank FROM y) WHERE fallback_rank <= 5",
