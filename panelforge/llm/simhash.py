@@ -7,10 +7,17 @@ segments than bits the first segment of that chain is equal, so pairs meet in bu
 segment, and within a bucket a pair must pass the chain's growing budgets before its full distance
 is counted.
 
+A wider limit takes fewer segments than bits (``ring``), up to twice as many bits as segments: then
+the first segment differs in at most one bit, and pairs meet in buckets of one segment with one of its
+bits masked.
+
 Equal fingerprints are one node from the start. A bucket of more than BLOCK nodes is cut into blocks
 by a hash, and every two blocks meet in a tile, so that no task holds an unbounded bucket; a tile
 returns a spanning forest of the links it found, at most one edge a node, never all pairs. Components
 then spread their smallest doc_id over the edges until nothing changes.
+
+``near_copies`` confirms links on the texts: a tile's forest is then the minimum spanning one by
+distance, and an edge counts if the Jaccard similarity of its ends' whole shingle sets is high enough.
 """
 
 from __future__ import annotations
@@ -32,13 +39,15 @@ BLOCK = 8192
 STRIP = 1 << 18
 #: The production parameters of the query.
 WORDS, MAX_BITS = 4, 4
+#: Those of confirmed near copies: words, similarity, differing bits of a candidate, segments.
+COPY_WORDS, SIMILARITY, COPY_BITS, COPY_RING = 5, 0.8, 11, 6
 
 
-def fingerprint(text: str, words: int = WORDS) -> int:
-    """64 bits, each set if it is set in over half of the hashes of the text's shingles; no words: 0."""
+def shingle_hashes(text: str, words: int = WORDS) -> Iterator[np.ndarray]:
+    """Big-endian hashes of the text's shingles, repeats included, STRIP at a time; no words: nothing."""
     parts = text.encode().translate(LOWER).split()
     if not parts:
-        return 0
+        return
     joined = b" ".join(parts)
     sizes = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(sizes + 1) - 1
@@ -47,12 +56,19 @@ def fingerprint(text: str, words: int = WORDS) -> int:
         starts, ends = starts[: len(parts) - words + 1], ends[words - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    one, count = xxhash.xxh64_intdigest, np.zeros(BITS, np.int64)
+    one = xxhash.xxh64_intdigest
     for at in range(0, len(starts), STRIP):
         a, b = starts[at : at + STRIP].tolist(), ends[at : at + STRIP].tolist()
-        hashes = np.array([one(joined[i:j], SEED) for i, j in zip(a, b)], ">u8")
+        yield np.array([one(joined[i:j], SEED) for i, j in zip(a, b)], ">u8")
+
+
+def fingerprint(text: str, words: int = WORDS) -> int:
+    """64 bits, each set if it is set in over half of the hashes of the text's shingles; no words: 0."""
+    count, n = np.zeros(BITS, np.int64), 0
+    for hashes in shingle_hashes(text, words):
         count += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(count * 2 > len(starts)).tobytes(), "big")
+        n += len(hashes)
+    return int.from_bytes(np.packbits(count * 2 > n).tobytes(), "big")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS) -> DataFrame:
@@ -72,24 +88,41 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wo
     return map_arrow(docs.select(id_col, text), run, f"`{id_col}` {kind}, fp long")
 
 
-def segments(max_bits: int) -> list[tuple[int, int]]:
-    """(shift, width) of max_bits + 1 segments, the high bits first."""
-    n = max_bits + 1
+def segments(max_bits: int, ring: int | None = None) -> list[tuple[int, int]]:
+    """(shift, width) of ``ring`` segments (max_bits + 1 by default), the high bits first."""
+    n = ring or max_bits + 1
+    if not max_bits < 2 * n:
+        raise ValueError("a ring needs more than half as many segments as differing bits")
     widths = [BITS // n + (k < BITS % n) for k in range(n)]
     return [(BITS - sum(widths[: k + 1]), w) for k, w in enumerate(widths)]
 
 
-def linked(a: np.ndarray, b: np.ndarray, start: int, max_bits: int) -> np.ndarray:
-    """Index pairs (2 x n) into a and b at distance max_bits or less whose chain from ``start`` keeps its budgets."""
-    ring = segments(max_bits)
-    n = len(ring)
+def bucket_keys(max_bits: int, ring: int | None = None) -> list[tuple[int, int | None, int, int]]:
+    """(segment, masked bit, shift, mask) of each kind of bucket: the segment whole, or with one of its bits masked."""
+    out = []
+    for k, (shift, width) in enumerate(parts := segments(max_bits, ring)):
+        whole = (1 << width) - 1
+        out += [(k, None, shift, whole)] if len(parts) > max_bits else [(k, bit, shift, whole ^ 1 << bit) for bit in range(width)]
+    return out
+
+
+def linked(a: np.ndarray, b: np.ndarray, start: int, max_bits: int, ring: int | None = None, bit: int | None = None) -> np.ndarray:
+    """Index pairs (2 x n) into a and b at distance max_bits or less whose chain from segment ``start`` keeps its budgets.
+
+    ``bit``: the masked bit of the bucket; a pair with equal segments is left to the bucket of bit 0.
+    """
+    parts = segments(max_bits, ring)
+    n = len(parts)
     diff = a[:, None] ^ b[None, :]
     mask, rows, cols = 0, None, None
+    if bit:
+        rows, cols = np.nonzero(diff & np.uint64(1 << parts[start][0] + bit))
+        diff = diff[rows, cols]
     for length in range(1, n + 1):
-        shift, width = ring[(start + length - 1) % n]
+        shift, width = parts[(start + length - 1) % n]
         mask |= ((1 << width) - 1) << shift
         if length == 1:
-            continue  # equal: the bucket's own segment
+            continue  # held by the bucket itself
         ok = np.bitwise_count(diff & np.uint64(mask)) <= length * max_bits // n
         if rows is None:
             rows, cols = np.nonzero(ok)
@@ -117,33 +150,63 @@ def forest(n: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _tile_edges(fps: np.ndarray, side: np.ndarray, seg: int, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges among the links of a tile. side 0: one block against itself; 1 and 2: two blocks."""
-    n, pairs = len(fps), []
+def spanning(n: int, rows: np.ndarray, cols: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of a minimum spanning forest of n nodes, by Boruvka's rounds."""
+    order = np.argsort(weight, kind="stable")
+    rows, cols = rows[order], cols[order]
+    live, label, taken = np.arange(len(rows)), np.arange(n), []
+    while True:
+        x, y = label[rows[live]], label[cols[live]]
+        off = x != y
+        live, x, y = live[off], x[off], y[off]
+        if not len(live):
+            taken = np.concatenate(taken) if taken else live
+            return rows[taken], cols[taken]
+        best = np.full(n, len(rows))
+        np.minimum.at(best, x, live)
+        np.minimum.at(best, y, live)
+        pick = np.unique(best[best < len(rows)])
+        taken.append(pick)
+        label = forest(n, np.concatenate([label[rows[pick]], np.arange(n)]), np.concatenate([label[cols[pick]], label]))
+
+
+def _tile_edges(fps: np.ndarray, side: np.ndarray, start: int, bit: int | None, max_bits: int, ring: int | None, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges among the links of a tile, ``nearest``: the shortest ones. side 0: one block against itself; 1 and 2: two blocks."""
+    n = len(fps)
     left = np.flatnonzero(side != 2)
     right = left if not (side == 2).any() else np.flatnonzero(side == 2)
     label = np.arange(n)
+    x = y = np.empty(0, np.int64)
     for at in range(0, len(left), 256):
         part = left[at : at + 256]
-        i, j = linked(fps[part], fps[right], seg, max_bits)
+        i, j = linked(fps[part], fps[right], start, max_bits, ring, bit)
         rows, cols = part[i], right[j]
         off = rows != cols
-        if off.any():
+        if not off.any():
+            continue
+        if nearest:
+            x, y = np.concatenate([x, rows[off]]), np.concatenate([y, cols[off]])
+            x, y = spanning(n, x, y, np.bitwise_count(fps[x] ^ fps[y]))
+        else:
             label = forest(n, np.concatenate([rows[off], np.arange(n)]), np.concatenate([cols[off], label]))
+    if nearest:
+        x, y = fps[x].view(np.int64), fps[y].view(np.int64)
+        return np.minimum(x, y).view(np.uint64), np.maximum(x, y).view(np.uint64)
     moved = np.flatnonzero(label != np.arange(n))
     return fps[moved], fps[label[moved]]
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, ring: int | None = None, nearest: bool = False) -> DataFrame:
     """(a, b): edges that connect exactly the fingerprints within max_bits of each other, directly or through others.
 
     ``nodes``: distinct fingerprints (fp). Buckets number at most (max_bits + 1) * 2^(64 / (max_bits + 1)
-    rounded up); only those over BLOCK rows are looked up by the others, so that table is bounded.
+    rounded up), with a ``ring`` of n segments 64 * 2^(64 / n rounded up); only those over BLOCK rows are
+    looked up by the others, so that table is bounded. ``nearest``: minimum spanning edges of each tile.
     """
     spark = nodes.sparkSession
     bounded_batches(spark)
-    ring = segments(max_bits)
-    keys = F.array(*[F.shiftrightunsigned("fp", s).bitwiseAND(F.lit((1 << w) - 1)) for s, w in ring])
+    kinds = bucket_keys(max_bits, ring)
+    keys = F.array(*[F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(mask)).cast("int" if mask < 2**31 else "long") for _, _, shift, mask in kinds])
     dealt = nodes.select("fp", F.posexplode(keys).alias("seg", "val"))
     sizes = dealt.groupBy("seg", "val").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     sizes = staged(sizes.select("seg", "val", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
@@ -177,7 +240,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for a, b in zip(bounds, bounds[1:]):
             if b - a > 1:
-                x, y = _tile_edges(fp[a:b].view(np.uint64), side[a:b], int(seg[a]), max_bits)
+                x, y = _tile_edges(fp[a:b].view(np.uint64), side[a:b], *kinds[int(seg[a])][:2], max_bits, ring, nearest)
                 if len(x):
                     out.append((x, y))
         kept[0] = None if last else [c[bounds[-1] :] for c in cols]
@@ -223,6 +286,46 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return fps.join(labels, "fp").select(id_col, "fp", "component_id")
 
 
+def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
+    """(fp, grams): the distinct shingle hashes of each row's text. ``rows``: (fp, text)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(np.concatenate([np.empty(0, ">u8"), *shingle_hashes(t.as_py() or "", words)])).astype(np.uint64).view(np.int64) for t in batch.column(1)]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
+        return pa.RecordBatch.from_arrays([batch.column(0), grams], ["fp", "grams"])
+
+    return map_arrow(rows, run, "fp long, grams array<long>")
+
+
+def confirmed(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges (a, b) whose ends' shingle sets have this Jaccard similarity."""
+    x, y = (sets.select(F.col("fp").alias(k), F.col("grams").alias(f"{k}_grams")) for k in "ab")
+    both = F.size(F.array_intersect("a_grams", "b_grams"))
+    return edges.join(x, "a").join(y, "b").where(both >= similarity * (F.size("a_grams") + F.size("b_grams") - both)).select("a", "b")
+
+
+def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = COPY_WORDS, similarity: float = SIMILARITY, max_bits: int = COPY_BITS, ring: int | None = COPY_RING) -> DataFrame:
+    """(id_col, fp, component_id): near-duplicates by fingerprints, confirmed on the texts.
+
+    Candidates are the minimum spanning edges, by distance, of the links of max_bits or less; those
+    whose shingle sets have a Jaccard similarity of ``similarity`` join components. Rows of one
+    fingerprint are one node, which the text of its smallest id stands for. Nulls, odd rows and empty
+    tables as in ``near_duplicates``; a node without any id is confirmed with none.
+    """
+    fps = staged(fingerprints(docs, text, id_col, words), "fingerprints")
+    nodes = staged(fps.groupBy("fp").agg(F.min(id_col).alias("label")), "nodes")
+    edges = staged(links(nodes.select("fp"), max_bits, ring, nearest=True), "candidates")
+    ends = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
+    ends = nodes.join(ends, "fp", "left_semi").select("fp", F.col("label").alias("_rep"))
+    texts = docs.select(F.col(id_col).alias("_rep"), F.col(text).alias("_text")).join(ends, "_rep")
+    sets = staged(shingle_sets(texts.select("fp", "_text"), words), "shingles").groupBy("fp").agg(F.min("grams").alias("grams"))
+    kept = confirmed(edges, staged(sets, "sets"), similarity)
+    labels = components(nodes.where(F.col("label").isNotNull()), kept)
+    labels = nodes.join(labels.withColumnRenamed("label", "low"), "fp", "left").select("fp", F.coalesce("low", "label").alias("component_id"))
+    return fps.join(labels, "fp").select(id_col, "fp", "component_id")
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(documents(spark, sf_dir))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -82,3 +82,22 @@ def secrets(text):
     spans += [(m.start(), 1, m.end(), "access") for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+
+
+def near_copies(rows, words, similarity, fps, max_bits):
+    """doc_id to the smallest doc_id reachable over pairs of this Jaccard similarity and distance, by all pairs."""
+    sets = []
+    for _, text in rows:
+        w = text.translate(LOWER).split()
+        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
+    low = {i: i for i, _ in rows}
+    pairs = [
+        (rows[x][0], rows[y][0]) for x in range(len(rows)) for y in range(x)
+        if fps[x] == fps[y] or ((fps[x] ^ fps[y]).bit_count() <= max_bits and len(sets[x] & sets[y]) >= similarity * len(sets[x] | sets[y]))
+    ]
+    while True:
+        before = dict(low)
+        for x, y in pairs:
+            low[x] = low[y] = min(low[x], low[y])
+        if low == before:
+            return low

@@ -284,7 +284,7 @@ def test_pipeline_brute(spark):
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect() if quality.score(r["text"], model) >= quality.THRESHOLD]
     kept = brute.line_dedup([r[:2] for r in rows])
     rows = [(i, kept[i][0], a, b) for i, _, a, b in rows if kept[i][2] < kept[i][1] or not kept[i][2]]
-    groups = simhash.brute_force([(r[0], simhash.fingerprint(r[1], cp.WORDS)) for r in rows], cp.MAX_BITS)
+    groups = brute.near_copies([r[:2] for r in rows], cp.WORDS, cp.SIMILARITY, [simhash.fingerprint(r[1], cp.WORDS) for r in rows], simhash.COPY_BITS)
     rows = [r for r in rows if groups[r[0]] == r[0]]
     dom = lambda s: {0: "web", 1: "news", 2: "books", 3: "forum"}[int(s[3:]) // 5]
     mixed = [d for d, c, t in brute.mixture(rows, mixing.WEIGHTS, cp.BUDGET, cp.MAX_EPOCHS, mixing.SEED, dom) for _ in range(c + (t > 0))]
@@ -309,3 +309,58 @@ def test_pipeline_odd(spark, odd, none):
 
 def test_registered():
     assert len(Q.queries()) == 10 and os.path.exists(bpe.default_vocab())
+
+
+def test_ring_with_masked_bits_finds_all_links():
+    """Every pair within 11 bits meets in some bucket of the six-segment ring and keeps a chain there."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    flips = [sum(1 << int(b) for b in rng.choice(64, rng.integers(0, 14), replace=False)) for _ in range(400)]
+    fps = np.unique(np.array([int(base[k % 40]) ^ f for k, f in enumerate(flips)], np.uint64))
+    found = set()
+    for start, bit, shift, mask in simhash.bucket_keys(11, 6):
+        value = fps >> np.uint64(shift) & np.uint64(mask)
+        for v in np.unique(value):
+            at = np.flatnonzero(value == v)
+            i, j = simhash.linked(fps[at], fps[at], start, 11, 6, bit)
+            found |= {(int(at[x]), int(at[y])) for x, y in zip(i, j) if at[x] < at[y]}
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 11
+    assert found == {(int(x), int(y)) for x, y in zip(*np.nonzero(np.triu(near, 1)))} and len(found) > 500
+
+
+def test_spanning_forest_is_minimal():
+    rng = np.random.default_rng(2)
+    x, y, w = rng.integers(0, 60, 300), rng.integers(0, 60, 300), rng.integers(0, 9, 300)
+    a, b = simhash.spanning(60, x, y, w)
+    for limit in range(9):
+        cost = {}
+        for i, j, k in zip(x.tolist(), y.tolist(), w.tolist()):
+            cost[i, j] = cost[j, i] = min(k, cost.get((i, j), 99))
+        kept = [(i, j) for i, j in zip(a.tolist(), b.tolist()) if cost[i, j] <= limit]
+        low = w <= limit
+        of = np.array(kept, np.int64).reshape(-1, 2)
+        assert (simhash.forest(60, of[:, 0], of[:, 1]) == simhash.forest(60, x[low], y[low])).all()
+    assert len(simhash.spanning(3, *(np.empty(0, np.int64) for _ in range(3)))[0]) == 0
+
+
+def test_near_copies(spark, odd, none):
+    """Groups against exact similarities of all pairs; odd rows and no rows."""
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(4000)]
+    rows = []
+    for g in range(60):
+        base = [rng.choice(words) for _ in range(300)]
+        for edits in (0, 0, 1, 2, 5, 14, 60):
+            t = list(base)
+            for at in rng.sample(range(300), edits):
+                t[at] = rng.choice(words)
+            rows.append((len(rows), " ".join(t)))
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(296)} for _, t in rows]
+    same = [(i, j) for i in range(len(rows)) for j in range(i) if i // 7 == j // 7 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = simhash.forest(len(rows), *np.array(same).T)
+    assert len(got) == len(rows) and all(want[i] <= c for i, c in got.items())  # nothing joined that is not similar
+    assert sum(got[i] == want[i] for i in got) >= 0.99 * len(rows)
+    out = simhash.near_copies(odd).toPandas()
+    assert len(out) == len(ODD) and out[out.doc_id == 4].component_id.item() == 3
+    assert simhash.near_copies(none).count() == 0
