@@ -35,6 +35,8 @@ from panelforge.llm.common import bounded_batches, documents, map_arrow, staged
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED, BITS = 42, 64
 BLOCK = 8192
+#: A node with no more links in a tile than this has them all confirmed; others the spanning ones.
+FEW = 8
 #: Shingles hashed at once.
 STRIP = 1 << 18
 #: The production parameters of the query.
@@ -177,6 +179,7 @@ def _tile_edges(fps: np.ndarray, side: np.ndarray, start: int, bit: int | None,
     right = left if not (side == 2).any() else np.flatnonzero(side == 2)
     label = np.arange(n)
     x = y = np.empty(0, np.int64)
+    few: list[np.ndarray] = []
     for at in range(0, len(left), 256):
         part = left[at : at + 256]
         i, j = linked(fps[part], fps[right], start, max_bits, ring, bit)
@@ -185,11 +188,15 @@ def _tile_edges(fps: np.ndarray, side: np.ndarray, start: int, bit: int | None,
         if not off.any():
             continue
         if nearest:
-            x, y = np.concatenate([x, rows[off]]), np.concatenate([y, cols[off]])
+            rows, cols = rows[off], cols[off]
+            own = np.bincount(rows, minlength=n)[rows] <= FEW
+            few.append(np.stack([rows[own], cols[own]]))
+            x, y = np.concatenate([x, rows]), np.concatenate([y, cols])
             x, y = spanning(n, x, y, np.bitwise_count(fps[x] ^ fps[y]))
         else:
             label = forest(n, np.concatenate([rows[off], np.arange(n)]), np.concatenate([cols[off], label]))
     if nearest:
+        x, y = np.concatenate([np.stack([x, y]), *few], axis=1)
         x, y = fps[x].view(np.int64), fps[y].view(np.int64)
         return np.minimum(x, y).view(np.uint64), np.maximum(x, y).view(np.uint64)
     moved = np.flatnonzero(label != np.arange(n))
@@ -201,7 +208,8 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, ring: int | None = None, n
 
     ``nodes``: distinct fingerprints (fp). Buckets number at most (max_bits + 1) * 2^(64 / (max_bits + 1)
     rounded up), with a ``ring`` of n segments 64 * 2^(64 / n rounded up); only those over BLOCK rows are
-    looked up by the others, so that table is bounded. ``nearest``: minimum spanning edges of each tile.
+    looked up by the others, so that table is bounded. ``nearest``: minimum spanning edges of each
+    tile, and all links of its nodes with few.
     """
     spark = nodes.sparkSession
     bounded_batches(spark)
@@ -218,7 +226,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, ring: int | None = None, n
         "fp", "seg", "val", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    tiles = tiles.repartition("seg", "val", "i", "j").sortWithinPartitions("seg", "val", "i", "j")
+    tiles = tiles.repartition("seg", "val", "i", "j").sortWithinPartitions("seg", "val", "i", "j", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -308,7 +316,8 @@ def confirmed(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = COPY_WORDS, similarity: float = SIMILARITY, max_bits: int = COPY_BITS, ring: int | None = COPY_RING) -> DataFrame:
     """(id_col, fp, component_id): near-duplicates by fingerprints, confirmed on the texts.
 
-    Candidates are the minimum spanning edges, by distance, of the links of max_bits or less; those
+    Candidates are the links of max_bits or less: all of nodes that have few in a bucket, else the
+    minimum spanning ones by distance, the same in every run; those
     whose shingle sets have a Jaccard similarity of ``similarity`` join components. Rows of one
     fingerprint are one node, which the text of its smallest id stands for. Nulls, odd rows and empty
     tables as in ``near_duplicates``; a node without any id is confirmed with none.
