@@ -16,8 +16,10 @@ by a hash, and every two blocks meet in a tile, so that no task holds an unbound
 returns a spanning forest of the links it found, at most one edge a node, never all pairs. Components
 then spread their smallest doc_id over the edges until nothing changes.
 
-``near_copies`` confirms links on the texts: a tile's forest is then the minimum spanning one by
-distance, and an edge counts if the Jaccard similarity of its ends' whole shingle sets is high enough.
+``near_copies`` confirms links on the texts: an edge counts if the Jaccard similarity of its ends' whole
+shingle sets is high enough. A tile then returns all links of nodes with few and the minimum spanning
+ones by distance of the others, the crowded nodes. Links among crowded nodes that the confirmed edges
+have not joined are tested in a second pass, family by family, with the shingle sets at hand.
 """
 
 from __future__ import annotations
@@ -35,8 +37,10 @@ from panelforge.llm.common import bounded_batches, documents, map_arrow, staged
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED, BITS = 42, 64
 BLOCK = 8192
-#: A node with no more links in a tile than this has them all confirmed; others the spanning ones.
+#: A node with no more links in a tile than this has them all returned; others, the crowded ones, the spanning ones.
 FEW = 8
+#: Nodes and shingles of a block of crowded nodes, about.
+CROWD, CROWD_GRAMS = 512, 1 << 20
 #: Shingles hashed at once.
 STRIP = 1 << 18
 #: The production parameters of the query.
@@ -173,10 +177,15 @@ def spanning(n: int, rows: np.ndarray, cols: np.ndarray, weight: np.ndarray) ->
 
 
 def _tile_edges(fps: np.ndarray, side: np.ndarray, start: int, bit: int | None, max_bits: int, ring: int | None, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges among the links of a tile, ``nearest``: the shortest ones. side 0: one block against itself; 1 and 2: two blocks."""
+    """Spanning edges among the links of a tile. side 0: one block against itself; 1 and 2: two blocks.
+
+    ``nearest``: the shortest spanning edges, all links of nodes with few, and an edge to itself of each other node.
+    """
     n = len(fps)
     left = np.flatnonzero(side != 2)
-    right = left if not (side == 2).any() else np.flatnonzero(side == 2)
+    two = bool((side == 2).any())
+    right = np.flatnonzero(side == 2) if two else left
+    degree = np.zeros(n, np.int64)
     label = np.arange(n)
     x = y = np.empty(0, np.int64)
     few: list[np.ndarray] = []
@@ -189,14 +198,19 @@ def _tile_edges(fps: np.ndarray, side: np.ndarray, start: int, bit: int | None,
             continue
         if nearest:
             rows, cols = rows[off], cols[off]
-            own = np.bincount(rows, minlength=n)[rows] <= FEW
+            degree += np.bincount(rows, minlength=n)
+            if two:
+                degree += np.bincount(cols, minlength=n)
+            # a row's links are all in this strip; a column's go on, so its are kept while they may be few
+            own = np.minimum(degree[rows], degree[cols] if two else BLOCK) <= FEW
             few.append(np.stack([rows[own], cols[own]]))
             x, y = np.concatenate([x, rows]), np.concatenate([y, cols])
             x, y = spanning(n, x, y, np.bitwise_count(fps[x] ^ fps[y]))
         else:
             label = forest(n, np.concatenate([rows[off], np.arange(n)]), np.concatenate([cols[off], label]))
     if nearest:
-        x, y = np.concatenate([np.stack([x, y]), *few], axis=1)
+        crowded = np.flatnonzero(degree > FEW)
+        x, y = np.concatenate([np.stack([x, y]), *few, np.stack([crowded, crowded])], axis=1)
         x, y = fps[x].view(np.int64), fps[y].view(np.int64)
         return np.minimum(x, y).view(np.uint64), np.maximum(x, y).view(np.uint64)
     moved = np.flatnonzero(label != np.arange(n))
@@ -209,7 +223,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, ring: int | None = None, n
     ``nodes``: distinct fingerprints (fp). Buckets number at most (max_bits + 1) * 2^(64 / (max_bits + 1)
     rounded up), with a ``ring`` of n segments 64 * 2^(64 / n rounded up); only those over BLOCK rows are
     looked up by the others, so that table is bounded. ``nearest``: minimum spanning edges of each
-    tile, and all links of its nodes with few.
+    tile, all links of its nodes with few, and an edge to itself of each node with more.
     """
     spark = nodes.sparkSession
     bounded_batches(spark)
@@ -313,24 +327,86 @@ def confirmed(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return edges.join(x, "a").join(y, "b").where(both >= similarity * (F.size("a_grams") + F.size("b_grams") - both)).select("a", "b")
 
 
+def crowd_edges(fps: np.ndarray, labels: np.ndarray, grams: list[np.ndarray], right: np.ndarray, max_bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of similar nodes that join the labels as all similar pairs of max_bits or less would.
+
+    ``labels``: known groups; ``right``: the nodes of the second block, if any is set, else all pairs are meant.
+    """
+    label = np.unique(labels, return_inverse=True)[1]
+    sizes = np.array([len(g) for g in grams], np.int64)
+    ends = np.cumsum(sizes)
+    of = np.unique(np.concatenate(grams), return_inverse=True)[1]
+    mark = np.zeros(len(of), bool)
+    left, right = (np.flatnonzero(~right), np.flatnonzero(right)) if right.any() else (np.arange(len(fps)), np.arange(len(fps)))
+    x: list[int] = []
+    y: list[int] = []
+    for i in left.tolist():
+        to = right[(label[right] != label[i]) & (np.bitwise_count(fps[right] ^ fps[i]) <= max_bits)]
+        if not len(to):
+            continue
+        own = of[ends[i] - sizes[i] : ends[i]]
+        mark[own] = True
+        both = np.array([np.count_nonzero(mark[of[ends[j] - sizes[j] : ends[j]]]) for j in to])
+        mark[own] = False
+        to = to[both >= similarity * (sizes[i] + sizes[to] - both)]
+        if len(to):
+            joined, at = np.unique(label[to], return_index=True)
+            x += [i] * len(at)
+            y += to[at].tolist()
+            label[np.isin(label, joined)] = label[i]
+    return np.array(x, np.int64), np.array(y, np.int64)
+
+
+def crowded_links(nodes: DataFrame, edges: DataFrame, crowded: DataFrame, kept: DataFrame, sets: DataFrame, max_bits: int, similarity: float) -> DataFrame:
+    """(a, b): similar links among crowded nodes that ``kept`` has not joined, enough to join all that are to be.
+
+    ``edges``: candidates; nodes they connect are a family, and a link lies within one. Families
+    that are one group already are done; the others are cut into blocks by a hash, and every two blocks meet.
+    """
+    family = components(nodes.select("fp", F.col("fp").alias("label")), edges).withColumnRenamed("label", "family")
+    label = components(nodes, kept).withColumnRenamed("label", "low")
+    rows = crowded.join(family, "fp").join(nodes, "fp").join(label, "fp", "left").select("fp", "family", F.coalesce("low", "label").alias("label"))
+    rows = staged(rows.join(sets.select("fp", F.size("grams").alias("n")), "fp"), "crowded")
+    sizes = rows.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
+    sizes = sizes.where(F.col("x") < F.col("y")).select("family", F.ceil(F.greatest(F.col("m") / CROWD, F.col("n") / CROWD_GRAMS)).cast("int").alias("blocks"))
+    rows = rows.join(staged(sizes, "families"), "family").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    rows = rows.join(sets, "fp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("fp", "label", "grams", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"))
+
+    def run(tile: pa.Table) -> pa.Table:
+        fp, label, right = (tile.column(c).to_numpy() for c in ("fp", "label", "right"))
+        order = np.argsort(fp)  # the same edges in every run
+        values: list[np.ndarray] = []
+        for chunk in tile.column("grams").chunks:
+            at = chunk.offsets.to_numpy()
+            values += [chunk.values.to_numpy()[a:b] for a, b in zip(at, at[1:])]
+        x, y = crowd_edges(fp[order].view(np.uint64), label[order], [values[k] for k in order], right[order].astype(bool), max_bits, similarity)
+        return pa.table({"a": fp[order][x], "b": fp[order][y]})
+
+    return rows.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
+
+
 def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = COPY_WORDS, similarity: float = SIMILARITY, max_bits: int = COPY_BITS, ring: int | None = COPY_RING) -> DataFrame:
     """(id_col, fp, component_id): near-duplicates by fingerprints, confirmed on the texts.
 
-    Candidates are the links of max_bits or less: all of nodes that have few in a bucket, else the
-    minimum spanning ones by distance, the same in every run; those
+    Candidates are the links of max_bits or less; all those
     whose shingle sets have a Jaccard similarity of ``similarity`` join components. Rows of one
     fingerprint are one node, which the text of its smallest id stands for. Nulls, odd rows and empty
     tables as in ``near_duplicates``; a node without any id is confirmed with none.
     """
     fps = staged(fingerprints(docs, text, id_col, words), "fingerprints")
     nodes = staged(fps.groupBy("fp").agg(F.min(id_col).alias("label")), "nodes")
-    edges = staged(links(nodes.select("fp"), max_bits, ring, nearest=True), "candidates")
+    found = staged(links(nodes.select("fp"), max_bits, ring, nearest=True), "candidates")
+    edges, crowded = found.where(F.col("a") != F.col("b")), found.where(F.col("a") == F.col("b")).select(F.col("a").alias("fp"))
     ends = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
     ends = nodes.join(ends, "fp", "left_semi").select("fp", F.col("label").alias("_rep"))
     texts = docs.select(F.col(id_col).alias("_rep"), F.col(text).alias("_text")).join(ends, "_rep")
     sets = staged(shingle_sets(texts.select("fp", "_text"), words), "shingles").groupBy("fp").agg(F.min("grams").alias("grams"))
-    kept = confirmed(edges, staged(sets, "sets"), similarity)
-    labels = components(nodes.where(F.col("label").isNotNull()), kept)
+    sets = staged(sets, "sets")
+    kept, known = staged(confirmed(edges, sets, similarity), "confirmed"), nodes.where(F.col("label").isNotNull())
+    if crowded.limit(1).count():
+        kept = kept.unionByName(crowded_links(known, edges, crowded, kept, sets, max_bits, similarity))
+    labels = components(known, kept)
     labels = nodes.join(labels.withColumnRenamed("label", "low"), "fp", "left").select("fp", F.coalesce("low", "label").alias("component_id"))
     return fps.join(labels, "fp").select(id_col, "fp", "component_id")
 

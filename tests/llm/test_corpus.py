@@ -364,3 +364,21 @@ def test_near_copies(spark, odd, none):
     out = simhash.near_copies(odd).toPandas()
     assert len(out) == len(ODD) and out[out.doc_id == 4].component_id.item() == 3
     assert simhash.near_copies(none).count() == 0
+
+
+@pytest.mark.parametrize("block, crowd", [(8192, 512), (64, 40)])
+def test_near_copies_of_a_large_family(spark, block, crowd, monkeypatch):
+    """Edited variants of one text, many near but below the similarity: every candidate link counts, as by all pairs."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(4000)}" for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 401):
+        t = list(base)
+        for at in rng.sample(range(300), rng.choice((6, 7))):
+            t[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(t)))
+    want = brute.near_copies(rows, 5, 0.8, [simhash.fingerprint(t, 5) for _, t in rows], simhash.COPY_BITS)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 1 < len(set(want.values())) < len(rows)
