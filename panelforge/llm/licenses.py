@@ -2,8 +2,8 @@
 
 A text is lower-cased (A-Z only) and read as UTF-8 bytes, where every byte of a non-ASCII character
 is a word byte. Base phrases are found first. Then come a few hundred regular expressions (each
-license's names in several ways of stating them); a rule runs only where its keyword occurs, and no
-rule runs where none of the root keywords does. Detections are taken in order of priority, then
+license's names in several ways of stating them); a rule runs only where its keyword occurs.
+Detections are taken in order of priority, then
 length, then place; one whose interval lies within an accepted one is suppressed, so that "gnu
 lesser general public license version 3" does not also count as the plain GPL.
 """
@@ -26,8 +26,6 @@ GAP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
 EDGE, END = rb"(?<![0-9a-z\x80-\xff])", rb"(?![0-9a-z\x80-\xff])"
 #: Phrases whose labels are always reported.
 BASE = {b"mit license": "mit", b"apache license": "apache", b"general public license": "gpl"}
-#: Without one of these no rule can match.
-ROOTS = (b"licen", b"gpl", b"spdx", b"creative", b"cc by", b"cc-by", b"cc0", b"public domain", b"bsd", b"copyright", b"copying", b"all rights")
 
 #: label | names ("/" between alternatives, a name is a regular expression over lower case, blank = any gap)
 FAMILIES = """
@@ -165,8 +163,6 @@ class Found:
 
 def scan(data: bytes) -> list[Found]:
     """Surviving detections in lower-cased UTF-8 ``data``, by place."""
-    if not any(r in data for r in ROOTS):
-        return []
     here = {k for k in KEYWORDS if k in data}
     hits = {Found(r.label, m.start(), m.end(), r.priority, r.weight) for r in RULES if r.keyword in here for m in r.pattern.finditer(data)}
     kept: list[Found] = []

@@ -382,3 +382,22 @@ def test_near_copies_of_a_large_family(spark, block, crowd, monkeypatch):
     want = brute.near_copies(rows, 5, 0.8, [simhash.fingerprint(t, 5) for _, t in rows], simhash.COPY_BITS)
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and 1 < len(set(want.values())) < len(rows)
+
+
+def test_every_license_rule_on_its_least_text():
+    """A text that holds no more than what a rule asks for is detected as a whole."""
+    import re
+
+    def least(p):
+        while (q := re.sub(r"\(\?:((?:[^()])*)\)(\??)", lambda m: "" if m[2] else m[1].split("|")[0], p)) != p:
+            p = q
+        return re.sub(r"\[(.)[^]]*\]", r"\1", re.sub(r"[^]]\?", "", p))
+
+    names = [n for line in licenses.FAMILIES.split("\n") for n in line.split("|", 1)[1].split("/")]
+    texts = [least(form.format(n)) for n in names for form, _, _ in licenses.FORMS] + [least(p) for _, _, p, _ in licenses.SENTENCES]
+    assert len(texts) >= 300
+    for text in (x for t in texts for x in (t, t.replace(" ", " -- "))):
+        assert any((f.start, f.end) == (0, len(text)) for f in licenses.scan(text.encode())), text
+    labels = lambda t: licenses._row(t.encode().translate(licenses.LOWER))[5]
+    assert labels("Released under MIT.") == "mit" and labels("distributed under MPL 2.0") == "mpl-2.0" and labels("under the Apache 2.0") == "apache-2.0"
+    assert labels("Permission is hereby granted, free of charge, to any person obtaining a copy") == "mit"
