@@ -357,16 +357,27 @@ def crowd_edges(fps: np.ndarray, labels: np.ndarray, grams: list[np.ndarray], ri
     return np.array(x, np.int64), np.array(y, np.int64)
 
 
-def crowded_links(nodes: DataFrame, edges: DataFrame, crowded: DataFrame, kept: DataFrame, sets: DataFrame, max_bits: int, similarity: float) -> DataFrame:
-    """(a, b): similar links among crowded nodes that ``kept`` has not joined, enough to join all that are to be.
+def crowded_links(groups: DataFrame, edges: DataFrame, crowded: DataFrame, sets: DataFrame, max_bits: int, similarity: float) -> DataFrame:
+    """(a, b): labels of groups that similar links among crowded nodes join, enough to join all that are to be.
 
-    ``edges``: candidates; nodes they connect are a family, and a link lies within one. Families
-    that are one group already are done; the others are cut into blocks by a hash, and every two blocks meet.
+    ``groups``: (fp, label) as joined so far; ``edges``: candidates. Groups that candidates connect are
+    a family, and a link lies within one. Families are cut into blocks by a hash, and every two blocks meet.
     """
-    family = components(nodes.select("fp", F.col("fp").alias("label")), edges).withColumnRenamed("label", "family")
-    label = components(nodes, kept).withColumnRenamed("label", "low")
-    rows = crowded.join(family, "fp").join(nodes, "fp").join(label, "fp", "left").select("fp", "family", F.coalesce("low", "label").alias("label"))
-    rows = staged(rows.join(sets.select("fp", F.size("grams").alias("n")), "fp"), "crowded")
+    x, y = (groups.select(F.col("fp").alias(k), F.col("label").alias(f"{k}_label")) for k in "ab")
+    cross = edges.join(x, "a").join(y, "b").where(F.col("a_label") != F.col("b_label")).select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
+    cross = staged(cross.distinct(), "cross")
+
+    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.stack([c.to_numpy() for c in b.columns]) for b in batches]
+        names, at = np.unique(np.concatenate([np.empty((2, 0), np.int64), *got], axis=1), return_inverse=True)
+        at = at.reshape(2, -1)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[forest(len(names), at[0], at[1])])], ["a", "b"])
+
+    # a spanning forest of each part of bounded size connects the same groups by fewer edges
+    cross = cross.repartition(cross.count() // STRIP + 1).mapInArrow(thinned, "a long, b long").where("a <> b")
+    family = components(groups.select(F.col("label").alias("fp"), "label").distinct(), cross).select(F.col("fp").alias("label"), F.col("label").alias("family"))
+    rows = crowded.join(groups, "fp").join(family, "label").join(sets.select("fp", F.size("grams").alias("n")), "fp")
+    rows = staged(rows.select("fp", "family", "label", "n"), "crowded")
     sizes = rows.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
     sizes = sizes.where(F.col("x") < F.col("y")).select("family", F.ceil(F.greatest(F.col("m") / CROWD, F.col("n") / CROWD_GRAMS)).cast("int").alias("blocks"))
     rows = rows.join(staged(sizes, "families"), "family").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
@@ -381,7 +392,7 @@ def crowded_links(nodes: DataFrame, edges: DataFrame, crowded: DataFrame, kept:
             at = chunk.offsets.to_numpy()
             values += [chunk.values.to_numpy()[a:b] for a, b in zip(at, at[1:])]
         x, y = crowd_edges(fp[order].view(np.uint64), label[order], [values[k] for k in order], right[order].astype(bool), max_bits, similarity)
-        return pa.table({"a": fp[order][x], "b": fp[order][y]})
+        return pa.table({"a": label[order][x], "b": label[order][y]})
 
     return rows.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
 
@@ -403,11 +414,14 @@ def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", wor
     texts = docs.select(F.col(id_col).alias("_rep"), F.col(text).alias("_text")).join(ends, "_rep")
     sets = staged(shingle_sets(texts.select("fp", "_text"), words), "shingles").groupBy("fp").agg(F.min("grams").alias("grams"))
     sets = staged(sets, "sets")
-    kept, known = staged(confirmed(edges, sets, similarity), "confirmed"), nodes.where(F.col("label").isNotNull())
+    kept, known = confirmed(edges, sets, similarity), nodes.where(F.col("label").isNotNull())
+    groups = known.join(components(known, kept).withColumnRenamed("label", "low"), "fp", "left").select("fp", F.coalesce("low", "label").alias("label"))
     if crowded.limit(1).count():
-        kept = kept.unionByName(crowded_links(known, edges, crowded, kept, sets, max_bits, similarity))
-    labels = components(known, kept)
-    labels = nodes.join(labels.withColumnRenamed("label", "low"), "fp", "left").select("fp", F.coalesce("low", "label").alias("component_id"))
+        groups = staged(groups, "groups")
+        more = crowded_links(groups, edges, crowded, sets, max_bits, similarity)
+        top = components(groups.select(F.col("label").alias("fp"), "label").distinct(), more).select(F.col("fp").alias("label"), F.col("label").alias("low"))
+        groups = groups.join(top, "label", "left").select("fp", F.coalesce("low", "label").alias("label"))
+    labels = nodes.select("fp").join(groups.withColumnRenamed("label", "component_id"), "fp", "left")
     return fps.join(labels, "fp").select(id_col, "fp", "component_id")
 
 
