@@ -13,10 +13,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import documents, hash_digits, staged, text_or_empty
+from panelforge.llm.common import documents, drop_path, hash_digits, staged, text_or_empty
 from panelforge.llm.ranks import running
 
-SHARDS, ROUNDS, OVERHEAD = 40, 6, 16
+SHARDS, OVERHEAD = 40, 16
 #: Unlinked documents are dealt in classes of size: at least these parts of a mean shard, then the rest.
 CLASSES = (1 / 32, 1 / 256)
 
@@ -31,9 +31,14 @@ def loads(rows: DataFrame) -> dict[int, int]:
     return {r["shard"]: r["b"] for r in rows.where(F.col("shard").isNotNull()).groupBy("shard").agg(F.sum("size").alias("b")).collect()}
 
 
-def propagate(rows: DataFrame, mean: float, digits: int, shards: int, rounds: int) -> DataFrame:
-    """Linked rows (grp, size, h, ..., shard) with their shards moved; quotas are the mean size."""
-    for _ in range(rounds):
+def propagate(rows: DataFrame, mean: float, digits: int, shards: int) -> DataFrame:
+    """Linked rows (grp, size, h, ..., shard) with their shards moved; quotas are the mean size.
+
+    A group's movers all go to one of its shards, from none with more members: each move adds to the sum
+    of squared members over its shards, so rounds come to an end. Tables of earlier rounds are dropped.
+    """
+    old: list[str] = []
+    while True:
         load = loads(rows)
         room = {s: max(0, int(mean) - load.get(s, 0)) for s in range(shards)}
         votes = rows.groupBy("grp", "shard").agg(F.count("*").alias("votes"), F.max("size").alias("largest"))
@@ -58,9 +63,11 @@ def propagate(rows: DataFrame, mean: float, digits: int, shards: int, rounds: in
         names = [*rows.columns, "moved"]
         out = staged(still.select(*names).unionByName(moved.select(*names)), "shards")
         rows = out.drop("moved")
+        for path in old:
+            drop_path(rows.sparkSession, path)
+        old = [path.rsplit("/", 1)[0] for table in (asked, out) for path in table.inputFiles()[:1]]
         if not out.where("moved").limit(1).count():
-            break
-    return rows
+            return rows
 
 
 def fill(rows: DataFrame, load: dict[int, int], goal: float, digits: int, shards: int) -> DataFrame:
@@ -78,7 +85,7 @@ def fill(rows: DataFrame, load: dict[int, int], goal: float, digits: int, shards
     return rows.withColumn("shard", shard).drop("before", "bucket")
 
 
-def balanced_shards(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def balanced_shards(docs: DataFrame, text: str = "text", id_col: str = "doc_id", shards: int = SHARDS) -> DataFrame:
     """Put every row into a shard of nearly equal bytes, linked rows together.
 
     Returns id_col, size (UTF-8 bytes plus OVERHEAD), text_crc32, shard, slot (gapless from 0 in each
@@ -102,7 +109,7 @@ def balanced_shards(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     first = F.pmod(F.conv(F.substring("h", 1, 12), 16, 10).cast("long"), F.lit(shards)).cast("int")
     tagged = rows.join(multi.withColumn("linked", F.lit(True)), "grp", "left")
     tagged = staged(tagged.withColumn("shard", F.when(F.col("linked"), first)), "tagged")
-    linked = propagate(tagged.where("linked").drop("linked"), mean, digits, shards, rounds)
+    linked = propagate(tagged.where("linked").drop("linked"), mean, digits, shards)
     done, load, left = linked, loads(linked), tagged.where(F.col("linked").isNull()).drop("linked", "shard")
     sums = {r["k"]: r["b"] for r in left.groupBy(_class(mean).alias("k")).agg(F.sum("size").alias("b")).collect()}
     for k in sorted(sums):

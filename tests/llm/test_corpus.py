@@ -401,3 +401,16 @@ def test_every_license_rule_on_its_least_text():
     labels = lambda t: licenses._row(t.encode().translate(licenses.LOWER))[5]
     assert labels("Released under MIT.") == "mit" and labels("distributed under MPL 2.0") == "mpl-2.0" and labels("under the Apache 2.0") == "apache-2.0"
     assert labels("Permission is hereby granted, free of charge, to any person obtaining a copy") == "mit"
+
+
+def test_shards_of_many_copies(spark):
+    """Nearly all rows are copies: no group within a shard stays split but where quotas leave no room for it."""
+    rng, rows = random.Random(3), []
+    for g in range(250):
+        rows += [(len(rows) + k, f"text {g} of a group of copies " * (1 + g % 3)) for k in range(rng.randrange(2, 40))]
+    rows += [(len(rows) + k, f"alone {k}") for k in range(300)]
+    got = sharding.balanced_shards(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    size = got.groupby("shard")["size"].sum()
+    split = (got.groupby(["text_crc32", "size"]).shard.nunique() > 1).sum()
+    assert len(got) == len(rows) and size.max() < 1.06 * size.mean()
+    assert split <= 20, split
