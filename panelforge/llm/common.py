@@ -11,14 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder (single-machine tests).
+#: Used only by local sessions that name no shared folder (single-machine tests).
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 #: Bytes of an Arrow batch handed to a Python worker; bounds a worker's memory whatever the row lengths.
 ARROW_BATCH_BYTES = 8 << 20
 #: The largest doc_id; rows without a doc_id sort behind all others.
 NO_ID = 2**63 - 1
 
-_staged: list[tuple[SparkSession, str]] = []
+_staged: dict[str, SparkSession] = {}
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +26,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a local one where that is unset."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Only a local session may leave it unset."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     return named or LOCAL_CHECKPOINTS
 
 
@@ -36,8 +38,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _staged.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _staged[path] = spark
+    out.staged_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more (those of a loop's earlier rounds)."""
+    for df in tables:
+        if _staged.pop(path := getattr(df, "staged_at", None), None):
+            drop_path(df.sparkSession, path)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -48,7 +59,7 @@ def drop_path(spark: SparkSession, path: str) -> None:
 
 @atexit.register
 def _clean() -> None:
-    for spark, path in _staged:
+    for path, spark in _staged.items():
         if spark.sparkContext._jsc is not None and not spark.sparkContext._jsc.sc().isStopped():
             drop_path(spark, path)
 

@@ -16,10 +16,8 @@ by a hash, and every two blocks meet in a tile, so that no task holds an unbound
 returns a spanning forest of the links it found, at most one edge a node, never all pairs. Components
 then spread their smallest doc_id over the edges until nothing changes.
 
-``near_copies`` confirms links on the texts: an edge counts if the Jaccard similarity of its ends' whole
-shingle sets is high enough. A tile then returns all links of nodes with few and the minimum spanning
-ones by distance of the others, the crowded nodes. Links among crowded nodes that the confirmed edges
-have not joined are tested in a second pass, family by family, with the shingle sets at hand.
+Nodes may carry labels of groups that are known already (``joins``): then a tile returns a minimum spanning
+forest, by distance, of the labels its links connect; ``nearcopies`` confirms those edges on the texts.
 """
 
 from __future__ import annotations
@@ -32,21 +30,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_batches, documents, map_arrow, staged
+from panelforge.llm.common import bounded_batches, documents, map_arrow, release, staged
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 SEED, BITS = 42, 64
 BLOCK = 8192
-#: A node with no more links in a tile than this has them all returned; others, the crowded ones, the spanning ones.
-FEW = 8
-#: Nodes and shingles of a block of crowded nodes, about.
-CROWD, CROWD_GRAMS = 512, 1 << 20
 #: Shingles hashed at once.
 STRIP = 1 << 18
 #: The production parameters of the query.
 WORDS, MAX_BITS = 4, 4
-#: Those of confirmed near copies: words, similarity, differing bits of a candidate, segments.
-COPY_WORDS, SIMILARITY, COPY_BITS, COPY_RING = 5, 0.8, 11, 6
 
 
 def shingle_hashes(text: str, words: int = WORDS) -> Iterator[np.ndarray]:
@@ -156,8 +148,8 @@ def forest(n: int, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
         label = new
 
 
-def spanning(n: int, rows: np.ndarray, cols: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The edges of a minimum spanning forest of n nodes, by Boruvka's rounds."""
+def spanning(n: int, rows: np.ndarray, cols: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Places of the edges of a minimum spanning forest of n nodes, by Boruvka's rounds."""
     order = np.argsort(weight, kind="stable")
     rows, cols = rows[order], cols[order]
     live, label, taken = np.arange(len(rows)), np.arange(n), []
@@ -166,8 +158,7 @@ def spanning(n: int, rows: np.ndarray, cols: np.ndarray, weight: np.ndarray) ->
         off = x != y
         live, x, y = live[off], x[off], y[off]
         if not len(live):
-            taken = np.concatenate(taken) if taken else live
-            return rows[taken], cols[taken]
+            return order[np.concatenate(taken)] if taken else live
         best = np.full(n, len(rows))
         np.minimum.at(best, x, live)
         np.minimum.at(best, y, live)
@@ -176,71 +167,75 @@ def spanning(n: int, rows: np.ndarray, cols: np.ndarray, weight: np.ndarray) ->
         label = forest(n, np.concatenate([label[rows[pick]], np.arange(n)]), np.concatenate([label[cols[pick]], label]))
 
 
-def _tile_edges(fps: np.ndarray, side: np.ndarray, start: int, bit: int | None, max_bits: int, ring: int | None, nearest: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning edges among the links of a tile. side 0: one block against itself; 1 and 2: two blocks.
-
-    ``nearest``: the shortest spanning edges, all links of nodes with few, and an edge to itself of each other node.
-    """
-    n = len(fps)
+def _strips(fps: np.ndarray, side: np.ndarray, start: int, bit: int | None, max_bits: int, ring: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of a tile, 256 rows at a time. side 0: one block against itself; 1 and 2: two blocks."""
     left = np.flatnonzero(side != 2)
-    two = bool((side == 2).any())
-    right = np.flatnonzero(side == 2) if two else left
-    degree = np.zeros(n, np.int64)
-    label = np.arange(n)
-    x = y = np.empty(0, np.int64)
-    few: list[np.ndarray] = []
+    right = np.flatnonzero(side == 2) if (side == 2).any() else left
     for at in range(0, len(left), 256):
         part = left[at : at + 256]
         i, j = linked(fps[part], fps[right], start, max_bits, ring, bit)
-        rows, cols = part[i], right[j]
-        off = rows != cols
-        if not off.any():
-            continue
-        if nearest:
-            rows, cols = rows[off], cols[off]
-            degree += np.bincount(rows, minlength=n)
-            if two:
-                degree += np.bincount(cols, minlength=n)
-            # a row's links are all in this strip; a column's go on, so its are kept while they may be few
-            own = np.minimum(degree[rows], degree[cols] if two else BLOCK) <= FEW
-            few.append(np.stack([rows[own], cols[own]]))
-            x, y = np.concatenate([x, rows]), np.concatenate([y, cols])
-            x, y = spanning(n, x, y, np.bitwise_count(fps[x] ^ fps[y]))
-        else:
-            label = forest(n, np.concatenate([rows[off], np.arange(n)]), np.concatenate([cols[off], label]))
-    if nearest:
-        crowded = np.flatnonzero(degree > FEW)
-        x, y = np.concatenate([np.stack([x, y]), *few, np.stack([crowded, crowded])], axis=1)
-        x, y = fps[x].view(np.int64), fps[y].view(np.int64)
-        return np.minimum(x, y).view(np.uint64), np.maximum(x, y).view(np.uint64)
-    moved = np.flatnonzero(label != np.arange(n))
-    return fps[moved], fps[label[moved]]
+        if len(i):
+            yield part[i], right[j]
+
+
+def _tile_edges(fps: np.ndarray, side: np.ndarray, *way) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning edges among the links of a tile."""
+    label = np.arange(len(fps))
+    for rows, cols in _strips(fps, side, *way):
+        label = forest(len(fps), np.concatenate([rows, np.arange(len(fps))]), np.concatenate([cols, label]))
+    moved = np.flatnonzero(label != np.arange(len(fps)))
+    return fps[moved].view(np.int64), fps[label[moved]].view(np.int64)
+
+
+def _tile_joins(fps: np.ndarray, nodes: np.ndarray, labels: np.ndarray, side: np.ndarray, *way) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of nodes: the shortest spanning edges among the labels that links of a tile connect."""
+    names, label = np.unique(labels, return_inverse=True)
+    x = y = np.empty(0, np.int64)
+    if len(names) > 1:
+        for rows, cols in _strips(fps, side, *way):
+            off = label[rows] != label[cols]
+            if off.any():
+                x, y = np.concatenate([x, rows[off]]), np.concatenate([y, cols[off]])
+                pick = spanning(len(names), label[x], label[y], np.bitwise_count(fps[x] ^ fps[y]))
+                x, y = x[pick], y[pick]
+    return np.minimum(nodes[x], nodes[y]), np.maximum(nodes[x], nodes[y])
 
 
-def links(nodes: DataFrame, max_bits: int = MAX_BITS, ring: int | None = None, nearest: bool = False) -> DataFrame:
+def links(nodes: DataFrame, max_bits: int = MAX_BITS, ring: int | None = None) -> DataFrame:
     """(a, b): edges that connect exactly the fingerprints within max_bits of each other, directly or through others.
 
     ``nodes``: distinct fingerprints (fp). Buckets number at most (max_bits + 1) * 2^(64 / (max_bits + 1)
     rounded up), with a ``ring`` of n segments 64 * 2^(64 / n rounded up); only those over BLOCK rows are
-    looked up by the others, so that table is bounded. ``nearest``: minimum spanning edges of each
-    tile, all links of its nodes with few, and an edge to itself of each node with more.
+    looked up by the others, so that table is bounded.
+    """
+    return _met(nodes, [], max_bits, ring)
+
+
+def joins(nodes: DataFrame, max_bits: int, ring: int | None = None) -> DataFrame:
+    """(a, b): pairs of nodes within max_bits that connect their labels, as all such pairs would; nodes of one label are not paired.
+
+    ``nodes``: (fp, node, label), node distinct; nodes may share a fingerprint.
     """
+    return _met(nodes, ["node", "label"], max_bits, ring)
+
+
+def _met(nodes: DataFrame, carried: list[str], max_bits: int, ring: int | None) -> DataFrame:
     spark = nodes.sparkSession
     bounded_batches(spark)
     kinds = bucket_keys(max_bits, ring)
     keys = F.array(*[F.shiftrightunsigned("fp", shift).bitwiseAND(F.lit(mask)).cast("int" if mask < 2**31 else "long") for _, _, shift, mask in kinds])
-    dealt = nodes.select("fp", F.posexplode(keys).alias("seg", "val"))
+    dealt = nodes.select("fp", *carried, F.posexplode(keys).alias("seg", "val"))
     sizes = dealt.groupBy("seg", "val").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     sizes = staged(sizes.select("seg", "val", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "buckets")
     dealt = dealt.join(sizes, ["seg", "val"])
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
+    block = F.pmod(F.xxhash64(*(carried[:1] or ["fp"])), F.col("blocks")).cast("int")
     # block b meets blocks 0..b as the right side and b..last as the left; a tile (i, i) holds one block
-    tiles = dealt.select("fp", "seg", "val", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    tiles = dealt.select("fp", *carried, "seg", "val", block.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = tiles.select(
-        "fp", "seg", "val", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "fp", *carried, "seg", "val", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
         F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    tiles = tiles.repartition("seg", "val", "i", "j").sortWithinPartitions("seg", "val", "i", "j", "fp")
+    tiles = tiles.repartition("seg", "val", "i", "j").sortWithinPartitions("seg", "val", "i", "j", "fp", *carried)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -256,18 +251,18 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, ring: int | None = None, n
     kept: list = [None]
 
     def cut(cols: list[np.ndarray], last: bool) -> Iterator[pa.RecordBatch]:
-        fp, seg, val, i, j, side = cols
+        fp, *more, seg, val, i, j, side = cols
         new = np.flatnonzero((seg[1:] != seg[:-1]) | (val[1:] != val[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         bounds = [0, *new.tolist(), *([len(fp)] if last else [])]
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for a, b in zip(bounds, bounds[1:]):
             if b - a > 1:
-                x, y = _tile_edges(fp[a:b].view(np.uint64), side[a:b], *kinds[int(seg[a])][:2], max_bits, ring, nearest)
+                x, y = (_tile_joins if more else _tile_edges)(fp[a:b].view(np.uint64), *[c[a:b] for c in more], side[a:b], *kinds[int(seg[a])][:2], max_bits, ring)
                 if len(x):
                     out.append((x, y))
         kept[0] = None if last else [c[bounds[-1] :] for c in cols]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).view(np.int64)) for k in (0, 1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["a", "b"])
 
     return tiles.mapInArrow(run, "a long, b long").distinct()
 
@@ -279,26 +274,29 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     to; only nodes with edges take part. Rounds are about the logarithm of a component's breadth.
     """
     both = staged(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = both.select(F.col("a").alias("fp")).distinct().join(nodes, "fp")
-    labels = staged(labels.select("fp", "label"), "labels")
+    labels = staged(both.select(F.col("a").alias("fp")).distinct().join(nodes, "fp").select("fp", "label"), "labels")
     while True:
         heard = both.join(labels.select(F.col("fp").alias("b"), "label"), "b").groupBy(F.col("a").alias("fp")).agg(F.min("label").alias("heard"))
-        new = labels.join(heard, "fp").select("fp", F.col("label").alias("old"), F.least("label", "heard").alias("label"))
-        # pointer jump: the label is a doc_id; all nodes that hold it as their old label pass on the best they know
-        best = new.groupBy("old").agg(F.min("label").alias("best"))
-        new = staged(new.join(best, "old").select("fp", "old", F.least("label", "best").alias("label")), "labels")
-        changed = new.where(~F.col("label").eqNullSafe(F.col("old"))).limit(1).count()
-        labels = new.select("fp", "label")
+        new = staged(labels.join(heard, "fp").select("fp", F.col("label").alias("old"), F.least("label", "heard").alias("label")), "heard")
+        # pointer jump: all nodes that held a label pass on the best they know; written, so that the join
+        # shuffles both sides and a hub's label can be split
+        best = staged(new.groupBy("old").agg(F.min("label").alias("best")), "best")
+        after = staged(new.join(best, "old").select("fp", "old", F.least("label", "best").alias("label")), "labels")
+        changed = after.where(~F.col("label").eqNullSafe(F.col("old"))).limit(1).count()
+        release(labels, new, best)
+        labels = after
         if not changed:
-            return labels
+            release(both)
+            return labels.select("fp", "label")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = WORDS, max_bits: int = MAX_BITS) -> DataFrame:
     """(id_col, fp, component_id): each row's fingerprint and the smallest id reachable over links of max_bits or less.
 
     A null or wordless text has fingerprint zero, linked like any other; fewer than ``words`` words
-    make one shingle; a null id never becomes a component_id unless no other is reachable (then null);
-    repeated rows stay; an empty table gives no rows; other columns are ignored.
+    make one shingle; very long texts are hashed whole, STRIP shingles at a time; a bit set in exactly
+    half of the hashes is 0; a null id never becomes a component_id unless no other is reachable (then
+    null); repeated rows stay; an empty table gives no rows; other columns are ignored.
     """
     fps = staged(fingerprints(docs, text, id_col, words), "fingerprints")
     nodes = staged(fps.groupBy("fp").agg(F.min(id_col).alias("label")), "nodes")
@@ -308,123 +306,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     return fps.join(labels, "fp").select(id_col, "fp", "component_id")
 
 
-def shingle_sets(rows: DataFrame, words: int) -> DataFrame:
-    """(fp, grams): the distinct shingle hashes of each row's text. ``rows``: (fp, text)."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [np.unique(np.concatenate([np.empty(0, ">u8"), *shingle_hashes(t.as_py() or "", words)])).astype(np.uint64).view(np.int64) for t in batch.column(1)]
-        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-        grams = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
-        return pa.RecordBatch.from_arrays([batch.column(0), grams], ["fp", "grams"])
-
-    return map_arrow(rows, run, "fp long, grams array<long>")
-
-
-def confirmed(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The edges (a, b) whose ends' shingle sets have this Jaccard similarity."""
-    x, y = (sets.select(F.col("fp").alias(k), F.col("grams").alias(f"{k}_grams")) for k in "ab")
-    both = F.size(F.array_intersect("a_grams", "b_grams"))
-    return edges.join(x, "a").join(y, "b").where(both >= similarity * (F.size("a_grams") + F.size("b_grams") - both)).select("a", "b")
-
-
-def crowd_edges(fps: np.ndarray, labels: np.ndarray, grams: list[np.ndarray], right: np.ndarray, max_bits: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs of similar nodes that join the labels as all similar pairs of max_bits or less would.
-
-    ``labels``: known groups; ``right``: the nodes of the second block, if any is set, else all pairs are meant.
-    """
-    label = np.unique(labels, return_inverse=True)[1]
-    sizes = np.array([len(g) for g in grams], np.int64)
-    ends = np.cumsum(sizes)
-    of = np.unique(np.concatenate(grams), return_inverse=True)[1]
-    mark = np.zeros(len(of), bool)
-    left, right = (np.flatnonzero(~right), np.flatnonzero(right)) if right.any() else (np.arange(len(fps)), np.arange(len(fps)))
-    x: list[int] = []
-    y: list[int] = []
-    for i in left.tolist():
-        to = right[(label[right] != label[i]) & (np.bitwise_count(fps[right] ^ fps[i]) <= max_bits)]
-        if not len(to):
-            continue
-        own = of[ends[i] - sizes[i] : ends[i]]
-        mark[own] = True
-        both = np.array([np.count_nonzero(mark[of[ends[j] - sizes[j] : ends[j]]]) for j in to])
-        mark[own] = False
-        to = to[both >= similarity * (sizes[i] + sizes[to] - both)]
-        if len(to):
-            joined, at = np.unique(label[to], return_index=True)
-            x += [i] * len(at)
-            y += to[at].tolist()
-            label[np.isin(label, joined)] = label[i]
-    return np.array(x, np.int64), np.array(y, np.int64)
-
-
-def crowded_links(groups: DataFrame, edges: DataFrame, crowded: DataFrame, sets: DataFrame, max_bits: int, similarity: float) -> DataFrame:
-    """(a, b): labels of groups that similar links among crowded nodes join, enough to join all that are to be.
-
-    ``groups``: (fp, label) as joined so far; ``edges``: candidates. Groups that candidates connect are
-    a family, and a link lies within one. Families are cut into blocks by a hash, and every two blocks meet.
-    """
-    x, y = (groups.select(F.col("fp").alias(k), F.col("label").alias(f"{k}_label")) for k in "ab")
-    cross = edges.join(x, "a").join(y, "b").where(F.col("a_label") != F.col("b_label")).select(F.col("a_label").alias("a"), F.col("b_label").alias("b"))
-    cross = staged(cross.distinct(), "cross")
-
-    def thinned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [np.stack([c.to_numpy() for c in b.columns]) for b in batches]
-        names, at = np.unique(np.concatenate([np.empty((2, 0), np.int64), *got], axis=1), return_inverse=True)
-        at = at.reshape(2, -1)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(names[forest(len(names), at[0], at[1])])], ["a", "b"])
-
-    # a spanning forest of each part of bounded size connects the same groups by fewer edges
-    cross = cross.repartition(cross.count() // STRIP + 1).mapInArrow(thinned, "a long, b long").where("a <> b")
-    family = components(groups.select(F.col("label").alias("fp"), "label").distinct(), cross).select(F.col("fp").alias("label"), F.col("label").alias("family"))
-    rows = crowded.join(groups, "fp").join(family, "label").join(sets.select("fp", F.size("grams").alias("n")), "fp")
-    rows = staged(rows.select("fp", "family", "label", "n"), "crowded")
-    sizes = rows.groupBy("family").agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.min("label").alias("x"), F.max("label").alias("y"))
-    sizes = sizes.where(F.col("x") < F.col("y")).select("family", F.ceil(F.greatest(F.col("m") / CROWD, F.col("n") / CROWD_GRAMS)).cast("int").alias("blocks"))
-    rows = rows.join(staged(sizes, "families"), "family").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    rows = rows.join(sets, "fp").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("fp", "label", "grams", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("right"))
-
-    def run(tile: pa.Table) -> pa.Table:
-        fp, label, right = (tile.column(c).to_numpy() for c in ("fp", "label", "right"))
-        order = np.argsort(fp)  # the same edges in every run
-        values: list[np.ndarray] = []
-        for chunk in tile.column("grams").chunks:
-            at = chunk.offsets.to_numpy()
-            values += [chunk.values.to_numpy()[a:b] for a, b in zip(at, at[1:])]
-        x, y = crowd_edges(fp[order].view(np.uint64), label[order], [values[k] for k in order], right[order].astype(bool), max_bits, similarity)
-        return pa.table({"a": label[order][x], "b": label[order][y]})
-
-    return rows.groupBy("family", "i", "j").applyInArrow(run, "a long, b long")
-
-
-def near_copies(docs: DataFrame, text: str = "text", id_col: str = "doc_id", words: int = COPY_WORDS, similarity: float = SIMILARITY, max_bits: int = COPY_BITS, ring: int | None = COPY_RING) -> DataFrame:
-    """(id_col, fp, component_id): near-duplicates by fingerprints, confirmed on the texts.
-
-    Candidates are the links of max_bits or less; all those
-    whose shingle sets have a Jaccard similarity of ``similarity`` join components. Rows of one
-    fingerprint are one node, which the text of its smallest id stands for. Nulls, odd rows and empty
-    tables as in ``near_duplicates``; a node without any id is confirmed with none.
-    """
-    fps = staged(fingerprints(docs, text, id_col, words), "fingerprints")
-    nodes = staged(fps.groupBy("fp").agg(F.min(id_col).alias("label")), "nodes")
-    found = staged(links(nodes.select("fp"), max_bits, ring, nearest=True), "candidates")
-    edges, crowded = found.where(F.col("a") != F.col("b")), found.where(F.col("a") == F.col("b")).select(F.col("a").alias("fp"))
-    ends = edges.select(F.col("a").alias("fp")).unionByName(edges.select(F.col("b").alias("fp"))).distinct()
-    ends = nodes.join(ends, "fp", "left_semi").select("fp", F.col("label").alias("_rep"))
-    texts = docs.select(F.col(id_col).alias("_rep"), F.col(text).alias("_text")).join(ends, "_rep")
-    sets = staged(shingle_sets(texts.select("fp", "_text"), words), "shingles").groupBy("fp").agg(F.min("grams").alias("grams"))
-    sets = staged(sets, "sets")
-    kept, known = confirmed(edges, sets, similarity), nodes.where(F.col("label").isNotNull())
-    groups = known.join(components(known, kept).withColumnRenamed("label", "low"), "fp", "left").select("fp", F.coalesce("low", "label").alias("label"))
-    if crowded.limit(1).count():
-        groups = staged(groups, "groups")
-        more = crowded_links(groups, edges, crowded, sets, max_bits, similarity)
-        top = components(groups.select(F.col("label").alias("fp"), "label").distinct(), more).select(F.col("fp").alias("label"), F.col("label").alias("low"))
-        groups = groups.join(top, "label", "left").select("fp", F.coalesce("low", "label").alias("label"))
-    labels = nodes.select("fp").join(groups.withColumnRenamed("label", "component_id"), "fp", "left")
-    return fps.join(labels, "fp").select(id_col, "fp", "component_id")
-
-
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = near_duplicates(documents(spark, sf_dir))
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

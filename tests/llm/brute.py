@@ -84,19 +84,35 @@ def secrets(text):
     return ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
 
 
-def near_copies(rows, words, similarity, fps, max_bits):
-    """doc_id to the smallest doc_id reachable over pairs of this Jaccard similarity and distance, by all pairs."""
+def shingle_sets(texts, words):
     sets = []
-    for _, text in rows:
-        w = text.translate(LOWER).split()
-        sets.append({tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))} if w else set())
-    low = {i: i for i, _ in rows}
-    pairs = [
-        (rows[x][0], rows[y][0]) for x in range(len(rows)) for y in range(x)
-        if fps[x] == fps[y] or ((fps[x] ^ fps[y]).bit_count() <= max_bits and len(sets[x] & sets[y]) >= similarity * len(sets[x] | sets[y]))
-    ]
+    for text in texts:
+        w = (text or "").translate(LOWER).split()
+        sets.append({hash(tuple(w[i : i + words])) for i in range(max(1, len(w) - words + 1))} if w else set())
+    return sets
+
+
+def similar_pairs(sets, similarity):
+    """All index pairs of this Jaccard similarity, by an index of the prefixes that similar sets must share; empty sets are alike."""
+    index, tested, found = collections.defaultdict(list), set(), set()
+    for x, s in enumerate(sets):
+        need = -int(-similarity * len(s) // 1)
+        for g in sorted(s)[: len(s) - need + 1] if s else [()]:
+            for y in index[g]:
+                if (y, x) not in tested and similarity * len(s) <= len(sets[y]) <= len(s) / similarity:
+                    tested.add((y, x))
+                    if len(s & sets[y]) >= similarity * len(s | sets[y]) - 1e-9:
+                        found.add((y, x))
+            index[g].append(x)
+    return found
+
+
+def near_copies(rows, words, similarity):
+    """Index of each row to the least index it reaches over pairs of this Jaccard similarity."""
+    low = list(range(len(rows)))
+    pairs = similar_pairs(shingle_sets([t for _, t in rows], words), similarity)
     while True:
-        before = dict(low)
+        before = list(low)
         for x, y in pairs:
             low[x] = low[y] = min(low[x], low[y])
         if low == before:

@@ -16,7 +16,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import compare  # noqa: E402
 
-from panelforge.llm import avi, bpe, licenses, linededup, mixing, neighbours, quality, secrets, sharding, simhash  # noqa: E402
+from panelforge.llm import avi, bpe, licenses, linededup, mixing, nearcopies, neighbours, quality, secrets, sharding, simhash  # noqa: E402
 from panelforge.llm import queries as Q  # noqa: E402
 from tests.llm import brute  # noqa: E402
 
@@ -53,7 +53,7 @@ def test_sql(spark, name):
 
 def test_all_on_empty(spark, none):
     model = quality.Model(b" ", b" ", 1.0, 0.0)
-    for made in (mixing.mix(none), mixing.mixed_rows(none), sharding.balanced_shards(none), avi.avi_features(none), licenses.license_scan(none), secrets.secret_scan(none), quality.quality_scores(none, model), quality.keep_good(none, model), bpe.bpe_encode(none, bpe.default_vocab()), linededup.dedup_lines(none), simhash.near_duplicates(none)):
+    for made in (mixing.mix(none), mixing.mixed_rows(none), sharding.balanced_shards(none), avi.avi_features(none), licenses.license_scan(none), secrets.secret_scan(none), quality.quality_scores(none, model), quality.keep_good(none, model), bpe.bpe_encode(none, bpe.default_vocab()), linededup.dedup_lines(none), simhash.near_duplicates(none), nearcopies.first_of_each(none)):
         assert made.count() == 0
 
 
@@ -284,8 +284,9 @@ def test_pipeline_brute(spark):
     rows = [(r["doc_id"], r["text"], r["lang"], r["source"]) for r in docs.collect() if quality.score(r["text"], model) >= quality.THRESHOLD]
     kept = brute.line_dedup([r[:2] for r in rows])
     rows = [(i, kept[i][0], a, b) for i, _, a, b in rows if kept[i][2] < kept[i][1] or not kept[i][2]]
-    groups = brute.near_copies([r[:2] for r in rows], cp.WORDS, cp.SIMILARITY, [simhash.fingerprint(r[1], cp.WORDS) for r in rows], simhash.COPY_BITS)
-    rows = [r for r in rows if groups[r[0]] == r[0]]
+    rows.sort()
+    groups = brute.near_copies([r[:2] for r in rows], cp.WORDS, cp.SIMILARITY)
+    rows = [r for k, r in enumerate(rows) if groups[k] == k]
     dom = lambda s: {0: "web", 1: "news", 2: "books", 3: "forum"}[int(s[3:]) // 5]
     mixed = [d for d, c, t in brute.mixture(rows, mixing.WEIGHTS, cp.BUDGET, cp.MAX_EPOCHS, mixing.SEED, dom) for _ in range(c + (t > 0))]
     tok = Tokenizer.from_file(bpe.default_vocab())
@@ -331,7 +332,8 @@ def test_ring_with_masked_bits_finds_all_links():
 def test_spanning_forest_is_minimal():
     rng = np.random.default_rng(2)
     x, y, w = rng.integers(0, 60, 300), rng.integers(0, 60, 300), rng.integers(0, 9, 300)
-    a, b = simhash.spanning(60, x, y, w)
+    at = simhash.spanning(60, x, y, w)
+    a, b = x[at], y[at]
     for limit in range(9):
         cost = {}
         for i, j, k in zip(x.tolist(), y.tolist(), w.tolist()):
@@ -340,7 +342,12 @@ def test_spanning_forest_is_minimal():
         low = w <= limit
         of = np.array(kept, np.int64).reshape(-1, 2)
         assert (simhash.forest(60, of[:, 0], of[:, 1]) == simhash.forest(60, x[low], y[low])).all()
-    assert len(simhash.spanning(3, *(np.empty(0, np.int64) for _ in range(3)))[0]) == 0
+    assert len(simhash.spanning(3, *(np.empty(0, np.int64) for _ in range(3)))) == 0
+
+
+def grouped(df):
+    """(doc_id, text hash) -> group, of near_copies."""
+    return {(r["doc_id"], r["text_hash"]): (r["component_id"], r["component_hash"]) for r in df.collect()}
 
 
 def test_near_copies(spark, odd, none):
@@ -355,22 +362,19 @@ def test_near_copies(spark, odd, none):
             for at in rng.sample(range(300), edits):
                 t[at] = rng.choice(words)
             rows.append((len(rows), " ".join(t)))
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    sets = [{tuple(t.split()[i : i + 5]) for i in range(296)} for _, t in rows]
-    same = [(i, j) for i in range(len(rows)) for j in range(i) if i // 7 == j // 7 and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
-    want = simhash.forest(len(rows), *np.array(same).T)
-    assert len(got) == len(rows) and all(want[i] <= c for i, c in got.items())  # nothing joined that is not similar
-    assert sum(got[i] == want[i] for i in got) >= 0.99 * len(rows)
-    out = simhash.near_copies(odd).toPandas()
+    got = {k[0]: v[0] for k, v in grouped(nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))).items()}
+    assert got == dict(enumerate(brute.near_copies(rows, 5, 0.8)))
+    out = nearcopies.near_copies(odd).toPandas()
     assert len(out) == len(ODD) and out[out.doc_id == 4].component_id.item() == 3
-    assert simhash.near_copies(none).count() == 0
+    assert out[out.doc_id == 7].component_id.item() == 1  # wordless texts are copies of each other
+    assert nearcopies.near_copies(none).count() == 0
 
 
 @pytest.mark.parametrize("block, crowd", [(8192, 512), (64, 40)])
 def test_near_copies_of_a_large_family(spark, block, crowd, monkeypatch):
-    """Edited variants of one text, many near but below the similarity: every candidate link counts, as by all pairs."""
+    """Edited variants of one text, many near but below the similarity: every pair counts."""
     monkeypatch.setattr(simhash, "BLOCK", block)
-    monkeypatch.setattr(simhash, "CROWD", crowd)
+    monkeypatch.setattr(nearcopies, "CROWD", crowd)
     rng = random.Random(9)
     base = [f"w{rng.randrange(4000)}" for _ in range(300)]
     rows = [(0, " ".join(base))]
@@ -379,11 +383,38 @@ def test_near_copies_of_a_large_family(spark, block, crowd, monkeypatch):
         for at in rng.sample(range(300), rng.choice((6, 7))):
             t[at] = f"x{rng.randrange(10**6)}"
         rows.append((k, " ".join(t)))
-    want = brute.near_copies(rows, 5, 0.8, [simhash.fingerprint(t, 5) for _, t in rows], simhash.COPY_BITS)
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = dict(enumerate(brute.near_copies(rows, 5, 0.8)))
+    got = {k[0]: v[0] for k, v in grouped(nearcopies.near_copies(spark.createDataFrame(rows, "doc_id long, text string"))).items()}
     assert got == want and 1 < len(set(want.values())) < len(rows)
 
 
+def test_near_copies_recall(spark):
+    """All pairs of 0.8 or more among 10,000 documents: at least 0.9 of the pairs share a group, and nothing else does."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    got = {k[0]: v[0] for k, v in grouped(nearcopies.near_copies(docs)).items()}
+    sets = brute.shingle_sets([t for _, t in rows], 5)
+    pairs = [(x, y) for x, y in brute.similar_pairs(sets, 0.8) if sets[x] != sets[y]]
+    hit = sum(got[rows[x][0]] == got[rows[y][0]] for x, y in pairs)
+    print(f"recall {hit} of {len(pairs)} pairs")
+    assert len(pairs) > 20 and hit >= 0.9 * len(pairs)
+    want = brute.near_copies(rows, 5, 0.8)
+    assert all(rows[want[x]][0] <= got[i] for x, (i, _) in enumerate(rows))
+
+
+def test_first_of_each(spark):
+    """Rows are told apart by id and text: the copy goes, clean rows stay whatever their id."""
+    a, b = "alpha beta gamma delta epsilon zeta", "one two three four five six seven"
+    keep = lambda rows: sorted((tuple(r) for r in nearcopies.first_of_each(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()), key=str)
+    assert keep([(5, a, 1), (6, a, 2), (6, b, 3)]) == [(5, a, 1), (6, b, 3)]
+    assert keep([(7, a, 1), (7, b, 2)]) == [(7, a, 1), (7, b, 2)]
+    assert keep([(7, a, 3), (7, a, 1), (None, a, 0)]) == [(7, a, 1)]
+    assert keep([(None, a, 2), (None, a, 2), (None, b, None)]) == [(None, a, 2), (None, b, None)]
+    assert keep([(3, None, 1), (2, "", 1), (4, " \n", 1)]) == [(2, "", 1)]
+    crowd = [(None, a + f" {k % 3}", k) for k in range(300)]
+    assert len(keep(crowd)) == 3
+
+
 def test_every_license_rule_on_its_least_text():
     """A text that holds no more than what a rule asks for is detected as a whole."""
     import re
