@@ -7,8 +7,8 @@ weight again. A node never gets more than its subtree holds, so a shortage is ma
 siblings first and climbs to the parents' siblings only when they are exhausted. Budgets are solved
 by sorted prefix sums inside each parent, without a loop over nodes.
 
-A leaf's tokens come from seeded epochs: epoch e orders the leaf's documents by a hash of seed, e and
-doc_id. Full epochs count whole; the rest of the leaf's budget is the prefix of the next epoch.
+A leaf's tokens come from seeded epochs: epoch e orders the leaf's documents by a hash of seed, e,
+doc_id and text. Full epochs count whole; the rest of the leaf's budget is the prefix of the next epoch.
 """
 
 from __future__ import annotations
@@ -69,7 +69,8 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, float]], budget
     ``budget`` is a share of all tokens; more than the corpus can give in max_epochs takes all of it.
     """
     weight = lambda level: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in [("", 1.0), *weights.get(level, {}).items()] for x in kv]), F.coalesce(F.col(level), F.lit(""))), F.lit(1.0))
-    tree = leaves.withColumn("cap", F.col("tokens").cast("double") * max_epochs).withColumn("total", F.sum("tokens").over(W.partitionBy(F.lit(0))).cast("double") * budget)
+    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double").alias("t")).first()["t"]
+    tree = leaves.withColumn("cap", F.col("tokens").cast("double") * max_epochs).withColumn("total", F.lit(total * budget))
     for k, level in enumerate(LEVELS):
         keys = LEVELS[: k + 1]
         # caps of this level's nodes, each once
@@ -91,13 +92,15 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]] = WEIGHTS, budget:
     last, partial epoch (its first ones, where the leaf's prefix ends inside it). Summed over a leaf,
     copies * n_tokens + tail_tokens is exactly the leaf's target. Null text, id, lang and source:
     no tokens, hashed as empty, leaves of their own. Repeated rows tie in every order and count each.
+    Very long texts are one row; a prefix may end inside one (tail_tokens says where).
     An empty table gives no rows; other columns stay in the struct ``doc``.
     """
     domain = domain_of(source) if domain is None else domain
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),
         domain.alias("domain"), F.col(lang).alias("lang"), F.col(source).alias("source"),
-        F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), word_tokens(text).alias("n_tokens"),
+        # the text tells null and repeated ids apart, so that they don't share one hash and bucket
+        F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(text_or_empty(text).cast("binary"))).alias("id"), word_tokens(text).alias("n_tokens"),
     )
     leaves = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("n"))
     leaves = staged(leaves, "leaves")
@@ -144,7 +147,7 @@ def op1_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = r"""
 WITH docs AS (
- SELECT doc_id, lang, source, coalesce(cast(doc_id AS VARCHAR), '') AS id, len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+'))::BIGINT AS n,
+ SELECT doc_id, lang, source, coalesce(cast(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, '')) AS id, len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+'))::BIGINT AS n,
   try_cast(regexp_extract(coalesce(source, ''), '^src([0-9]{1,4})$', 1) AS INTEGER) AS num FROM documents),
 named AS (SELECT *, CASE WHEN num BETWEEN 0 AND 4 THEN 'web' WHEN num BETWEEN 5 AND 9 THEN 'news' WHEN num BETWEEN 10 AND 14 THEN 'books' WHEN num BETWEEN 15 AND 19 THEN 'forum' ELSE 'other' END AS domain FROM docs),
 leaf AS (SELECT domain, lang, source, sum(n)::BIGINT AS tokens, sum(n)::DOUBLE * 3 AS cap, 1.0::DOUBLE AS w FROM named GROUP BY ALL),

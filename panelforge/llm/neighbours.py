@@ -1,12 +1,13 @@
 """Nearest neighbours by a block matrix join of int8 tiles.
 
-Vectors are packed into blocks, each vector quantised to int8 with a scale of its own and the norm of
-what the rounding left over. A tile multiplies a block of queries with a block of candidates in whole
+Vectors are quantised once to int8, each with a scale of its own and the norm of what the rounding left
+over, and packed into blocks. Blocks of queries and of candidates are dealt to groups, and every two
+groups meet in a tile: numbers of tiles grow with queries and with candidates. A tile multiplies in whole
 numbers; the quantised products bound every true product from both sides (Cauchy and Schwarz on the
-left-over parts). Pairs whose upper bound cannot reach the tile's k-th best lower bound, or the k-th
-best a query's heap already holds, are pruned; the survivors are recomputed in double precision from
-the original vectors, pushed on a heap a query, and the heaps of all tiles merged. The result is
-exact: no pair is dropped that could belong to the k nearest.
+left-over parts). Pairs whose upper bound cannot reach a query's k-th best lower bound are pruned, first
+within the tile, then over all of a query's tiles; the survivors fetch the original vectors, are
+recomputed in double precision and merged by a heap a query. The result is exact: no pair is dropped
+that could belong to the k nearest.
 """
 
 from __future__ import annotations
@@ -20,11 +21,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import bounded_batches, staged
+from panelforge.llm.common import bounded_batches, map_arrow, staged
 
 K, QUERY_EVERY = 20, 20
-#: Components in a block at most (4 bytes each): 1 MB, so 4096 vectors of 64 components.
+#: Components in a block at most (a byte each): 256 kB, so 4096 vectors of 64 components.
 BLOCK_COMPONENTS = 1 << 18
+#: Blocks of queries and of candidates in a group, about.
+GROUP_QUERIES, GROUP_OTHERS = 4, 8
 #: Queries multiplied at once.
 STRIP = 256
 #: Widens the bounds for the rounding of float arithmetic itself.
@@ -38,51 +41,49 @@ def takes_part(vector: str) -> Column:
     return v.isNotNull() & (F.size(v) > 0) & ~F.coalesce(bad, F.lit(False)) & F.exists(v, lambda x: x != 0)
 
 
-def packed(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(dim, block, ids, data): blocks of vectors of one length; data is little-endian float32, or float64 for doubles."""
-    kind = "<f4" if "float" in dict(vectors.dtypes)[vector] else "<f8"
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """int8 forms of the rows of ``x``, and for each row its scale and the norms of the left-over, the whole and the rounded vector."""
+    wide = x.astype(np.float64)
+    scale = np.abs(wide).max(1) / 127
+    scale[scale == 0] = np.finfo(np.float64).tiny  # components too small to divide
+    q = np.clip(np.rint(wide / scale[:, None]), -127, 127).astype(np.int8)
+    back = q * scale[:, None]
+    norm = lambda v: np.sqrt((v**2).sum(1)) * (1 + SLACK)
+    return q, np.stack([scale, norm(wide - back), norm(wide), norm(back)])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        part, made = TaskContext.get().partitionId(), 0
+def packed(vectors: DataFrame) -> DataFrame:
+    """(dim, block, n, data): quantised blocks of vectors of one length. ``vectors``: (row, id, v), row distinct."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list] = {}
 
         def out(dim: int) -> pa.RecordBatch:
-            nonlocal made
-            ids, rows = zip(*held.pop(dim))
-            made += 1
-            data = np.concatenate(rows).astype(kind).tobytes()
-            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([f"{part}-{made}"]), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([data], pa.binary())], ["dim", "block", "ids", "data"])
+            rows, ids, xs = zip(*held.pop(dim))
+            q, facts = quantised(np.stack(xs))
+            data = np.array([rows, ids], "<i8").tobytes() + facts.astype("<f8").tobytes() + q.tobytes()
+            return pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([rows[0]], pa.int64()), pa.array([len(rows)], pa.int32()), pa.array([data], pa.binary())], ["dim", "block", "n", "data"])
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for i, v in zip(ids, batch.column(1)):
+            for row, i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 x = v.values.to_numpy(zero_copy_only=False)
                 rows = held.setdefault(len(x), [])
-                rows.append((i, x))
+                rows.append((row, i, x))
                 if len(rows) * len(x) >= BLOCK_COMPONENTS:
                     yield out(len(x))
         for dim in list(held):
             yield out(dim)
 
-    return vectors.select(F.col(id_col).cast("long"), vector).mapInArrow(run, "dim int, block string, ids binary, data binary")
+    return vectors.select("row", "id", "v").mapInArrow(run, "dim int, block long, n int, data binary")
 
 
 class Block:
-    """A block in memory: vectors, their int8 forms, scales, norms and left-over norms."""
+    """A block in memory: row numbers, ids, int8 vectors, scales and norms."""
 
-    def __init__(self, dim: int, ids: bytes, data: bytes) -> None:
-        self.ids = np.frombuffer(ids, "<i8")
-        self.x = np.frombuffer(data, "<f4" if len(data) == 4 * dim * len(self.ids) else "<f8").reshape(-1, dim)
-        wide = self.x.astype(np.float64)
-        scale = np.abs(wide).max(1) / 127
-        self.q = np.rint(wide / scale[:, None]).astype(np.int8)
-        back = self.q * scale[:, None]
-        self.scale = scale
-        self.left = np.sqrt(((wide - back) ** 2).sum(1)) * (1 + SLACK)
-        self.norm = np.sqrt((wide**2).sum(1)) * (1 + SLACK)
-        self.rounded = np.sqrt((back**2).sum(1)) * (1 + SLACK)
+    def __init__(self, dim: int, n: int, data: bytes) -> None:
+        self.rows, self.ids = np.frombuffer(data, "<i8", 2 * n).reshape(2, n)
+        self.scale, self.left, self.norm, self.rounded = np.frombuffer(data, "<f8", 4 * n, 16 * n).reshape(4, n)
+        self.q = np.frombuffer(data, np.int8, n * dim, 48 * n).reshape(n, dim)
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -93,12 +94,14 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return total
 
 
-def tile(queries: Block, others: Block, heaps: dict[int, list], k: int) -> None:
-    """Push the tile's pairs that can be among a query's k nearest on the queries' heaps of (score, -id)."""
-    dim = queries.x.shape[1]
+def tile(queries: Block, others: Block, floor: np.ndarray, k: int) -> list[tuple[np.ndarray, ...]]:
+    """(query place, candidate row, lower, upper bound) of the pairs that can be among a query's k nearest.
+
+    ``floor``: each query's k-th best lower bound of one block so far; raised in place.
+    """
     # int8 products up to 2^24 are whole numbers in float32
-    exact = np.float32 if dim * 127 * 127 < 2**24 else np.float64
-    right = others.q.astype(exact).T
+    exact = np.float32 if queries.q.shape[1] * 127 * 127 < 2**24 else np.float64
+    right, out = others.q.astype(exact).T, []
     for at in range(0, len(queries.ids), STRIP):
         s = slice(at, at + STRIP)
         near = (queries.q[s].astype(exact) @ right).astype(np.float64) * queries.scale[s, None] * others.scale[None, :]
@@ -106,19 +109,97 @@ def tile(queries: Block, others: Block, heaps: dict[int, list], k: int) -> None:
         bound += SLACK * np.abs(near) + 1e-300
         near[queries.ids[s, None] == others.ids[None, :]] = -np.inf
         low, high = near - bound, near + bound
-        floor = np.array([heaps[i][0][0] if len(heaps.setdefault(i, [])) >= k else -np.inf for i in queries.ids[s].tolist()])
         if low.shape[1] > k:
-            floor = np.maximum(floor, np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
-        rows, cols = np.nonzero((high >= floor[:, None]) & (high > -np.inf))
-        for a in range(0, len(rows), 1 << 16):
-            i, j = rows[a : a + (1 << 16)], cols[a : a + (1 << 16)]
-            scores = products(queries.x[at + i], others.x[j])
-            for q, o, v in zip(queries.ids[at + i].tolist(), others.ids[j].tolist(), scores.tolist()):
-                heap = heaps[q]
+            floor[s] = np.maximum(floor[s], np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
+        i, j = np.nonzero((high >= floor[s, None]) & (high > -np.inf))
+        out.append((i + at, others.rows[j], low[i, j], high[i, j]))
+    return out
+
+
+def survivors(parts: list[tuple[np.ndarray, ...]], k: int) -> list[np.ndarray]:
+    """The pairs of ``tile`` whose upper bound reaches the k-th best lower bound of their query over all of them."""
+    q, row, low, high = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort((-low, q))
+    q, row, low, high = q[order], row[order], low[order], high[order]
+    first = np.searchsorted(q, q)  # of the pair's query
+    kth = first + k - 1
+    enough = (kth < len(q)) & (q[np.minimum(kth, len(q) - 1)] == q)
+    keep = ~enough | (high >= low[np.minimum(kth, len(q) - 1)])
+    return [q[keep], row[keep], low[keep], high[keep]]
+
+
+def bounded_pairs(asked: DataFrame, held: DataFrame, groups: int, stripes: int, k: int) -> DataFrame:
+    """(q, c, low, high): row numbers of queries and candidates that can be among the k nearest, with bounds."""
+    deal = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("block"), F.lit(n))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+    left = deal(asked, "qs", groups, "cs", stripes)
+    right = deal(held, "cs", stripes, "qs", groups).select("dim", "qs", "cs", F.col("n").alias("on"), F.col("data").alias("odata"))
+    pairs = left.join(right, ["dim", "qs", "cs"]).select("dim", "cs", "block", "n", "data", "on", "odata")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, block, floor, parts = None, None, None, []
+
+        def found() -> pa.RecordBatch:
+            q, row, low, high = survivors(parts, k)
+            return pa.RecordBatch.from_arrays([pa.array(block.rows[q]), pa.array(row), pa.array(low), pa.array(high)], ["q", "c", "low", "high"])
+
+        for batch in batches:
+            for r in range(batch.num_rows):
+                dim, cs, name, n, data, on, odata = (c[r].as_py() for c in batch.columns)
+                if (name, cs) != own:
+                    if parts:
+                        yield found()
+                    own, block, parts = (name, cs), Block(dim, n, data), []
+                    floor = np.full(n, -np.inf)
+                parts += tile(block, Block(dim, on, odata), floor, k)
+                if sum(len(p[0]) for p in parts) > 1 << 20:
+                    parts = [tuple(survivors(parts, k))]
+        if parts:
+            yield found()
+
+    return pairs.mapInArrow(run, "q long, c long, low double, high double")
+
+
+def scored(pairs: DataFrame) -> DataFrame:
+    """(query_id, vec_id, score): exact products. ``pairs``: (query_id, vec_id, qv, cv)."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        q, c = batch.column(2), batch.column(3)
+        sizes = np.diff(q.offsets.to_numpy())
+        score = np.zeros(batch.num_rows)
+        for dim in np.unique(sizes):
+            at = np.flatnonzero(sizes == dim)
+            x, y = (col.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) for col in (q, c))
+            score[at] = products(x, y)
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    return map_arrow(pairs, run, "query_id long, vec_id long, score double")
+
+
+def merged(found: DataFrame, k: int) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best rows of each query, held on a heap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, heap = None, []
+
+        def best(ended: list[tuple[int, list]]) -> pa.RecordBatch:
+            rows = [(q, n + 1, -o, v) for q, h in ended for n, (v, o) in enumerate(sorted(h, reverse=True))]
+            cols = list(zip(*rows)) or [[]] * 4
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], ["query_id", "rank", "vec_id", "score"])
+
+        for batch in batches:
+            ended = []
+            for q, o, v in zip(*(c.to_pylist() for c in batch.columns)):
+                if q != own:
+                    ended.append((own, heap))
+                    own, heap = q, []
                 if len(heap) < k:
                     heapq.heappush(heap, (v, -o))
                 elif (v, -o) > heap[0]:
                     heapq.heapreplace(heap, (v, -o))
+            yield best(ended)
+        yield best([(own, heap)])
+
+    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, "query_id long, rank int, vec_id long, score double")
 
 
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = K, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -126,43 +207,30 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = K, id_col: str = "v
 
     ``queries`` are rows of the same shape as ``vectors``; a candidate with the query's own id is not
     its neighbour. Vectors that are null, empty, zero or hold null or non-finite components, and rows
-    without an id, take no part; vectors meet only those of their own length. Ids held by several rows
-    are candidates each; their queries are searched once for each vector and merged by id. Empty
-    tables give no rows; other columns are ignored.
+    without an id, take no part; vectors meet only those of their own length, however long. Ids held by
+    several rows are candidates each; their queries are searched once for each vector and merged by id.
+    Empty tables give no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     bounded_batches(spark)
-    fit = lambda df: df.select(id_col, vector).where(takes_part(vector) & F.col(id_col).isNotNull())
-    asked = staged(packed(fit(queries), id_col, vector), "queries")
-    names = [r["block"] for r in asked.select("block").distinct().collect()]  # one name for thousands of queries
-    if not names:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    held = packed(fit(vectors), id_col, vector).select("dim", F.col("block").alias("other"), F.col("ids").alias("oids"), F.col("data").alias("odata"))
-    # each block of candidates is dealt to each block of queries: an equi-join on the tile's query block
-    dealt = held.withColumn("block", F.explode(F.array(*[F.lit(n) for n in names])))
-    pairs = asked.join(dealt, ["dim", "block"]).select("dim", "block", "ids", "data", "other", "oids", "odata")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, block, heaps = None, None, {}
-        for batch in batches:
-            for r in range(batch.num_rows):
-                dim, name, ids, data, _, oids, odata = (c[r].as_py() for c in batch.columns)
-                if name != own:
-                    if heaps:
-                        yield rows_of(heaps)
-                    own, block, heaps = name, Block(dim, ids, data), {}
-                tile(block, Block(dim, oids, odata), heaps, k)
-        if heaps:
-            yield rows_of(heaps)
-
-    def rows_of(heaps: dict[int, list]) -> pa.RecordBatch:
-        flat = [(q, -o, v) for q, heap in heaps.items() for v, o in heap]
-        cols = list(zip(*flat)) if flat else [[], [], []]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
-
-    found = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def fit(df: DataFrame, label: str) -> DataFrame:
+        rows = df.where(takes_part(vector) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
+        return staged(rows.withColumn("row", F.monotonically_increasing_id()), label)
+
+    asked, held = fit(queries, "queries"), fit(vectors, "vectors")
+    full = lambda df, c: df.repartition(max(1, c // BLOCK_COMPONENTS), "row")
+    count = lambda df: df.agg(F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0)).alias("c")).first()["c"]
+    nq, nc = count(asked), count(held)
+    groups, stripes = (1 + n // (BLOCK_COMPONENTS * g) for n, g in ((nq, GROUP_QUERIES), (nc, GROUP_OTHERS)))
+    pairs = staged(bounded_pairs(staged(packed(full(asked, nq)), "query-blocks"), staged(packed(full(held, nc)), "blocks"), groups, stripes, k), "pairs")
+    if stripes > 1:
+        best = pairs.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy(F.desc("low")))).where(F.col("n") <= k)
+        best = best.groupBy("q").agg(F.min("low").alias("floor"), F.count("*").alias("n"))
+        pairs = pairs.join(best, "q").where((F.col("n") < k) | (F.col("high") >= F.col("floor"))).select("q", "c")
+    pairs = pairs.join(asked.select(F.col("row").alias("q"), F.col("id").alias("query_id"), F.col("v").alias("qv")), "q")
+    pairs = pairs.join(held.select(F.col("row").alias("c"), F.col("id").alias("vec_id"), F.col("v").alias("cv")), "c")
+    return merged(scored(pairs.select("query_id", "vec_id", "qv", "cv")), k)
 
 
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ text is compressed in blocks under both; the normalised difference of the sizes,
 on labelled texts that no dictionary has seen turns the difference into a probability.
 
 Only the fit is bounded: ``DICT_ROWS`` rows a class for the dictionaries and ``CURVE_ROWS`` others
-for the curve, the first by a hash of doc_id, of texts up to ``FIT_CHARS`` characters. Every text is
+for the curve, the first by a hash of doc_id, of each the first ``FIT_CHARS`` characters. Every text is
 scored whole. Labels, language, source and doc_id never enter a score.
 """
 
@@ -123,8 +123,8 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", ta
     ids = pick(usable.where("_curve"), CURVE_ROWS)
     for y in (0, 1):
         ids = ids.unionByName(pick(usable.where(~F.col("_curve") & (F.col("_y") == y)), DICT_ROWS))
-    short = docs.where(F.length(text) <= FIT_CHARS).select(id_col, text)
-    rows = short.join(F.broadcast(ids), id_col).groupBy(id_col, "_y", "_curve").agg(F.min(text).alias("_t")).orderBy(order, id_col).collect()
+    known = docs.where(F.col(text).isNotNull()).select(id_col, F.substring(text, 1, FIT_CHARS).alias("_text"))
+    rows = known.join(F.broadcast(ids), id_col).groupBy(id_col, "_y", "_curve").agg(F.min("_text").alias("_t")).orderBy(order, id_col).collect()
     return fit(
         [r["_t"] for r in rows if r["_y"] == 1 and not r["_curve"]],
         [r["_t"] for r in rows if r["_y"] == 0 and not r["_curve"]],
@@ -136,8 +136,9 @@ def quality_scores(docs: DataFrame, model: Model, text: str = "text", id_col: st
     """id_col, held_out, score, predicted for each row; no shuffle.
 
     The model (two dictionaries of at most DICT_BYTES each) travels with the tasks. A null text
-    counts as empty; a null id counts as empty text for held_out; repeated rows stay; an empty table
-    gives no rows; other columns are ignored.
+    counts as empty; very long texts are compressed whole, block by block; a score at the threshold is
+    predicted 1, equal texts tie in score; a null id counts as empty text for held_out; repeated rows
+    stay; an empty table gives no rows; other columns are ignored.
     """
     kind = dict(docs.dtypes)[id_col]
 
@@ -150,7 +151,7 @@ def quality_scores(docs: DataFrame, model: Model, text: str = "text", id_col: st
 
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score reaches THRESHOLD, with all their columns; no shuffle."""
+    """The rows of ``docs`` whose score reaches THRESHOLD, with all their columns; no shuffle; odd rows as in ``quality_scores``."""
     at = docs.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

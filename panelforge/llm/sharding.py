@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import documents, drop_path, hash_digits, staged, text_or_empty
+from panelforge.llm.common import documents, hash_digits, release, staged, text_or_empty
 from panelforge.llm.ranks import running
 
 SHARDS, OVERHEAD = 40, 16
@@ -37,7 +37,7 @@ def propagate(rows: DataFrame, mean: float, digits: int, shards: int) -> DataFra
     A group's movers all go to one of its shards, from none with more members: each move adds to the sum
     of squared members over its shards, so rounds come to an end. Tables of earlier rounds are dropped.
     """
-    old: list[str] = []
+    old: list[DataFrame] = []
     while True:
         load = loads(rows)
         room = {s: max(0, int(mean) - load.get(s, 0)) for s in range(shards)}
@@ -45,13 +45,15 @@ def propagate(rows: DataFrame, mean: float, digits: int, shards: int) -> DataFra
         votes = votes.withColumn("tie", F.xxhash64("grp", "shard"))
         open_ = votes.where(per_shard(room, F.col("shard"), shards) >= F.col("largest"))
         to = open_.groupBy("grp").agg(F.max(F.struct("votes", "tie", "shard")).alias("to"))
-        asked = rows.join(to, "grp", "left").join(votes.select("grp", "shard", F.struct("votes", "tie", "shard").alias("own")), ["grp", "shard"])
+        # decided by group and shard, as all members of a group are of one size; a hot group is a few rows here
+        own = F.struct("votes", "tie", "shard")
+        full = per_shard(room, F.col("shard"), shards) < F.col("largest")
         # at equal votes a full shard yields to an open one, else its odd members could never meet the others
-        full = per_shard(room, F.col("shard"), shards) < F.col("size")
-        better = (F.col("to.votes") > F.col("own.votes")) | ((F.col("to.votes") == F.col("own.votes")) & (full | (F.col("to") > F.col("own"))))
-        asked = asked.withColumn("target", F.when(better & (F.col("to.shard") != F.col("shard")), F.col("to.shard")))
-        asked = asked.withColumn("votes", F.when(F.col("target").isNotNull(), F.col("to.votes"))).drop("to", "own")
-        asked = staged(asked, "proposals")
+        better = (F.col("to.votes") > F.col("votes")) | ((F.col("to.votes") == F.col("votes")) & (full | (F.col("to") > own)))
+        plan = votes.join(to, "grp").where(better & (F.col("to.shard") != F.col("shard")))
+        plan = staged(plan.select("grp", "shard", F.col("to.shard").alias("target"), F.col("to.votes").alias("votes")), "plan")
+        # written, so that the join shuffles both sides and a hot group can be split
+        asked = staged(rows.join(plan, ["grp", "shard"], "left"), "proposals")
         moving = asked.where(F.col("target").isNotNull())
         # larger groups first: a digit for the order of magnitude, then the hash
         level = F.lpad(F.hex(15 - F.least(F.lit(15), F.floor(F.log2("votes"))).cast("long")), 1, "0")
@@ -63,9 +65,8 @@ def propagate(rows: DataFrame, mean: float, digits: int, shards: int) -> DataFra
         names = [*rows.columns, "moved"]
         out = staged(still.select(*names).unionByName(moved.select(*names)), "shards")
         rows = out.drop("moved")
-        for path in old:
-            drop_path(rows.sparkSession, path)
-        old = [path.rsplit("/", 1)[0] for table in (asked, out) for path in table.inputFiles()[:1]]
+        release(*old, plan)
+        old = [asked, out]
         if not out.where("moved").limit(1).count():
             return rows
 
@@ -90,8 +91,9 @@ def balanced_shards(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     Returns id_col, size (UTF-8 bytes plus OVERHEAD), text_crc32, shard, slot (gapless from 0 in each
     shard). A null text counts as empty; equal texts are linked (repeated rows too); a null id is
-    hashed as empty text; an empty table gives no rows; other columns are ignored. Shards of fewer
-    documents than shards stay empty.
+    hashed as empty text; very long texts count by their bytes, one longer than a shard fills it alone;
+    ties of hash and text keep any order among themselves, they are alike; an empty table gives no rows;
+    other columns are ignored. Shards of fewer documents than shards stay empty.
     """
     whole = text_or_empty(text)
     rows = docs.select(
@@ -101,6 +103,8 @@ def balanced_shards(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         F.md5(whole.cast("binary")).alias("grp"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")).alias("h"),
     )
+    # null or repeated ids would share one hash and with it one bucket: their texts tell them apart
+    rows = rows.withColumn("h", F.md5(F.concat("h", "grp").cast("binary")))
     rows = staged(rows, "sized")
     stats = rows.agg(F.count("*").alias("n"), F.sum("size").alias("b"), F.max("size").alias("m")).first()
     n, mean, digits = stats["n"], (stats["b"] or 0) / shards, hash_digits(stats["n"])

@@ -55,7 +55,7 @@ def mixture(docs, weights, budget, epochs, seed, domain):
             for c, bc in water_fill(bb, {c: (cap(a, b, c), w("source", c)) for c in {k[2] for k in leaves if k[:2] == (a, b)}}).items():
                 leaf, total, target = leaves[a, b, c], tokens[a, b, c], int(bc + 1e-6)
                 copies, left = (target // total, target % total) if total else (0, 0)
-                ident = lambda d: "" if d[0] is None else str(d[0])
+                ident = lambda d: ("" if d[0] is None else str(d[0])) + ":" + hashlib.md5((d[1] or "").encode()).hexdigest()
                 for d in sorted(leaf, key=lambda d: (hashlib.md5(f"{seed}:{copies}:{ident(d)}".encode()).hexdigest(), ident(d), n(d[1]))):
                     take = max(0, min(n(d[1]), left))
                     left -= take

@@ -186,13 +186,37 @@ def test_quality(spark, odd):
     assert quality.keep_good(odd, model).columns == odd.columns
 
 
+def test_quality_of_long_labelled_texts(spark):
+    """Labelled texts longer than the fitted slice still train the model."""
+    good, bad = "the river ran quietly past the old mill and the children walked home ", "buy now click here win cash free free free !!! "
+    rows = [(k, (good if k % 2 else bad) * 700 + str(k)) for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, quality int")
+    model = quality.fit_on_labels(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, model).collect()}
+    assert min(got[k] for k in got if k % 2) > 0.5 > max(got[k] for k in got if not k % 2)
+
+
+def test_quality_is_calibrated(spark):
+    """Over held-out labels mean scores of tenths of the rows follow the share of label 1."""
+    folder = "/root/testdata/sf0.1"
+    truth = {r["doc_id"]: r["quality"] for r in quality.labels_of(spark, folder).collect()}
+    rows = sorted((r["score"], truth[r["doc_id"]]) for r in quality.op6_quality(spark, folder).where("held_out").collect() if truth.get(r["doc_id"]) in (0, 1))
+    parts = [rows[k * len(rows) // 10 : (k + 1) * len(rows) // 10] for k in range(10)]
+    gaps = [abs(sum(s for s, _ in p) / len(p) - sum(y for _, y in p) / len(p)) for p in parts]
+    print("calibration error", sum(gaps) / 10)
+    assert sum(gaps) / 10 < 0.05
+
+
 def test_quality_ignores_held_out_labels(spark):
     texts = spark.createDataFrame([(k, f"some words {k} " * 20) for k in range(200)], "doc_id long, text string")
     fit = lambda flip: quality.fit_on_labels(texts, spark.createDataFrame([(k, (k % 3 > 0) ^ (flip and zlib.crc32(str(k).encode()) % 4 == 2)) for k in range(200)], "doc_id long, q boolean").selectExpr("doc_id", "cast(q as int) quality"))
     assert fit(False) == fit(True)
 
 
-def test_neighbours_odd(spark):
+@pytest.mark.parametrize("block", [1 << 18, 48])
+def test_neighbours_odd(spark, block, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_COMPONENTS", block)
     nan, inf = float("nan"), float("inf")
     rng = random.Random(1)
     rows = [(0, None), (1, [0.0] * 4), (2, [1.0, None, 1.0, 1.0]), (3, [nan, 1.0, 1.0, 1.0]), (4, [inf, 1.0, 1.0, 1.0]), (None, [1.0] * 4), (5, []), (6, [1.0] * 3), (7, [2.0] * 3)]
@@ -303,7 +327,7 @@ def test_pipeline_odd(spark, odd, none):
     import corpus_pipeline as cp
 
     for table in (odd, none):
-        for _, stage in cp.STAGES[1:]:
+        for _, stage in cp.STAGES:
             out = stage(spark, table, SF)
             assert out.count() <= cp.MAX_EPOCHS * len(ODD)
 
