@@ -14,6 +14,7 @@ import bisect
 import re
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -296,7 +297,7 @@ polyform|polyform|0.7|polyform (?:strict|small business|shield|perimeter) licen[
 confluent|confluent|0.8|confluent community licen[cs]e
 hippocratic|hippocratic|0.8|hippocratic licen[cs]e
 parity|parity|0.7|parity public licen[cs]e
-openrail|openrail|0.8|(?:creativeml )?open ?rail(?: m)?
+openrail|rail|0.8|(?:creativeml )?open rail(?: m)?
 bigscience|rail|0.8|bigscience (?:open )?rail licen[cs]e
 llama|llama|0.7|llama [23](?: [0-9])? community license agreement
 gemma|gemma|0.7|gemma terms of use
@@ -350,7 +351,10 @@ def _rules() -> list[Rule]:
 
 
 RULES = _rules()
-KEYWORDS = sorted({r.keyword for r in RULES})
+KEYWORDS = ahocorasick.Automaton()
+for _rule in RULES:
+    KEYWORDS.add_word(_rule.keyword.decode(), _rule.keyword)
+KEYWORDS.make_automaton()
 BASE_FORMS = [(re.compile(EDGE + p.replace(b" ", GAP) + END), label) for p, label in BASE.items()]
 
 
@@ -365,7 +369,7 @@ class Found:
 
 def scan(data: bytes) -> list[Found]:
     """Surviving detections in lower-cased UTF-8 ``data``, by place."""
-    here = {k for k in KEYWORDS if k in data}
+    here = {k for _, k in KEYWORDS.iter(data.decode("latin-1"))}
     hits = {Found(r.label, m.start(), m.end(), r.priority, r.weight) for r in RULES if r.keyword in here for m in r.pattern.finditer(data)}
     kept: list[Found] = []
     # accepted intervals that lie in no other: their starts and their ends both ascend

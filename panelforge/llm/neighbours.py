@@ -218,7 +218,10 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = K, id_col: str = "v
         rows = df.where(takes_part(vector) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).alias("v"))
         return staged(rows.withColumn("row", F.monotonically_increasing_id()), label)
 
-    asked, held = fit(queries, "queries"), fit(vectors, "vectors")
+    # of equal vectors, which tie with every query, only those of the k + 1 smallest ids can be among the k nearest
+    same = F.dense_rank().over(W.partitionBy(F.size(vector), vector).orderBy(F.col(id_col).cast("long")))
+    able = vectors.select(id_col, vector).where(takes_part(vector) & F.col(id_col).isNotNull())
+    asked, held = fit(queries, "queries"), fit(able.withColumn("_same", same).where(F.col("_same") <= k + 1), "vectors")
     full = lambda df, c: df.repartition(max(1, c // BLOCK_COMPONENTS), "row")
     count = lambda df: df.agg(F.coalesce(F.sum(F.size("v").cast("long")), F.lit(0)).alias("c")).first()["c"]
     nq, nc = count(asked), count(held)

@@ -187,8 +187,8 @@ def _tile_edges(fps: np.ndarray, side: np.ndarray, *way) -> tuple[np.ndarray, np
     return fps[moved].view(np.int64), fps[label[moved]].view(np.int64)
 
 
-def _tile_joins(fps: np.ndarray, nodes: np.ndarray, labels: np.ndarray, side: np.ndarray, *way) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of nodes: the shortest spanning edges among the labels that links of a tile connect."""
+def _tile_joins(fps: np.ndarray, nodes: np.ndarray, labels: np.ndarray, side: np.ndarray, *way) -> tuple[np.ndarray, ...]:
+    """Pairs of nodes and their differing bits: the shortest spanning edges among the labels that links of a tile connect."""
     names, label = np.unique(labels, return_inverse=True)
     x = y = np.empty(0, np.int64)
     if len(names) > 1:
@@ -198,7 +198,7 @@ def _tile_joins(fps: np.ndarray, nodes: np.ndarray, labels: np.ndarray, side: np
                 x, y = np.concatenate([x, rows[off]]), np.concatenate([y, cols[off]])
                 pick = spanning(len(names), label[x], label[y], np.bitwise_count(fps[x] ^ fps[y]))
                 x, y = x[pick], y[pick]
-    return np.minimum(nodes[x], nodes[y]), np.maximum(nodes[x], nodes[y])
+    return np.minimum(nodes[x], nodes[y]), np.maximum(nodes[x], nodes[y]), np.bitwise_count(fps[x] ^ fps[y]).astype(np.int64)
 
 
 def links(nodes: DataFrame, max_bits: int = MAX_BITS, ring: int | None = None) -> DataFrame:
@@ -212,7 +212,7 @@ def links(nodes: DataFrame, max_bits: int = MAX_BITS, ring: int | None = None) -
 
 
 def joins(nodes: DataFrame, max_bits: int, ring: int | None = None) -> DataFrame:
-    """(a, b): pairs of nodes within max_bits that connect their labels, as all such pairs would; nodes of one label are not paired.
+    """(a, b, bits): pairs of nodes within max_bits that connect their labels, as all such pairs would; nodes of one label are not paired.
 
     ``nodes``: (fp, node, label), node distinct; nodes may share a fingerprint.
     """
@@ -254,17 +254,18 @@ def _met(nodes: DataFrame, carried: list[str], max_bits: int, ring: int | None)
         fp, *more, seg, val, i, j, side = cols
         new = np.flatnonzero((seg[1:] != seg[:-1]) | (val[1:] != val[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         bounds = [0, *new.tolist(), *([len(fp)] if last else [])]
-        out: list[tuple[np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         for a, b in zip(bounds, bounds[1:]):
             if b - a > 1:
-                x, y = (_tile_joins if more else _tile_edges)(fp[a:b].view(np.uint64), *[c[a:b] for c in more], side[a:b], *kinds[int(seg[a])][:2], max_bits, ring)
-                if len(x):
-                    out.append((x, y))
+                found = (_tile_joins if more else _tile_edges)(fp[a:b].view(np.uint64), *[c[a:b] for c in more], side[a:b], *kinds[int(seg[a])][:2], max_bits, ring)
+                if len(found[0]):
+                    out.append(found)
         kept[0] = None if last else [c[bounds[-1] :] for c in cols]
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in (0, 1)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out])) for k in range(len(names))], names)
 
-    return tiles.mapInArrow(run, "a long, b long").distinct()
+    names = ["a", "b", "bits"][: 2 + bool(carried)]
+    return tiles.mapInArrow(run, ", ".join(f"{c} long" for c in names)).distinct()
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
