@@ -1,7 +1,7 @@
 """Nearest neighbours by a block matrix join of int8 tiles.
 
 Vectors are quantised once to int8, each with a scale of its own and the norm of what the rounding left
-over, and packed into blocks. Blocks of queries and of candidates are dealt to groups, and every two
+over (and that once more to int8, for pairs that come close), and packed into blocks. Blocks of queries and of candidates are dealt to groups, and every two
 groups meet in a tile: numbers of tiles grow with queries and with candidates. A tile multiplies in whole
 numbers; the quantised products bound every true product from both sides (Cauchy and Schwarz on the
 left-over parts). Pairs whose upper bound cannot reach a query's k-th best lower bound are pruned, first
@@ -32,6 +32,8 @@ GROUP_QUERIES, GROUP_OTHERS = 4, 8
 STRIP = 256
 #: Widens the bounds for the rounding of float arithmetic itself.
 SLACK = 1e-5
+#: Steps of the second int8 form in one of the first.
+FINE = 254.0
 
 
 def takes_part(vector: str) -> Column:
@@ -42,14 +44,17 @@ def takes_part(vector: str) -> Column:
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """int8 forms of the rows of ``x``, and for each row its scale and the norms of the left-over, the whole and the rounded vector."""
+    """int8 forms of the rows of ``x`` and of what they leave over, and for each row its scale and the norms of the first and the second left-over, of the vector and of its two rounded forms."""
     wide = x.astype(np.float64)
     scale = np.abs(wide).max(1) / 127
     scale[scale == 0] = np.finfo(np.float64).tiny  # components too small to divide
-    q = np.clip(np.rint(wide / scale[:, None]), -127, 127).astype(np.int8)
-    back = q * scale[:, None]
-    norm = lambda v: np.sqrt((v**2).sum(1)) * (1 + SLACK)
-    return q, np.stack([scale, norm(wide - back), norm(wide), norm(back)])
+    whole = lambda v, step: np.clip(np.rint(v / step[:, None]), -127, 127).astype(np.int8)
+    q = whole(wide, scale)
+    rest = wide - q * scale[:, None]
+    fine = whole(rest, scale / FINE)
+    last = rest - fine * (scale / FINE)[:, None]
+    norms = [np.sqrt((v**2).sum(1)) * (1 + SLACK) for v in (rest, last, wide, wide - rest, wide - last)]
+    return np.stack([q, fine]), np.stack([scale, *norms])
 
 
 def packed(vectors: DataFrame) -> DataFrame:
@@ -82,8 +87,12 @@ class Block:
 
     def __init__(self, dim: int, n: int, data: bytes) -> None:
         self.rows, self.ids = np.frombuffer(data, "<i8", 2 * n).reshape(2, n)
-        self.scale, self.left, self.norm, self.rounded = np.frombuffer(data, "<f8", 4 * n, 16 * n).reshape(4, n)
-        self.q = np.frombuffer(data, np.int8, n * dim, 48 * n).reshape(n, dim)
+        self.scale, self.left, self.last, self.norm, self.rounded, self.near = np.frombuffer(data, "<f8", 6 * n, 16 * n).reshape(6, n)
+        self.q, self.fine = np.frombuffer(data, np.int8, 2 * n * dim, 64 * n).reshape(2, n, dim)
+
+    def both(self, at: np.ndarray) -> np.ndarray:
+        """The vectors at ``at`` as both int8 forms together give them."""
+        return (self.q[at] + self.fine[at] / FINE) * self.scale[at, None]
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -112,8 +121,13 @@ def tile(queries: Block, others: Block, floor: np.ndarray, k: int) -> list[tuple
         if low.shape[1] > k:
             floor[s] = np.maximum(floor[s], np.partition(low, low.shape[1] - k, axis=1)[:, low.shape[1] - k])
         i, j = np.nonzero((high >= floor[s, None]) & (high > -np.inf))
-        out.append((i + at, others.rows[j], low[i, j], high[i, j]))
-    return out
+        for a in range(0, len(i), 1 << 16):
+            x, y = i[a : a + (1 << 16)] + at, j[a : a + (1 << 16)]
+            # the second forms narrow the bounds of these pairs some 250 times
+            close = products(queries.both(x), others.both(y))
+            bound = queries.last[x] * others.near[y] + queries.norm[x] * others.last[y] + 1e-12 * np.abs(close) + 1e-300
+            out.append((x, others.rows[y], close - bound, close + bound))
+    return [tuple(survivors(out, k))] if out else []
 
 
 def survivors(parts: list[tuple[np.ndarray, ...]], k: int) -> list[np.ndarray]:
