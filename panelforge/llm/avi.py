@@ -3,13 +3,15 @@
 Bytes are kept as 8-bit grey samples of small frames. Each frame is a lossless JPEG (process 14 of
 ITU-T T.81, SOF3, predictor 1). The code table gives difference category c a code of 9 - c bits, so
 that every sample takes nine bits and whole batches of frames are coded by array operations; a bit
-reader for any other table is kept beside it. Frames lie in a ``movi`` list, found through ``idx1``;
+reader for any other table is kept beside it. Clips are also found in ordinary films of baseline DCT
+frames, grey or colour, whose brightness is decoded. Frames lie in a ``movi`` list, found through ``idx1``;
 a ``strd`` chunk holds the payload's length, since the last frame may be padded.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from dataclasses import dataclass
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from panelforge.llm.common import documents, map_arrow
 
 WIDTH, HEIGHT, UNIT, FPS = 16, 12, 192, 25
-#: Samples coded at once; bounds a task's memory whatever the texts' lengths.
+#: Samples coded at once; a text longer than this is coded alone, in memory of some tens of times its length.
 CHUNK = 2 << 20
 #: A shot starts where the histogram difference is over mean + SHOT_SIGMAS deviations of those before it.
 SHOT_SIGMAS, SHOT_FLOOR, SHOT_WINDOW, BINS = 3.0, 0.35, 8, 16
@@ -140,57 +142,186 @@ def read_avi(data: bytes) -> Video:
 
 @dataclass(frozen=True)
 class Frame:
+    """What a frame's markers say up to and with SOS."""
+
+    sof: int
     height: int
     width: int
+    parts: tuple[tuple[int, int, int, int], ...]  # id, sampling across and down, quantisation table
+    scan: tuple[tuple[int, int, int], ...]  # id, DC table (or the lossless one), AC table
     predictor: int
-    counts: tuple[int, ...]
-    values: tuple[int, ...]
+    tables: dict[int, dict[tuple[int, int], int]]  # by class * 16 + number: (bits, code) to value
+    steps: dict[int, tuple[int, ...]]
+    restart: int
     at: int  # where the coded data begins
 
 
+def _codes(counts: bytes, values: bytes) -> dict[tuple[int, int], int]:
+    codes, code, k = {}, 0, 0
+    for bits, count in enumerate(counts, 1):
+        for _ in range(count):
+            codes[bits, code] = values[k]
+            code, k = code + 1, k + 1
+        code <<= 1
+    return codes
+
+
 @lru_cache(maxsize=256)
 def frame_head(head: bytes) -> Frame:
     """Markers of a frame up to and with SOS."""
-    at, size, counts, values = 2, (0, 0), (), ()
-    while at < len(head):
+    at, sof, size, parts, tables, steps, restart = 2, 0, (0, 0), (), {}, {}, 0
+    while at + 4 <= len(head):
         marker, n = head[at + 1], struct.unpack_from(">H", head, at + 2)[0]
         body = head[at + 4 : at + 2 + n]
-        if marker == 0xC3:
-            if body[0] != 8 or body[5] != 1:
-                raise ValueError("only 8-bit frames of one component are read")
-            size = struct.unpack_from(">HH", body, 1)
-        elif marker in (0xC0, 0xC1, 0xC2):
-            raise ValueError("lossy frames do not hold samples exactly")
+        if marker in (0xC0, 0xC1, 0xC3):
+            if body[0] != 8:
+                raise ValueError("only 8-bit samples are read")
+            sof, size = marker, struct.unpack_from(">HH", body, 1)
+            parts = tuple((body[k], body[k + 1] >> 4, body[k + 1] & 15, body[k + 2]) for k in range(6, 6 + 3 * body[5], 3))
+        elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+            raise ValueError("progressive and arithmetic frames are not read")
         elif marker == 0xC4:
-            counts, values = tuple(body[1:17]), tuple(body[17:])
+            k = 0
+            while k < len(body):
+                many = sum(body[k + 1 : k + 17])
+                tables[body[k]] = _codes(body[k + 1 : k + 17], body[k + 17 : k + 17 + many])
+                k += 17 + many
+        elif marker == 0xDB:
+            k = 0
+            while k < len(body):
+                wide = body[k] >> 4
+                steps[body[k] & 15] = struct.unpack_from(">64H" if wide else "64B", body, k + 1)
+                k += 65 + 64 * wide
+        elif marker == 0xDD:
+            restart = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
-            return Frame(*size, body[3], counts, values, at + 2 + n)
+            if not sof:
+                raise ValueError("a scan without a frame")
+            scan = tuple((body[k], body[k + 1] >> 4, body[k + 1] & 15) for k in range(1, 1 + 2 * body[0], 2))
+            return Frame(sof, *size, parts, scan, body[1 + 2 * body[0]], tables, steps, restart, at + 2 + n)
         at += 2 + n
     raise ValueError("a frame has no scan")
 
 
+class Bits:
+    """Reads codes and numbers from coded data, some bytes at a time."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at, self.word, self.held = data, 0, 0, 0
+
+    def take(self, n: int) -> int:
+        while self.held < n:
+            more = self.data[self.at : self.at + 8] or b"\xff" * 8  # beyond the end: ones, as decoders pad
+            self.at += 8
+            self.word = (self.word << 8 * len(more)) | int.from_bytes(more, "big")
+            self.held += 8 * len(more)
+        self.held -= n
+        out = self.word >> self.held
+        self.word &= (1 << self.held) - 1
+        return out
+
+    def value(self, codes: dict[tuple[int, int], int]) -> int:
+        code = 0
+        for bits in range(1, 17):
+            code = code << 1 | self.take(1)
+            if (found := codes.get((bits, code))) is not None:
+                return found
+        raise ValueError("a code is not in the table")
+
+    def number(self, c: int) -> int:
+        """The signed number of category ``c`` that follows."""
+        if not c:
+            return 0
+        extra = self.take(c)
+        return extra if extra >> (c - 1) else extra - (1 << c) + 1
+
+
 def _any_table(frame: Frame, data: bytes) -> np.ndarray:
-    """Differences of one frame under any Huffman table, bit by bit."""
-    codes, code, k = {}, 0, 0
-    for bits, count in enumerate(frame.counts, 1):
-        for _ in range(count):
-            codes[bits, code] = frame.values[k]
-            code, k = code + 1, k + 1
-        code <<= 1
-    stream, at, out = int.from_bytes(data, "big"), len(data) * 8, []
-    take = lambda n, at: (stream >> (at - n)) & ((1 << n) - 1)
-    for _ in range(frame.height * frame.width):
-        bits = 1
-        while (bits, take(bits, at)) not in codes:
-            bits += 1
-            if bits > 16:
-                raise ValueError("a code is not in the table")
-        c, at = codes[bits, take(bits, at)], at - bits
-        extra, at = take(c, at), at - c
-        out.append(extra if c == 0 or extra >> (c - 1) else extra - (1 << c) + 1)
+    """Differences of one lossless frame under any Huffman table, code by code."""
+    bits, codes = Bits(data), frame.tables.get(frame.scan[0][1])
+    if codes is None:
+        raise ValueError("a frame without its Huffman table")
+    out = [bits.number(bits.value(codes)) for _ in range(frame.height * frame.width)]
     return np.array(out, np.int64).astype(np.uint8)
 
 
+def _zigzag() -> np.ndarray:
+    """Places (8 * row + column) of the coefficients in the order in which they are coded."""
+    cells = sorted(((r, c) for r in range(8) for c in range(8)), key=lambda x: (x[0] + x[1], x[0] if (x[0] + x[1]) % 2 else x[1]))
+    return np.array([8 * r + c for r, c in cells])
+
+
+ZIGZAG = _zigzag()
+#: Rows of the discrete cosine transform.
+COSINE = np.array([[(0.5 if u else 0.125**0.5) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
+
+
+def baseline_grey(frame: Frame, data: bytes) -> np.ndarray:
+    """The brightness of a baseline DCT frame (height x width, uint8); colour is read over.
+
+    ``data``: the coded data, stuffed bytes and restart markers still in it.
+    """
+    across, down = max(p[1] for p in frame.parts), max(p[2] for p in frame.parts)
+    if len(frame.scan) != len(frame.parts):
+        raise ValueError("only frames of one scan are read")
+    if len(frame.parts) == 1:
+        across = down = 1
+    rows, cols = -(-frame.height // (8 * down)), -(-frame.width // (8 * across))
+    coded = []
+    for part, (_, dc, ac) in zip(frame.parts, frame.scan):
+        try:
+            coded.append((part, frame.tables[dc], frame.tables[16 + ac], frame.steps[part[3]]))
+        except KeyError:
+            raise ValueError("a frame without its tables") from None
+    h, v = (1, 1) if len(coded) == 1 else coded[0][0][1:3]
+    light = np.zeros((rows * v, cols * h, 64))
+    pieces = re.split(rb"\xff[\xd0-\xd7]", data) if frame.restart else [data]
+    bits, unit = None, 0
+    for at in range(rows * cols):
+        if at % (frame.restart or rows * cols) == 0:
+            piece = pieces[unit] if unit < len(pieces) else b""
+            bits, unit, last = Bits(piece.replace(b"\xff\0", b"\xff")), unit + 1, [0] * len(coded)
+        for k, (part, dc, ac, steps) in enumerate(coded):
+            ph, pv = (1, 1) if len(coded) == 1 else part[1:3]
+            for block in range(ph * pv):
+                last[k] += bits.number(bits.value(dc))
+                found = {0: last[k]}
+                place = 1
+                while place < 64:
+                    run, c = divmod(bits.value(ac), 16)
+                    if not c and run < 15:
+                        break
+                    place += run
+                    if c:
+                        if place > 63:
+                            raise ValueError("a block has too many coefficients")
+                        found[place] = bits.number(c)
+                    place += 1
+                if k == 0:
+                    own = light[at // cols * v + block // ph, at % cols * h + block % ph]
+                    for z, x in found.items():
+                        own[ZIGZAG[z]] = x * steps[z]
+    cells = COSINE.T @ light.reshape(-1, 8, 8) @ COSINE
+    grid = np.clip(np.rint(cells + 128), 0, 255).astype(np.uint8).reshape(rows * v, cols * h, 8, 8)
+    return grid.transpose(0, 2, 1, 3).reshape(rows * v * 8, cols * h * 8)[: frame.height, : frame.width]
+
+
+def grey_frames(frames: list[bytes]) -> np.ndarray:
+    """Brightness samples (frames x samples, uint8) of motion-JPEG frames, lossless or baseline."""
+    out = []
+    for f in frames:
+        at = f.index(b"\xff\xda")
+        at += 2 + struct.unpack_from(">H", f, at + 2)[0]
+        head = frame_head(f[:at])
+        if head.sof == 0xC3:
+            return decode_frames(frames)
+        end = f.rfind(b"\xff\xd9")
+        out.append(baseline_grey(head, f[at : end if end > 0 else len(f)]).reshape(-1))
+    if len({len(x) for x in out}) > 1:
+        raise ValueError("frames of several sizes")
+    return np.stack(out) if out else np.zeros((0, UNIT), np.uint8)
+
+
 def decode_frames(frames: list[bytes]) -> np.ndarray:
     """Samples of lossless frames of one size (frames x samples, uint8)."""
     heads, coded = [], []
@@ -204,6 +335,8 @@ def decode_frames(frames: list[bytes]) -> np.ndarray:
     if not frames:
         return np.zeros((0, UNIT), np.uint8)
     first = frame_head(heads[0])
+    if first.sof != 0xC3 or len(first.parts) != 1:
+        raise ValueError("only grey lossless frames hold samples exactly")
     if first.predictor != 1:
         raise ValueError("only predictor 1 is read")
     shape = (len(frames), first.height, first.width)
@@ -250,7 +383,7 @@ def shots(samples: np.ndarray, videos: np.ndarray) -> np.ndarray:
 
 def clips(video: Video) -> list[tuple[int, float, float, int]]:
     """Timed clip rows of a video: clip, start second, end second, frames."""
-    samples = decode_frames(video.frames)
+    samples = grey_frames(video.frames)
     starts = np.flatnonzero(shots(samples, np.zeros(len(samples), np.int8)))
     ends = np.append(starts[1:], len(samples))
     return [(k, a / video.fps, b / video.fps, int(b - a)) for k, (a, b) in enumerate(zip(starts.tolist(), ends.tolist()))]
@@ -270,8 +403,8 @@ def avi_features(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 
     Per input row: id_col, n_bytes, payload_bytes, payload_sha256 and tail_crc32 (of the bytes read
     back), media_bytes, media_sha256, feature ("frames:clips:crc32 of the clip starts"). A null text
-    counts as empty (one frame of spaces); equal texts have equal values; repeated rows and null ids
-    stay; an empty table gives no rows; other columns are ignored.
+    counts as empty (one frame of spaces); very long texts are stored whole; equal texts have equal
+    values; repeated rows and null ids stay; an empty table gives no rows; other columns are ignored.
     """
     kind = dict(docs.dtypes)[id_col]
 
@@ -318,16 +451,27 @@ def _features(texts: list[bytes]) -> list[tuple]:
 
 
 def avi_clips(media: DataFrame, content: str = "content", id_col: str = "doc_id") -> DataFrame:
-    """Timed clip rows (id_col, clip, start_s, end_s, frames) of a column of AVI files; null gives none."""
+    """Timed clip rows (id_col, clip, start_s, end_s, frames, status) of a column of AVI files.
+
+    A file that cannot be read (null, empty, cut off, not an AVI, of a kind that is not decoded) gives one
+    row with nulls and the reason as its status, else the status is "ok"; a film without frames gives
+    none. Repeated rows and null ids stay; other columns are ignored.
+    """
     kind = dict(media.dtypes)[id_col]
 
+    def of(m: bytes | None) -> list[tuple]:
+        try:
+            return [(*c, "ok") for c in clips(read_avi(m or b""))]
+        except (ValueError, IndexError, KeyError, struct.error) as e:
+            return [(None, None, None, None, f"{type(e).__name__}: {e}"[:200])]
+
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        rows = [(k, *c) for k, m in enumerate(batch.column(1)) if m.is_valid for c in clips(read_avi(m.as_py()))]
-        cols = list(zip(*rows)) if rows else [[]] * 5
-        types = [pa.int64(), pa.float64(), pa.float64(), pa.int64()]
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], types))], [id_col, "clip", "start_s", "end_s", "frames"])
+        rows = [(k, *c) for k, m in enumerate(batch.column(1)) for c in of(m.as_py())]
+        cols = list(zip(*rows)) if rows else [[]] * 6
+        types = [pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string()]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], types))], [id_col, "clip", "start_s", "end_s", "frames", "status"])
 
-    return map_arrow(media.select(id_col, content), run, f"`{id_col}` {kind}, clip long, start_s double, end_s double, frames long")
+    return map_arrow(media.select(id_col, content), run, f"`{id_col}` {kind}, clip long, start_s double, end_s double, frames long, status string")
 
 
 def avi_encode(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:

@@ -86,7 +86,9 @@ def dropped_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", b
     batch = F.lit(0)
     for c in cuts:
         batch = batch + (F.col("_id").cast("double") > F.lit(c)).cast("int")
-    lines = staged(lines.withColumn("_batch", batch), "lines")
+    # one folder a batch, so that a batch reads its own lines only; written side by side instead of sorted
+    spark.conf.set("spark.sql.maxConcurrentOutputFileWriters", batches + 1)
+    lines = staged(lines.withColumn("_batch", batch), "lines", by="_batch")
     runs, out = LineRuns(spark), None
     for b in range(len(cuts) + 1):
         own = lines.where(F.col("_batch") == b)
@@ -110,9 +112,9 @@ def dedup_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", bat
 
     A line's key is the line without blanks at its ends, A-Z lower-cased; keys of MIN_CHARS code
     points held by two documents keep their lines only in the smallest doc_id. Rows of one doc_id are
-    one document. A null text counts as empty (one empty line); a null id counts as one document
-    behind all others; an empty table gives no rows; other columns stay in the struct, whatever their
-    names.
+    one document. A null text counts as empty (one empty line); very long texts are split whole; a null
+    id counts as one document behind all others; equal rows of one id keep and lose the same lines; an
+    empty table gives no rows; other columns stay in the struct, whatever their names.
     """
     whole = text_or_empty(text)
     drops = dropped_lines(docs.select(id_col, text), text, id_col, batches)

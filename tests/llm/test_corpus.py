@@ -121,10 +121,77 @@ def test_avi_shots(spark):
     dark, bright = bytes([10]) * 192, bytes([240]) * 192
     film = avi.encode_bytes(dark * 10 + bright * 15)
     rows = avi.avi_clips(spark.createDataFrame([(1, bytearray(film)), (2, None)], "doc_id long, content binary")).collect()
-    assert [(r["clip"], r["start_s"], r["end_s"], r["frames"]) for r in rows] == [(0, 0.0, 0.4, 10), (1, 0.4, 1.0, 15)]
+    assert [(r["clip"], r["start_s"], r["end_s"], r["frames"]) for r in rows if r["status"] == "ok"] == [(0, 0.0, 0.4, 10), (1, 0.4, 1.0, 15)]
+    bad = avi.avi_clips(spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate((b"", b"RIFF", film[:300], film[:-40], b"RIFF\x04\0\0\0WAVE"))] + [(9, None)], "doc_id long, content binary")).collect()
+    assert len(bad) == 6 and all(r["status"] != "ok" and r["clip"] is None for r in bad)
     assert avi.avi_encode(spark.createDataFrame([(1, "abc")], "doc_id long, text string")).first()["content"] == avi.encode_bytes(avi.padded(b"abc"))
 
 
+def bits_of(codes, values):
+    """Coded data of (category or symbol, extra bits' number) pairs under made-up tables."""
+    out = ""
+    for table, symbol, extra, n in values:
+        bits, code = next(k for k, v in codes[table].items() if v == symbol)
+        out += f"{code:0{bits}b}" + (f"{extra:0{n}b}" if n else "")
+    out += "1" * (-len(out) % 8)
+    return int(out, 2).to_bytes(len(out) // 8, "big").replace(b"\xff", b"\xff\0")
+
+
+@pytest.mark.parametrize("colour", [False, True])
+def test_avi_baseline_frames(colour):
+    """Baseline frames written here by the textbook's steps come back within rounding; a cut is found between two."""
+    rng = np.random.default_rng(4)
+    seg = avi._segment
+    dht = lambda where, values: seg(0xC4, bytes([where]) + bytes([0] * 7 + [len(values)] + [0] * 8) + bytes(values))
+    dc_values, ac_values = list(range(12)), [r * 16 + c for r in range(16) for c in range(1, 11)] + [0, 240]
+    codes = {0: avi._codes(bytes([0] * 7 + [12] + [0] * 8), bytes(dc_values)), 16: avi._codes(bytes([0] * 7 + [162] + [0] * 8), bytes(ac_values))}
+    h = w = 32
+    parts = [(1, 0x22 if colour else 0x11)] + [(2, 0x11), (3, 0x11)] * colour
+    head = b"\xff\xd8" + seg(0xDB, bytes([0]) + bytes([2] * 64)) + seg(0xC0, bytes([8]) + h.to_bytes(2, "big") + w.to_bytes(2, "big") + bytes([len(parts)]) + b"".join(bytes([i, s, 0]) for i, s in parts))
+    head += dht(0, dc_values) + dht(16, ac_values) + seg(0xDA, bytes([len(parts)]) + b"".join(bytes([i, 0]) for i, _ in parts) + bytes([0, 63, 0]))
+
+    def jpeg(image):
+        values, last = [], {1: 0, 2: 0, 3: 0}
+
+        def block(i, cells):
+            z = np.rint(avi.COSINE @ (cells - 128.0) @ avi.COSINE.T / 2).astype(int).reshape(-1)[avi.ZIGZAG]
+            number = lambda x: (abs(int(x)).bit_length(), int(x) if x > 0 else int(x) + (1 << abs(int(x)).bit_length()) - 1)
+            c, extra = number(z[0] - last[i])
+            last[i] = z[0]
+            values.append((0, c, extra if c else 0, c))
+            run = 0
+            for k in range(1, 64):
+                if z[k] == 0:
+                    run += 1
+                    continue
+                while run > 15:
+                    values.append((16, 240, 0, 0))
+                    run -= 16
+                c, extra = number(z[k])
+                values.append((16, run * 16 + c, extra, c))
+                run = 0
+            if run:
+                values.append((16, 0, 0, 0))
+
+        step = 16 if colour else 8
+        for y in range(0, h, step):
+            for x in range(0, w, step):
+                for dy in range(0, step, 8):
+                    for dx in range(0, step, 8):
+                        block(1, image[y + dy : y + dy + 8, x + dx : x + dx + 8])
+                if colour:
+                    block(2, np.full((8, 8), 90.0))
+                    block(3, rng.integers(0, 255, (8, 8)).astype(float))
+        return head + bits_of(codes, values) + b"\xff\xd9"
+
+    smooth = lambda a: np.add.outer(np.linspace(a, a + 40, h), np.linspace(0, 30, w))
+    images = [smooth(20), smooth(22), smooth(150), smooth(152), rng.integers(100, 140, (h, w)).astype(float)]
+    got = avi.grey_frames([jpeg(x) for x in images]).reshape(-1, h, w)
+    assert np.abs(got - np.array(images)).max() <= 5
+    film = avi.write_avi([jpeg(smooth(20)) for _ in range(10)] + [jpeg(smooth(150)) for _ in range(5)], 0)
+    assert [c[3] for c in avi.clips(avi.read_avi(film))] == [10, 5]
+
+
 def test_licenses(docs, odd):
     assert len(licenses.RULES) >= 300
     for table in (docs, odd):
