@@ -15,8 +15,8 @@ from panelforge.sources.shared import checkpointed
 #: Kilometres of a degree of latitude.
 DEGREE_KM = math.pi * EARTH_KM / 180
 RADIUS_KM, NEAREST = 20.0, 10
-#: Without coordinates a row is ranked against all others; beyond this many right rows use token blocking instead.
-FALLBACK_RIGHT = 200_000
+#: Parts of the right side that rows far from everything meet one by one.
+PARTS = 64
 
 
 def _cells(df: DataFrame, lat: str, lon: str, degrees: float) -> DataFrame:
@@ -42,24 +42,26 @@ def radius_join(left: DataFrame, right: DataFrame, km: float = RADIUS_KM) -> Dat
 def nearest_join(left: DataFrame, right: DataFrame, k: int = NEAREST, start_km: float = RADIUS_KM, rounds: int = 12) -> DataFrame:
     """(left_id, right_id, distance_km) of each left row's k nearest, exact.
 
-    Radius joins whose radius doubles: a row with k hits within the radius is done, the others go on.
-    Rows far from everything end in one join against all right rows; ties go to the smaller right id.
+    Radius joins whose radius grows fourfold: a row with k hits within the radius is done, the others go
+    on. Rows far from everything meet all right rows at last, part by part, each part with its own k
+    nearest; ties go to the smaller right id.
     """
     todo, done, km = left.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()), None, start_km
-    order = W.partitionBy("left_id").orderBy("distance_km", "right_id")
+    order = [F.asc("distance_km"), F.asc("right_id")]
     for turn in range(rounds):
         last = turn == rounds - 1 or km > 2500
         if last:
-            far = todo.select(F.col("id").alias("left_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.lit(1).alias("_one"))
-            near = far.join(right.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("_one", F.lit(1)), "_one")
-            hits = near.select("left_id", F.col("id").alias("right_id"), haversine("_lat", "_lon", "lat", "lon").alias("distance_km"))
+            far = todo.select(F.col("id").alias("left_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("_part"))
+            to = right.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"))
+            hits = far.join(to, "_part").select("left_id", "_part", F.col("id").alias("right_id"), haversine("_lat", "_lon", "lat", "lon").alias("distance_km"))
+            hits = hits.withColumn("_n", F.row_number().over(W.partitionBy("left_id", "_part").orderBy(*order))).where(F.col("_n") <= k).drop("_part")
         else:
             hits = radius_join(todo, right, km)
-        hits = hits.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+        hits = hits.withColumn("_n", F.row_number().over(W.partitionBy("left_id").orderBy(*order))).where(F.col("_n") <= k)
         if not last:
             full = checkpointed(hits.groupBy("left_id").agg(F.count("*").alias("_c")).where(F.col("_c") >= k).select("left_id"))
             hits = hits.join(full, "left_id", "left_semi")
-            todo = todo.join(full.withColumnRenamed("left_id", "id"), "id", "left_anti")
+            todo = checkpointed(todo.join(full.withColumnRenamed("left_id", "id"), "id", "left_anti"))
         part = hits.drop("_n")
         done = part if done is None else done.unionByName(part)
         if last or not todo.limit(1).count():
@@ -71,16 +73,17 @@ def nearest_join(left: DataFrame, right: DataFrame, k: int = NEAREST, start_km:
 def name_fallback(left: DataFrame, right: DataFrame, k: int = NEAREST) -> DataFrame:
     """(left_id, right_id, fallback_rank) for left rows without coordinates, by token overlap and voltage band.
 
-    Jaccard of name tokens (empty: 0) plus 0.25 for one band; ties to the larger right id. Pairs come
-    from shared tokens and, for rows that fill fewer than k places so, from a right side of checked size.
+    Jaccard of name tokens (empty: 0) plus 0.25 for one band; ties to the larger right id. Pairs come from
+    shared tokens. Right rows that share none score by their band alone, so that only the k largest ids of
+    a band, and of all, can fill places: those meet every left row, and the ranking is exact.
     """
-    l = left.where(F.col("lat").isNull() | F.col("lon").isNull()).select(F.col("id").alias("left_id"), F.col("tokens").alias("_lt"), F.col("kv").alias("_lkv"), F.lit(1).alias("_one"))  # noqa: E741
-    r = right.select(F.col("id").alias("right_id"), F.col("tokens").alias("_rt"), F.col("kv").alias("_rkv"), F.lit(1).alias("_one"))
-    if right.count() <= FALLBACK_RIGHT:
-        pairs = l.join(F.broadcast(r), "_one")
-    else:
-        shared = l.withColumn("_t", F.explode("_lt")).join(r.withColumn("_t", F.explode("_rt")), "_t").select("left_id", "right_id").distinct()
-        pairs = shared.join(l, "left_id").join(r.drop("_one"), "right_id")
+    l = left.where(F.col("lat").isNull() | F.col("lon").isNull()).select(F.col("id").alias("left_id"), F.col("tokens").alias("_lt"), F.col("kv").alias("_lkv"))  # noqa: E741
+    r = right.select(F.col("id").alias("right_id"), F.col("tokens").alias("_rt"), F.col("kv").alias("_rkv"))
+    shared = l.select("left_id", F.explode("_lt").alias("_t")).join(r.select("right_id", F.explode("_rt").alias("_t")), "_t").select("left_id", "right_id")
+    largest = r.withColumn("_b", S.voltage_band("_rkv")).withColumn("_n", F.row_number().over(W.partitionBy("_b").orderBy(F.desc("right_id")))).where(F.col("_n") <= k)
+    some = largest.select("_b", "right_id").unionByName(r.orderBy(F.desc("right_id")).limit(k).select(F.lit("any").alias("_b"), "right_id"))
+    fill = l.select("left_id", F.explode(F.array(S.voltage_band("_lkv"), F.lit("any"))).alias("_b")).join(some, "_b").select("left_id", "right_id")
+    pairs = shared.unionByName(fill).distinct().join(l, "left_id").join(r, "right_id")
     score = S.jaccard("_lt", "_rt", 0.0) + F.when(S.same_band("_lkv", "_rkv"), 0.25).otherwise(0.0)
     w = W.partitionBy("left_id").orderBy(F.desc("_s"), F.desc("right_id"))
     return pairs.withColumn("_s", score).withColumn("fallback_rank", F.row_number().over(w)).where(F.col("fallback_rank") <= k).select("left_id", "right_id", "fallback_rank")

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from panelforge.functions import similarity as S
 from panelforge.functions import text as X
 from panelforge.functions.nulls import null_out, number, safe_div
-from panelforge.operators.metrics import variant_summary
 from panelforge.operators.relational import hash_sample, union_all
 from panelforge.sources.shared import checkpointed
 
@@ -22,7 +21,7 @@ RADIUS_KM, MIN_SCORE, ROUNDS = 20.0, 0.45, 8
 SEED_RULE = {"score": 0.85, "gap": 0.05, "voltage": 0.95, "km": 10.0}
 SPREAD_RULE = {"score": 0.78, "gap": 0.03, "voltage": 0.65, "support": 1}
 BANDS = ["ehv", "hv", "lv", "unknown"]
-NAMES, VOLTS, LATS, LONS, IDS = ["name", "bus_name"], ["baskv", "kv", "base_kv"], ["lat", "latitude"], ["lon", "lng", "longitude"], ["pano_id", "mdb_id", "id"]
+NAMES, VOLTS, LATS, LONS, IDS = ["name", "bus_name"], ["baskv", "kv", "voltage", "voltage_kv"], ["lat", "latitude"], ["lon", "longitude"], ["bus_id", "pano_id", "id", "mdb_id"]
 
 
 def standard_nodes(df: DataFrame, row: str) -> DataFrame:
@@ -34,16 +33,20 @@ def standard_nodes(df: DataFrame, row: str) -> DataFrame:
         raise ValueError("a node table needs a name column")
     pick = lambda options: F.col(c) if (c := first_column(df, options)) else F.lit(None)
     out = df.select(
-        F.concat_ws("_", pick(IDS).cast("string"), F.col(row).cast("string")).alias("id"), F.col(name).alias("name"),
+        F.concat_ws("_", pick(IDS).cast("string"), F.col(row).cast("string")).alias("id"), F.col(row).cast("long").alias("row"), F.col(name).alias("name"),
         number(pick(VOLTS)).alias("kv"), number(pick(LATS)).alias("lat"), number(pick(LONS)).alias("lon"),
     ).withColumn("norm", X.normalize_node_name("name"))
     return out.withColumns({"tokens": X.name_tokens("norm"), "numbers": X.numeric_tokens("norm"), "band": S.voltage_band("kv")})
 
 
 def resolve_endpoints(branches: DataFrame, nodes: DataFrame, ends: tuple[str, str]) -> DataFrame:
-    """Branch ends to node ids: by raw name, then by normalised name; of equal names the last id."""
-    raw = nodes.groupBy("name").agg(F.max("id").alias("_raw"))
-    norm = nodes.groupBy("norm").agg(F.max("id").alias("_norm"))
+    """Branch ends to node ids: by raw name, then by normalised name; of equal names the last row's id.
+
+    ``nodes``: (id, name, norm) and the row number ``row``; without it the largest id counts as the last.
+    """
+    last = F.max_by("id", "row" if "row" in nodes.columns else "id")
+    raw = nodes.groupBy("name").agg(last.alias("_raw"))
+    norm = nodes.groupBy("norm").agg(last.alias("_norm"))
     out = branches
     for end, to in zip(ends, ("src", "dst")):
         out = out.join(raw.withColumnRenamed("name", end), end, "left").withColumn("_n", X.normalize_node_name(end))
@@ -97,6 +100,7 @@ def topology_features(pairs: DataFrame, left: DataFrame, right: DataFrame) -> Da
 def attribute_features(pairs: DataFrame, left: DataFrame, right: DataFrame, radius: float = RADIUS_KM, fuzzy: bool = True) -> DataFrame:
     """Name, voltage and distance scores. The fuzzy ratio runs on distinct name pairs only; ``fuzzy=False`` takes edit distance."""
     out = _sides(pairs, left, right, ["norm", "tokens", "numbers", "kv"])
+    out = out.withColumn("kv_gap", F.abs(F.col("l_kv") - F.col("r_kv")))
     if fuzzy:
         names = out.select("l_norm", "r_norm").distinct().withColumn("fuzzy", S.fuzzy_ratio("l_norm", "r_norm"))
         out = out.join(names, (out.l_norm.eqNullSafe(names.l_norm)) & (out.r_norm.eqNullSafe(names.r_norm)), "left").drop(names.l_norm).drop(names.r_norm)
@@ -108,13 +112,14 @@ def attribute_features(pairs: DataFrame, left: DataFrame, right: DataFrame, radi
     })
     out = out.withColumn("name_score", S.weighted_score(out, S.NAME_SCORE))
     w = W.partitionBy("left_id").orderBy(F.desc("name_score"), "distance_rank", "right_id")
-    out = out.withColumn("name_rank", F.row_number().over(w))
-    return out.select(*pairs.columns, "fuzzy", "token_jaccard", "numeric_jaccard", "voltage_score", "distance_score", "name_score", "name_rank")
+    by_voltage = W.partitionBy("left_id").orderBy(F.desc(F.col("voltage_score") >= 0.65), "distance_rank", "right_id")
+    out = out.withColumns({"name_rank": F.row_number().over(w), "voltage_rank": F.row_number().over(by_voltage)})
+    return out.select(*pairs.columns, "kv_gap", "fuzzy", "token_jaccard", "numeric_jaccard", "voltage_score", "distance_score", "name_score", "name_rank", "voltage_rank")
 
 
 def ranked_pairs(pairs: DataFrame, score: str) -> DataFrame:
-    """rank, second (0 without) and gap on the first row of each left node (null elsewhere)."""
-    w = W.partitionBy("left_id").orderBy(F.desc(score), F.asc_nulls_last("distance_rank"), "right_id")
+    """rank, second (0 without) and gap on the first row of each left node (null elsewhere); ties by voltage, name and nearness."""
+    w = W.partitionBy("left_id").orderBy(F.desc(score), *[F.desc(c) for c in ("voltage_score", "name_score") if c in pairs.columns], F.asc_nulls_last("distance_rank"), "right_id")
     out = pairs.withColumns({"rank": F.row_number().over(w), "_next": F.lead(score).over(w)})
     first = F.col("rank") == 1
     return out.withColumns({"second": F.when(first, F.coalesce("_next", F.lit(0.0))), "gap": F.when(first, F.col(score) - F.coalesce("_next", F.lit(0.0)))}).drop("_next")
@@ -131,11 +136,15 @@ def composite(pairs: DataFrame, weights: dict[str, float] | None = None, score:
 
 def one_to_one(scored: DataFrame, score: str = "composite", least: float = MIN_SCORE) -> DataFrame:
     """One row a left node: its first candidate if good enough; of several claims on a right node the best stays."""
-    best = null_out(scored.where(F.col("rank") == 1), F.col(score) < least, ["right_id", "distance_km"])
-    w = W.partitionBy("right_id").orderBy(F.desc(score), "left_id")
-    lost = F.col("right_id").isNotNull() & (F.row_number().over(w) > 1)
-    best = best.withColumn("lost", lost).withColumn("ambiguous", F.col("ambiguous") | F.col("lost"))
-    return null_out(best, F.col("lost"), ["right_id", "distance_km"])
+    best = null_out(scored.where(F.col("rank") == 1), F.col(score) < least, ["right_id"])
+    best = best.withColumn("lost", _claim(F.desc(score)) > 1).withColumn("ambiguous", F.col("ambiguous") | F.col("lost"))
+    best = best.withColumn("label", F.when(F.col("lost"), "ambiguous").otherwise(F.col("label")))
+    return null_out(best, F.col("lost"), ["right_id"])
+
+
+def _claim(*order: Column) -> Column:
+    """The rank of a left node among those that claim its right node; rows without one are groups of their own."""
+    return F.row_number().over(W.partitionBy("right_id", F.when(F.col("right_id").isNull(), F.col("left_id"))).orderBy(*order, "left_id"))
 
 
 def seeds(scored: DataFrame, score: str = "composite", rule: dict[str, float] = SEED_RULE) -> DataFrame:
@@ -163,7 +172,7 @@ def support(pairs: DataFrame, accepted: DataFrame, left_edges: DataFrame, right_
 def spread_round(scored: DataFrame, accepted: DataFrame, left_edges: DataFrame, right_edges: DataFrame, rule: dict[str, float] = SPREAD_RULE) -> DataFrame:
     """(left_id, right_id, score) newly accepted in one round."""
     free = scored.join(accepted.select("left_id"), "left_id", "left_anti").join(accepted.select("right_id"), "right_id", "left_anti")
-    free = free.where(F.col("voltage_score") >= rule["voltage"]).drop("rank", "second", "gap")
+    free = free.where(F.col("voltage_score") >= rule["voltage"]).drop("rank", "second", "gap", "label", "ambiguous")
     top = ranked_pairs(support(free, accepted, left_edges, right_edges), "spread_score").where(F.col("rank") == 1)
     ok = top.where((F.col("spread_score") >= rule["score"]) & (F.col("gap") >= rule["gap"]) & (F.col("support") >= rule["support"]))
     w = W.partitionBy("right_id").orderBy(F.desc("spread_score"), "left_id")
@@ -190,75 +199,162 @@ def propagate(scored: DataFrame, left_edges: DataFrame, right_edges: DataFrame,
     return accepted, log
 
 
-def propagated_results(scored: DataFrame, accepted: DataFrame, score: str = "composite", least: float = MIN_SCORE) -> DataFrame:
-    """One row a left node: accepted pairs first, else the first candidate; conflicts go to accepted, then to the score."""
-    taken = accepted.select("left_id", F.col("right_id").alias("_acc"), "stage", F.col("score").alias("_as"))
-    first = scored.where(F.col("rank") == 1).drop("label").join(taken, "left_id", "left")
-    rows = first.withColumns({
-        "right_id": F.coalesce("_acc", F.when(F.col(score) >= least, F.col("right_id"))), "final_score": F.coalesce("_as", F.col(score)),
-        "stage": F.coalesce("stage", F.when(F.col(score) >= least, "top_ranked_unpropagated").otherwise("unmatched")),
-    })
-    w = W.partitionBy("right_id").orderBy(F.desc(F.col("_acc").isNotNull()), F.desc("final_score"), "left_id")
-    lost = F.col("right_id").isNotNull() & (F.row_number().over(w) > 1)
-    rows = rows.withColumn("_lost", lost).withColumn("stage", F.when(F.col("_lost"), "one_to_one_conflict").otherwise(F.col("stage")))
-    rows = null_out(rows, F.col("_lost"), ["right_id", "distance_km"])
-    rows = rows.withColumn("ambiguous", F.when(F.col("_acc").isNotNull() & ~F.col("_lost"), False).otherwise(F.col("ambiguous") | F.col("_lost")))
-    label = F.when(F.col("right_id").isNull(), "unmatched").when(F.col("ambiguous"), "ambiguous").when(F.col("final_score") >= 0.85, "high").when(F.col("final_score") >= 0.70, "medium").otherwise("low")
-    return rows.withColumn("label", label).drop("_acc", "_as", "_lost")
+def propagated_results(scored: DataFrame, accepted: DataFrame, left_edges: DataFrame, right_edges: DataFrame, least: float = MIN_SCORE) -> DataFrame:
+    """One row a left node: its best candidate by the propagation score under the final acceptances, with that pair's own features.
 
+    An accepted pair counts as such where it is the best candidate. Of several claims on a right node the
+    accepted stay first, then the better by propagation score, then by composite.
+    """
+    pairs = scored.withColumnRenamed("gap", "composite_gap").drop("rank", "second", "label", "ambiguous")
+    spread = support(pairs, accepted, left_edges, right_edges)
+    top = ranked_pairs(spread, "spread_score").where(F.col("rank") == 1)
+    top = top.join(accepted.select("left_id", "right_id", "stage", "round"), ["left_id", "right_id"], "left").withColumn("accepted", F.col("stage").isNotNull())
+    top = null_out(top, ~F.col("accepted") & (F.col("spread_score") < least), ["right_id"])
+    top = top.withColumns({"stage": F.coalesce("stage", F.when(F.col("right_id").isNotNull(), "top_ranked_unpropagated").otherwise("unmatched")), "round": F.coalesce("round", F.lit(-1))})
+    top = top.withColumn("lost", _claim(F.desc("accepted"), F.desc("spread_score"), F.desc("composite")) > 1)
+    top = null_out(top, F.col("lost"), ["right_id"]).withColumn("stage", F.when(F.col("lost"), "one_to_one_conflict").otherwise(F.col("stage")))
+    top = top.withColumn("ambiguous", (F.col("gap") < 0.05) | F.col("conflict") | (F.col("stage") == "unmatched") | F.col("lost"))
+    high = (F.col("spread_score") >= 0.85) & (F.col("gap") >= 0.05) & (F.col("voltage_score") >= 0.95)
+    label = F.when(F.col("ambiguous"), "ambiguous").when(high, "high").when(F.col("spread_score") >= 0.70, "medium").otherwise("low")
+    return top.withColumns({"final_score": F.col("spread_score"), "label": label})
 
-ABLATIONS = {
-    "A_nearest": {"distance_score": 1.0},
-    "B_distance_voltage": {"distance_score": 0.65, "voltage_score": 0.35},
-    "C_attributes": {"distance_score": 0.30, "voltage_score": 0.30, "name_score": 0.40},
-    "D_composite": S.COMPOSITE,
-}
 
+# Weights of the attribute variants, and the names of all five.
+VARIANTS = {"B_name_kv_only": {"name_score": 0.65, "voltage_score": 0.35}, "C_name_kv_latlon": {"name_score": 0.30, "voltage_score": 0.30, "distance_score": 0.40}}
+NEAREST, NO_PROPAGATION, FULL = "A_pure_latlon_nearest", "D_graph_aware_no_propagation", "E_full_graph_aware_final"
 
-def ablation(pairs: DataFrame) -> DataFrame:
-    """Summary of each variant's first candidates."""
-    parts = []
-    for name, weights in ABLATIONS.items():
-        top = composite(pairs, weights).where(F.col("rank") == 1)
-        parts.append(top.select(F.lit(name).alias("variant"), "left_id", "right_id", "voltage_score", "distance_km", "ambiguous"))
-    return variant_summary(union_all(*parts), ["variant"])
+
+def nearest_only(pairs: DataFrame) -> DataFrame:
+    """Each left node's nearest candidate; ambiguous where another node has it too, or without a distance."""
+    w = W.partitionBy("left_id").orderBy(F.asc_nulls_last("distance_km"), "distance_rank", "right_id")
+    top = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") == 1)
+    return _shared(top).withColumn("ambiguous", F.col("_shared") | F.col("distance_km").isNull()).drop("_shared")
 
 
-def sensitivity(pairs: DataFrame, radii: tuple = (5.0, 10.0, 20.0, 50.0), topology: tuple = (0.1, 0.2, 0.3), least: tuple = (0.65, 0.75, 0.85)) -> DataFrame:
-    """Matches over a grid of radius, topology weight (the name weight gives way) and threshold: the grid is exploded onto each pair, one pass."""
-    grid = F.array(*[F.struct(F.lit(r).alias("radius"), F.lit(w).alias("weight")) for r in radii for w in topology])
-    rows = pairs.withColumn("_g", F.explode(grid)).select("*", "_g.radius", "_g.weight").drop("_g")
-    rows = rows.where(F.col("distance_km") <= F.col("radius"))
-    score = 0.30 * S.distance_score("distance_km", 20.0) + 0.25 * F.col("voltage_score") + (1 - 0.55 - F.col("weight")) * F.col("name_score") + F.col("weight") * F.col("topology_score")
-    best = rows.withColumn("s", score).groupBy("radius", "weight", "left_id").agg(F.max("s").alias("s"))
-    best = best.withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in least])))
-    return best.groupBy("radius", "weight", "threshold").agg(F.count_if(F.col("s") >= F.col("threshold")).alias("matched"), F.count("*").alias("candidates"))
+def _shared(top: DataFrame) -> DataFrame:
+    twice = top.groupBy("right_id").agg(F.count("*").alias("_n")).where(F.col("_n") > 1).select("right_id", F.lit(True).alias("_shared"))
+    return top.join(twice, "right_id", "left").withColumn("_shared", F.coalesce("_shared", F.lit(False)))
 
 
-def topology_counts(results: DataFrame, baseline: DataFrame) -> DataFrame:
-    """How many matches the topology changed against a baseline (left_id, base_right)."""
-    rows = results.join(baseline, "left_id", "left")
-    a, b = F.col("right_id"), F.col("base_right")
-    return rows.agg(F.count("*").alias("rows"), F.count_if(a.isNotNull() & a.eqNullSafe(b)).alias("same"), F.count_if(a.isNotNull() & b.isNotNull() & (a != b)).alias("changed"), F.count_if(a.isNotNull() & b.isNull()).alias("gained"), F.count_if(a.isNull() & b.isNotNull()).alias("lost_matches"))
+def top_by(pairs: DataFrame, score: Column) -> DataFrame:
+    """Each left node's first candidate by a score (``variant_score``); ambiguous where shared, close or over 1 kV apart."""
+    top = ranked_pairs(pairs.drop("rank", "second", "gap").withColumn("variant_score", score), "variant_score").where(F.col("rank") == 1)
+    return _shared(top).withColumn("ambiguous", F.col("_shared") | (F.col("gap") < 0.05) | F.coalesce(F.col("kv_gap") > 1, F.lit(False))).drop("_shared")
 
 
-def one_to_one_counts(results: DataFrame) -> DataFrame:
+def variant_rows(pairs: DataFrame, baseline: DataFrame, final: DataFrame) -> DataFrame:
+    """(variant, left_id, right_id, kv_gap, distance_km, ambiguous) of the five variants."""
+    tops = {NEAREST: nearest_only(pairs), **{n: top_by(pairs, S.weighted_score(pairs, w)) for n, w in VARIANTS.items()}, NO_PROPAGATION: baseline, FULL: final}
+    return union_all(*[t.select(F.lit(n).alias("variant"), "left_id", "right_id", "kv_gap", "distance_km", "ambiguous") for n, t in tops.items()])
+
+
+def summary(rows: DataFrame, by: list[str], total: int | None = None) -> DataFrame:
+    """Matched, unmatched, duplicates, voltage rates over pairs of known voltages, distances and ambiguity."""
     hit = F.col("right_id").isNotNull()
-    return results.agg(F.count("*").alias("rows"), F.count_if(hit).alias("matched"), (F.count_if(hit) - F.count_distinct("right_id")).alias("duplicates"), F.count_if(F.col("stage") == "one_to_one_conflict").alias("conflicts"))
+    known = hit & F.col("kv_gap").isNotNull()
+    share = lambda c: safe_div(F.count_if(known & c).cast("double"), F.count_if(known).cast("double"))
+    km = F.when(hit, F.col("distance_km"))
+    return rows.groupBy(*by).agg(
+        F.count_if(hit).alias("matched"), ((F.count("*") if total is None else F.lit(total)) - F.count_if(hit)).alias("unmatched"),
+        (F.count_if(hit) - F.count_distinct(F.when(hit, F.col("right_id")))).alias("duplicates"),
+        share(F.col("kv_gap") < 1e-9).alias("voltage_exact_rate"), share(F.col("kv_gap") > 1).alias("voltage_conflict_rate"),
+        F.percentile(km, F.lit(0.5)).alias("median_km"), F.percentile(km, F.lit(0.9)).alias("p90_km"),
+        F.count_if(F.col("ambiguous")).alias("ambiguous_rows"), F.avg(F.col("ambiguous").cast("double")).alias("ambiguity_rate"),
+    )
+
+
+def ablation(pairs: DataFrame, baseline: DataFrame, final: DataFrame) -> DataFrame:
+    """One summary row a variant: nearest, two attribute scores, composite one to one, propagated."""
+    return summary(variant_rows(pairs, baseline, final), ["variant"])
+
+
+def sensitivity(pairs: DataFrame, final: DataFrame, radii: tuple = (5, 10, 20, 50), topology: tuple = (0.10, 0.20, 0.30), least: tuple = (0.65, 0.75, 0.85)) -> DataFrame:
+    """One parameter at a time: the radius of candidates, the topology's weight (the name's gives way), the threshold of final matches."""
+    parts = []
+    for r in radii:
+        top = top_by(pairs.where((F.col("distance_km") <= r) | F.col("distance_km").isNull()), F.col("composite"))
+        parts.append(top.select(F.lit("radius_km").alias("parameter"), F.lit(float(r)).alias("value"), "left_id", "right_id", "kv_gap", "distance_km", "ambiguous", (F.col("variant_score") >= 0.85).alias("high")))
+    for w in topology:
+        weights = {"distance_score": 0.30, "voltage_score": 0.25, "name_score": max(0.0, 1.0 - 0.30 - 0.25 - w), "topology_score": w}
+        top = top_by(pairs, S.weighted_score(pairs, weights))
+        parts.append(top.select(F.lit("topology_weight").alias("parameter"), F.lit(w).alias("value"), "left_id", "right_id", "kv_gap", "distance_km", "ambiguous", (F.col("variant_score") >= 0.85).alias("high")))
+    for x in least:
+        ok = (F.col("final_score") >= x) & ~F.col("ambiguous")
+        parts.append(final.select(F.lit("confidence_threshold").alias("parameter"), F.lit(x).alias("value"), "left_id", F.when(ok, F.col("right_id")).alias("right_id"), "kv_gap", "distance_km", "ambiguous", ok.alias("high")))
+    rows, keys = union_all(*parts), ["parameter", "value"]
+    high = rows.groupBy(*keys).agg(F.count_if("high").alias("high_rows"))
+    # left nodes without a candidate in a radius count as unmatched
+    total = final.agg(F.count("*").alias("_total"))
+    out = summary(rows, keys).join(high, keys).join(F.broadcast(total))
+    return out.withColumn("unmatched", F.col("_total") - F.col("matched")).drop("_total")
+
+
+def _metric_rows(df: DataFrame, names: list[str]) -> DataFrame:
+    return df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), F.col(n).cast("long").alias("value")) for n in names])).alias("x")).select("x.*")
+
+
+def topology_counts(final: DataFrame, nearest: DataFrame) -> DataFrame:
+    """(metric, value): what the graph added to final matches, against the nearest candidates."""
+    rows = final.join(nearest.select("left_id", F.col("right_id").alias("_near")), "left_id", "left")
+    hit, strong = F.col("right_id").isNotNull(), F.col("topology_score") >= 0.80
+    out = rows.agg(
+        F.count_if("accepted").alias("accepted_by_graph"), F.count_if(hit & strong & (F.col("name_score") < 0.55)).alias("strong_topology_weak_name"),
+        F.count_if(hit & ~F.col("right_id").eqNullSafe(F.col("_near"))).alias("changed_from_nearest"), F.count_if(hit & strong & (F.coalesce("composite_gap", F.lit(1.0)) < 0.05)).alias("small_gap_strong_topology"),
+    )
+    return _metric_rows(out, out.columns)
+
+
+def one_to_one_counts(scored: DataFrame, baseline: DataFrame, final: DataFrame) -> DataFrame:
+    """(metric, value): duplicate claims before and after each resolution, and rows that lost one."""
+    twice = lambda df, name: df.agg((F.count("right_id") - F.count_distinct("right_id")).alias(name))
+    one = twice(scored.where(F.col("rank") == 1), "duplicates_of_first").join(F.broadcast(twice(baseline, "duplicates_of_baseline")))
+    one = one.join(F.broadcast(final.agg(F.count_if("lost").alias("conflicts"))).join(F.broadcast(twice(final, "duplicates_of_final"))))
+    return _metric_rows(one, one.columns)
 
 
 def distance_by_label(results: DataFrame) -> DataFrame:
-    hit = results.where(F.col("right_id").isNotNull())
-    return hit.groupBy("label").agg(F.count("*").alias("rows"), F.avg("distance_km").alias("mean_km"), F.percentile("distance_km", F.lit(0.5)).alias("median_km"), F.avg((F.col("voltage_score") >= 1.0).cast("double")).alias("exact_kv"))
+    """Rows, matches, distances and voltage rates of each label; ``all`` holds every row."""
+    rows = results.withColumn("label", F.explode(F.array(F.col("label"), F.lit("all"))))
+    hit = F.col("right_id").isNotNull()
+    known = hit & F.col("kv_gap").isNotNull()
+    share = lambda c: safe_div(F.count_if(known & c).cast("double"), F.count_if(known).cast("double"))
+    km = F.when(hit, F.col("distance_km"))
+    return rows.groupBy("label").agg(
+        F.count("*").alias("rows"), F.count_if(hit).alias("matched"), F.avg(km).alias("mean_km"), F.percentile(km, F.lit(0.5)).alias("median_km"), F.percentile(km, F.lit(0.9)).alias("p90_km"), F.max(km).alias("max_km"),
+        share(F.col("kv_gap") < 1e-9).alias("exact_kv"), share(F.col("kv_gap") > 1).alias("kv_conflict"),
+    )
 
 
-def review_samples(results: DataFrame, per: dict[str, tuple[Column, int]], seed: int = 42) -> DataFrame:
-    """Seeded samples of named strata; a row may stand in several."""
-    return union_all(*[hash_sample(results.where(cond), ["left_id"], n, seed).withColumn("stratum", F.lit(name)) for name, (cond, n) in per.items()])
+def review_strata(results: DataFrame, nearest: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """The rows with their nearest candidate, and the strata of the extended review: name to condition."""
+    rows = results.join(nearest.select("left_id", F.col("right_id").alias("nearest_id")), "left_id", "left")
+    label = F.col("label")
+    return rows, {
+        "high_confidence": label == "high", "medium_confidence": label == "medium", "ambiguous": F.col("ambiguous"), "low_or_unmatched": (label == "low") | F.col("right_id").isNull(),
+        "topology_supported": F.col("accepted"), "latlon_disagreed_with_graph": ~F.col("right_id").eqNullSafe(F.col("nearest_id")),
+    }
 
 
-def case_studies(results: DataFrame, rules: dict[str, Column], score: str = "final_score") -> DataFrame:
-    """The best row of each rule: all rules in one pass over the table."""
-    hits = results.withColumn("case", F.explode(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules.items()]))))
-    w = W.partitionBy("case").orderBy(F.desc(score), "left_id")
-    return hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
+def review_samples(results: DataFrame, strata: dict[str, Column], n: int = 50, seed: int = 42) -> DataFrame:
+    """Seeded samples of named strata; a row may stand in several."""
+    return union_all(*[hash_sample(results.where(cond), ["left_id"], n, seed).withColumn("stratum", F.lit(name)) for name, cond in strata.items()])
+
+
+def case_rules(results: DataFrame, nearest: DataFrame) -> tuple[DataFrame, dict[str, tuple[Column, Column]]]:
+    """The rows with their nearest candidate, and the cases: name to condition and the order in which the first is taken."""
+    near = nearest.select("left_id", F.col("right_id").alias("nearest_id"), F.col("kv_gap").alias("nearest_gap"), F.col("distance_km").alias("nearest_km"))
+    rows, hit, best = results.join(near, "left_id", "left"), F.col("right_id").isNotNull(), -F.col("final_score")
+    return rows, {
+        "high_confidence_clean_match": (F.col("label") == "high", best),
+        "latlon_baseline_failure_fixed": (hit & (F.col("right_id") != F.col("nearest_id")) & (F.col("voltage_score") >= 0.95), best),
+        "topology_rescued_weak_name": (hit & (F.col("topology_score") >= 0.80) & (F.col("name_score") < 0.55), best),
+        "ambiguous_unresolved": (F.col("ambiguous"), best),
+        "voltage_conflict_rejected": (F.col("nearest_gap") > 1, F.coalesce("nearest_km", F.lit(float("inf")))),
+    }
+
+
+def case_studies(results: DataFrame, rules: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """The first row of each rule in its own order, ties to the smaller left id: all rules in one pass over the table."""
+    hits = [F.when(cond, F.struct(F.lit(n).alias("case"), order.cast("double").alias("by"))) for n, (cond, order) in rules.items()]
+    rows = results.withColumn("_c", F.explode(F.array_compact(F.array(*hits)))).select("*", "_c.case", "_c.by").drop("_c")
+    return rows.withColumn("_r", F.row_number().over(W.partitionBy("case").orderBy("by", "left_id"))).where(F.col("_r") == 1).drop("_r", "by")

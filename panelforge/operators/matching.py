@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from panelforge.functions import similarity as S
 from panelforge.functions import text as X
-from panelforge.operators.relational import complete, hash_sample, top_k
+from panelforge.operators.relational import complete, hash_sample, top_k, union_all
 
 #: Candidates kept and scored for each reference row and source.
 KEPT, SCORED = 25, 250
+# Scores from which a match counts as clear and as middling.
+HIGH, MEDIUM = 0.85, 0.70
 
 
 def record_features(df: DataFrame, dataset: str, record_id: Column, facility: Column, contingency: Column | None = None, zone: Column | None = None, with_contingency_tokens: bool = False) -> DataFrame:
@@ -30,24 +32,24 @@ def record_features(df: DataFrame, dataset: str, record_id: Column, facility: Co
     return out.withColumn("block_tokens", F.array_union(blocks, "contingency_tokens") if with_contingency_tokens else blocks)
 
 
-def block_candidates(left: DataFrame, right: DataFrame, most: int = SCORED, max_token_rows: int | None = None) -> DataFrame:
+def block_candidates(left: DataFrame, right: DataFrame, most: int = SCORED) -> DataFrame:
     """(left_id, dataset, right_id, overlap): the right rows sharing most tokens, one more for an equal voltage.
 
-    An equi-join on exploded tokens, counted per pair, with the count pushed before the ranking.
-    Ties at the cut go to the smaller right id. ``max_token_rows``: leave out tokens of more right
-    rows (off by default: nothing is lost).
+    An equi-join on exploded tokens, counted per pair, with the count pushed before the ranking; ties at
+    the cut go to the smaller right id. A voltage alone makes a candidate, too: of those only the ``most``
+    smallest ids of a source and voltage can be within the cut, since each of them counts at least as much.
     """
     lt = left.select(F.col("record_id").alias("left_id"), F.explode("block_tokens").alias("token"))
     rt = right.select("dataset", F.col("record_id").alias("right_id"), F.explode("block_tokens").alias("token"))
-    if max_token_rows is not None:
-        rt = rt.join(rt.groupBy("token").agg(F.count("*").alias("_n")).where(F.col("_n") <= max_token_rows), "token").drop("_n")
     by_token = lt.join(rt, "token").groupBy("left_id", "dataset", "right_id").agg(F.count("*").alias("n"))
     lv = left.where(F.col("voltage").isNotNull()).select(F.col("record_id").alias("left_id"), "voltage")
     rv = right.where(F.col("voltage").isNotNull()).select("dataset", F.col("record_id").alias("right_id"), F.col("voltage").alias("rv"))
-    # a voltage alone does not make a candidate where tokens do; it lifts those that tokens found
-    lifted = by_token.join(lv, "left_id", "left").join(rv, ["dataset", "right_id"], "left")
-    lifted = lifted.withColumn("overlap", F.col("n") + F.coalesce((F.col("voltage") == F.col("rv")).cast("long"), F.lit(0)))
-    return top_k(lifted.select("left_id", "dataset", "right_id", "overlap"), ["left_id", "dataset"], [F.desc("overlap"), "right_id"], most, "block_rank")
+    first = top_k(rv, ["dataset", "rv"], ["right_id"], most, "_n").select("dataset", "right_id", F.col("rv").alias("voltage"))
+    by_voltage = lv.join(first, "voltage").select("left_id", "dataset", "right_id", F.lit(0).cast("long").alias("n"))
+    pairs = by_token.unionByName(by_voltage).groupBy("left_id", "dataset", "right_id").agg(F.max("n").alias("n"))
+    pairs = pairs.join(lv, "left_id", "left").join(rv, ["dataset", "right_id"], "left")
+    pairs = pairs.withColumn("overlap", F.col("n") + F.coalesce((F.col("voltage") == F.col("rv")).cast("long"), F.lit(0)))
+    return top_k(pairs.select("left_id", "dataset", "right_id", "overlap"), ["left_id", "dataset"], [F.desc("overlap"), "right_id"], most, "block_rank")
 
 
 def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
@@ -75,7 +77,7 @@ def ranked(pairs: DataFrame, score: str = "score_v2", keep: int = KEPT, low: flo
     w = W.partitionBy(*group)
     out = out.withColumns({"best": F.max(score).over(w), "second": F.coalesce(F.max(F.when(F.col("rank") == 2, F.col(score))).over(w), F.lit(0.0))})
     out = out.withColumn("margin", F.col("best") - F.col("second"))
-    return out.withColumns({"low_score": F.col("best") < low, "close_margin": F.col("margin") < gap, "ambiguous": (F.col("best") < low) | (F.col("margin") < gap)})
+    return out.withColumns({"low_score": F.col(score) < low, "close_margin": F.col("margin") < gap, "ambiguous": (F.col("best") < low) | (F.col("margin") < gap)})
 
 
 def best_match(pairs: DataFrame, reference: DataFrame, score: str = "score_v1", low: float = 0.35, gap: float = 0.05) -> DataFrame:
@@ -86,12 +88,23 @@ def best_match(pairs: DataFrame, reference: DataFrame, score: str = "score_v1",
     return out.withColumn("label", S.label_at_least("score", S.LABELS_V1, "low"))
 
 
-def review_queue(flagged: DataFrame, audit: int = 50, seed: int = 42) -> DataFrame:
-    """Best rows that are flagged, and a seeded sample of the others, each once."""
+def review_queue(flagged: DataFrame, audit: int = 100, seed: int = 42, score: str = "score_v2") -> DataFrame:
+    """Best rows that are flagged, and a seeded sample of the other ones of high score, each once."""
     best = flagged.where(F.col("rank") == 1)
-    queue = best.where("ambiguous").withColumn("reason", F.lit("flagged"))
-    sample = hash_sample(best.where(~F.col("ambiguous")), ["left_id", "dataset"], audit, seed).withColumn("reason", F.lit("audit"))
-    return queue.unionByName(sample)
+    marked = F.col("ambiguous") | F.col("low_score") | F.col("close_margin")
+    queue = best.where(marked).withColumn("reason", F.lit("flagged"))
+    sample = hash_sample(best.where(~F.col("ambiguous") & (F.col(score) >= HIGH)), ["left_id", "dataset"], audit, seed).withColumn("reason", F.lit("audit"))
+    return queue.unionByName(sample.join(queue.select("left_id", "dataset"), ["left_id", "dataset"], "left_anti").select(*queue.columns))
+
+
+def label_buckets(flagged: DataFrame, n: int = 100, seed: int = 42, score: str = "score_v2") -> DataFrame:
+    """Best rows to label by hand: seeded samples of ``n`` clear, ``n`` middling and ``n`` low or ambiguous ones (a row may be in two)."""
+    best, value = flagged.where(F.col("rank") == 1), F.col(score)
+    buckets = {
+        "high_confidence": ~F.col("ambiguous") & (value >= HIGH), "medium_confidence": (value >= MEDIUM) & (value < HIGH),
+        "low_or_ambiguous": F.col("ambiguous") | (value < MEDIUM) | F.col("close_margin"),
+    }
+    return union_all(*[hash_sample(best.where(cond), ["left_id", "dataset"], n, seed).withColumn("bucket", F.lit(name)) for name, cond in buckets.items()])
 
 
 def label_template(queue: DataFrame) -> DataFrame:

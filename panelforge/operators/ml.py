@@ -14,6 +14,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -66,14 +67,19 @@ def fit_regressor(train: DataFrame, kind: str, numeric: list[str], categorical:
     model.setLabelCol(target)
     if settings:
         model.setParams(**settings)
-    rows = _ready(train.where(F.col(target).isNotNull()).dropna("all", subset=numeric), numeric, categorical)
-    if hasattr(model, "maxBins"):
-        model.setMaxBins(max(32, *(rows.agg(*[F.count_distinct(c).alias(c) for c in categorical]).first()[c] + 2 for c in categorical)) if categorical else 32)
-    if kind == "ridge":
-        model.setRegParam(1.0 / max(1, rows.count()))
-    known = rows.agg(*[F.count(c).alias(c) for c in numeric]).first()
-    unknown = [c for c in numeric if not known[c]]
-    return Pipeline(stages=[*preprocess(numeric, categorical, kind in LINEAR, unknown), model]).fit(rows)
+    rows = _ready(train.where(F.col(target).isNotNull()).dropna("all", subset=numeric), numeric, categorical).select(*numeric, *categorical, target)
+    # computed once: the fit reads these rows again and again
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        facts = rows.agg(F.count("*").alias("_rows"), *[F.count(c).alias(c) for c in numeric], *[F.count_distinct(c).alias(c) for c in categorical]).first()
+        if hasattr(model, "maxBins"):
+            model.setMaxBins(max(32, *(facts[c] + 2 for c in categorical)) if categorical else 32)
+        if kind == "ridge":
+            model.setRegParam(1.0 / max(1, facts["_rows"]))
+        unknown = [c for c in numeric if not facts[c]]
+        return Pipeline(stages=[*preprocess(numeric, categorical, kind in LINEAR, unknown), model]).fit(rows)
+    finally:
+        rows.unpersist()
 
 
 def predict(model: Transformer, rows: DataFrame, numeric: list[str], categorical: list[str], out: str = "predicted_pd") -> DataFrame:
@@ -134,9 +140,19 @@ def enough_labels(rows: DataFrame, label: str, least: int = 100) -> bool:
 
 
 def with_folds(rows: DataFrame, key: str, label: str, k: int = 5, seed: int = SEED) -> DataFrame:
-    """Stratified fold numbers 0..k-1 by hash order within the label."""
-    w = W.partitionBy(label).orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), key)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(k)))
+    """Stratified fold numbers 0..k-1: hash order within the label, dealt in turn.
+
+    A row's place is its place in its bucket of hashes plus the sizes of the buckets before, so that no
+    task holds all rows of a label.
+    """
+    h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    rows = rows.withColumns({"_h": h, "_b": F.substring(h, 1, 3)})
+    sizes = rows.groupBy(label, "_b").agg(F.count("*").alias("_c"))
+    before = W.partitionBy(label).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.select(F.col(label).alias("_l"), F.col("_b").alias("_k"), F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(W.partitionBy(label, "_b").orderBy("_h", key)) - 1
+    out = rows.withColumn("_p", place).join(sizes, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_k")))
+    return out.withColumn("fold", F.pmod(F.col("_p") + F.col("_before"), F.lit(k)).cast("int")).drop("_h", "_b", "_l", "_k", "_p", "_before")
 
 
 def classifier_metrics(scored: DataFrame, label: str, score: str = "probability_1", cut: float = 0.5) -> DataFrame:
@@ -176,7 +192,8 @@ def kmeans(profiles: DataFrame, columns: list[str], key: str, k: int = 4, seeds:
     out = best.transform(rows).withColumn("kmeans_cluster", F.col("prediction"))
     point, centre = vector_to_array("features"), F.element_at(centres, F.col("prediction") + 1)
     dist = F.sqrt(F.aggregate(F.zip_with(point, centre, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
-    out = out.withColumn("_d", dist).withColumn("_top", F.max("_d").over(W.partitionBy(F.lit(0))))
+    out = out.withColumn("_d", dist)
+    out = out.join(F.broadcast(out.agg(F.max("_d").alias("_top"))))  # one row
     silhouette = ClusteringEvaluator().evaluate(out) if n > k else None
     out = out.withColumn("kmeans_confidence", F.coalesce(1 - safe_div("_d", "_top"), F.lit(1.0)))
     return out.select(key, "kmeans_cluster", "kmeans_confidence"), {"k": k, "inertia": best.summary.trainingCost, "silhouette": silhouette}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from panelforge.functions import similarity as S
@@ -14,6 +15,7 @@ from panelforge.operators import metrics as ME
 from panelforge.operators import profiling as PR
 from panelforge.operators import relational as R
 from panelforge.plans.panel_queries import _t, r6
+from panelforge.sources.shared import checkpointed
 
 
 def kv_of() -> Column:
@@ -35,11 +37,11 @@ def parts(s: SparkSession, d: str) -> DataFrame:
 
 
 def records(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(reference records, candidate records): every 20th part against all parts of two other styles."""
+    """(reference records, candidate records): a stated query set, every 20th part, against all parts of two other styles."""
     p = _t(s, d, "part")
     ref = M.record_features(p.where(F.col("p_partkey") % 20 == 0), "market", F.col("p_partkey"), styles()["market"], F.col("p_type"), F.col("p_brand"))
-    pano = M.record_features(p.where(F.col("p_partkey") % 5 == 0), "pano", F.col("p_partkey"), styles()["pano"], F.col("p_type"), F.col("p_brand"), True)
-    day = M.record_features(p.where(F.col("p_partkey") % 5 == 0), "dayzer", F.col("p_partkey"), styles()["dayzer"])
+    pano = M.record_features(p, "pano", F.col("p_partkey"), styles()["pano"], F.col("p_type"), F.col("p_brand"), True)
+    day = M.record_features(p, "dayzer", F.col("p_partkey"), styles()["dayzer"])
     return ref, pano.unionByName(day)
 
 
@@ -159,12 +161,16 @@ def precision_by_bucket(s, d):
     return r6(ME.reviewed_precision(rows, ["lang"]), "precision")
 
 
+def _two_names() -> tuple[Column, Column]:
+    return F.lower("p_name"), F.lower(F.concat_ws(" ", "p_type", "p_name"))
+
+
 def edit_ratio(s, d):
-    return r6(_t(s, d, "nation").select("n_nationkey", S.edit_ratio("n_name", F.reverse("n_name")).alias("ratio")), "ratio")
+    return r6(_t(s, d, "part").select("p_partkey", S.edit_ratio(*_two_names()).alias("ratio")), "ratio")
 
 
 def fuzzy_ratio(s, d):
-    return r6(_t(s, d, "nation").select("n_nationkey", S.fuzzy_ratio("n_name", F.reverse("n_name")).alias("ratio")), "ratio")
+    return r6(_t(s, d, "part").select("p_partkey", S.fuzzy_ratio(*_two_names()).alias("ratio")), "ratio")
 
 
 def passage_blocking(s, d):
@@ -197,18 +203,25 @@ def nodes(s: SparkSession, d: str, right: bool) -> DataFrame:
 
 
 def edges(s: SparkSession, d: str, odd: int) -> DataFrame:
-    li = _t(s, d, "lineitem").where(F.col("l_linenumber") % 2 == odd).where(F.col("l_orderkey") % 50 == 0)
+    li = _t(s, d, "lineitem").where(F.col("l_linenumber") % 2 == odd)
     a = li.select("l_orderkey", F.col("l_suppkey").alias("src"))
     return GR.simple_graph(a.join(a.select("l_orderkey", F.col("src").alias("dst")), "l_orderkey"))
 
 
-def pair_table(s: SparkSession, d: str, fuzzy: bool = False) -> DataFrame:
+def pair_table(s: SparkSession, d: str) -> DataFrame:
     l, r = nodes(s, d, False), nodes(s, d, True)  # noqa: E741
-    pairs = G.spatial_candidates(l, r)
-    pairs = GR.attribute_features(pairs, l, r, fuzzy=fuzzy)
+    pairs = GR.attribute_features(G.spatial_candidates(l, r), l, r)
     return GR.topology_features(pairs, GR.fingerprints(edges(s, d, 1), l), GR.fingerprints(edges(s, d, 0), r))
 
 
+def aligned(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(scored pairs, one-to-one baseline, propagated results)."""
+    pairs = checkpointed(GR.composite(pair_table(s, d)))
+    a, b = checkpointed(edges(s, d, 1)), checkpointed(edges(s, d, 0))
+    accepted, _ = GR.propagate(pairs, a, b)
+    return pairs, GR.one_to_one(pairs), checkpointed(GR.propagated_results(pairs, accepted, a, b))
+
+
 def graph_edges(s, d):
     return edges(s, d, 1)
 
@@ -248,7 +261,7 @@ def composite_rank(s, d):
 
 
 def one_to_one(s, d):
-    return GR.one_to_one(GR.composite(pair_table(s, d))).select("left_id", "right_id", F.round("composite", 6).alias("composite"), "ambiguous")
+    return GR.one_to_one(GR.composite(pair_table(s, d))).select("left_id", "right_id", F.round("composite", 6).alias("composite"), "ambiguous", "label")
 
 
 def seeds(s, d):
@@ -256,39 +269,62 @@ def seeds(s, d):
 
 
 def propagate_final(s, d):
-    pairs = GR.composite(pair_table(s, d, True))
-    accepted, _ = GR.propagate(pairs, edges(s, d, 1), edges(s, d, 0))
-    return GR.propagated_results(pairs, accepted).select("left_id", "right_id", "stage", F.round("final_score", 6).alias("final_score"), "label", "ambiguous", "distance_km", "voltage_score")
+    _, _, final = aligned(s, d)
+    return r6(final.select("left_id", "right_id", "stage", "round", "accepted", "final_score", "label", "ambiguous", "distance_km", "voltage_score"), "final_score", "distance_km")
 
 
 def propagation_counts(s, d):
-    return GR.one_to_one_counts(propagate_final(s, d))
+    return GR.one_to_one_counts(*aligned(s, d))
 
 
 def topology_counts(s, d):
-    base = GR.one_to_one(GR.composite(pair_table(s, d), GR.ABLATIONS["C_attributes"])).select("left_id", F.col("right_id").alias("base_right"))
-    return GR.topology_counts(GR.one_to_one(GR.composite(pair_table(s, d))), base)
+    pairs, _, final = aligned(s, d)
+    return GR.topology_counts(final, GR.nearest_only(pairs))
 
 
 def distance_by_label(s, d):
-    return r6(GR.distance_by_label(propagate_final(s, d)), "mean_km", "median_km", "exact_kv")
+    return r6(GR.distance_by_label(aligned(s, d)[2]), "mean_km", "median_km", "p90_km", "max_km", "exact_kv", "kv_conflict")
 
 
 def ablation(s, d):
-    return r6(GR.ablation(pair_table(s, d)), "median_km", "p90_km")
+    return r6(GR.ablation(*aligned(s, d)), "voltage_exact_rate", "voltage_conflict_rate", "median_km", "p90_km", "ambiguity_rate")
 
 
 def sensitivity_grid(s, d):
-    return GR.sensitivity(pair_table(s, d))
+    pairs, _, final = aligned(s, d)
+    return r6(GR.sensitivity(pairs, final), "voltage_exact_rate", "voltage_conflict_rate", "median_km", "p90_km", "ambiguity_rate")
 
 
 def review_samples(s, d):
-    hit = F.col("right_id").isNotNull()
-    return GR.review_samples(propagate_final(s, d), {"matched": (hit, 20), "unmatched": (~hit, 20), "ambiguous": (F.col("ambiguous"), 20)}).select("left_id", "stratum", "stage")
+    pairs, _, final = aligned(s, d)
+    return GR.review_samples(*GR.review_strata(final, GR.nearest_only(pairs))).select("left_id", "stratum", "stage", "label")
 
 
 def case_studies(s, d):
-    return GR.case_studies(propagate_final(s, d), {"seed": F.col("stage") == "seed", "far": F.col("distance_km") > 10, "conflict": F.col("stage") == "one_to_one_conflict", "unmatched": F.col("right_id").isNull()}).select("case", "left_id", "stage")
+    pairs, _, final = aligned(s, d)
+    return GR.case_studies(*GR.case_rules(final, GR.nearest_only(pairs))).select("case", "left_id", "right_id", "nearest_id", "stage")
+
+
+def nearest_variant(s, d):
+    """Variant A alone: each left node's nearest candidate."""
+    l, r = nodes(s, d, False), nodes(s, d, True)  # noqa: E741
+    pairs = GR.attribute_features(G.spatial_candidates(l, r), l, r, fuzzy=False)
+    return r6(GR.nearest_only(pairs.where(F.col("distance_km").isNotNull())).select("left_id", "right_id", "distance_km", "kv_gap", "ambiguous"), "distance_km", "kv_gap")
+
+
+def voltage_rank(s, d):
+    """Candidates in order of nearness, those of a compatible voltage first."""
+    l, r = nodes(s, d, False), nodes(s, d, True)  # noqa: E741
+    pairs = GR.attribute_features(G.nearest_join(l, r, 5).withColumn("distance_rank", F.row_number().over(W.partitionBy("left_id").orderBy("distance_km", "right_id"))), l, r, fuzzy=False)
+    return pairs.select("left_id", "right_id", "distance_rank", "voltage_score", "voltage_rank")
+
+
+def label_buckets(s, d):
+    return M.label_buckets(flagged(s, d)).select("left_id", "dataset", "right_id", "bucket")
+
+
+def flag_columns(s, d):
+    return flagged(s, d).select("left_id", "dataset", "right_id", "low_score", "close_margin", "ambiguous")
 
 
 def _rx(x: str, steps: list[tuple[str, str]]) -> str:
@@ -310,15 +346,15 @@ BAND = lambda v: f"CASE WHEN {v} IS NULL THEN 'unknown' WHEN {v} >= 300 THEN 'eh
 NODES_SQL = "n AS (SELECT s_suppkey AS id, ([69, 138, 345, 500])[s_nationkey % 4 + 1]::DOUBLE AS kv, 30 + (s_suppkey * 37 % 101) / 50.0 AS lat, -100 + (s_suppkey * 53 % 97) / 40.0 AS lon FROM supplier)"
 HAV = lambda a, o, b, p: f"2 * 6371.0088 * asin(sqrt(least(1.0, power(sin((radians({b}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({b})) * power(sin((radians({p}) - radians({o})) / 2), 2))))"
 DIST = f"{NODES_SQL}, dist AS (SELECT l.id AS left_id, r.id AS right_id, {HAV('l.lat', 'l.lon', 'r.lat + 0.01', 'r.lon + 0.01')} AS km FROM n l CROSS JOIN n r WHERE l.id % 17 <> 0)"
-EDGE = "e AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber % 2 = 1 AND b.l_linenumber % 2 = 1 AND l_orderkey % 50 = 0 AND a.l_suppkey <> b.l_suppkey)"
+EDGE = "e AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber % 2 = 1 AND b.l_linenumber % 2 = 1 AND a.l_suppkey <> b.l_suppkey)"
 REC = f"""ref AS (SELECT p_partkey AS id, {NORM(STYLE_SQL['market'])} AS f, {NORM('p_type')} AS c, {VOLT(NORM(STYLE_SQL['market'] + " || ' ' || p_type"))} AS v, {TOKS(NORM('p_brand'))} AS zb, list_transform(regexp_extract_all({STYLE_SQL['market']}, '\\b[A-Z]{{2,}}\\b'), lambda x: lower(x)) AS zc FROM part WHERE p_partkey % 20 = 0),
-cand AS (SELECT 'pano' AS dataset, p_partkey AS id, {NORM(STYLE_SQL['pano'])} AS f, {NORM('p_type')} AS c, {VOLT(NORM(STYLE_SQL['pano'] + " || ' ' || p_type"))} AS v, {TOKS(NORM('p_brand'))} AS zb, list_transform(regexp_extract_all({STYLE_SQL['pano']}, '\\b[A-Z]{{2,}}\\b'), lambda x: lower(x)) AS zc FROM part WHERE p_partkey % 5 = 0
- UNION ALL SELECT 'dayzer', p_partkey, {NORM(STYLE_SQL['dayzer'])}, '', {VOLT(NORM(STYLE_SQL['dayzer']))}, []::VARCHAR[], list_transform(regexp_extract_all({STYLE_SQL['dayzer']}, '\\b[A-Z]{{2,}}\\b'), lambda x: lower(x)) FROM part WHERE p_partkey % 5 = 0),
+cand AS (SELECT 'pano' AS dataset, p_partkey AS id, {NORM(STYLE_SQL['pano'])} AS f, {NORM('p_type')} AS c, {VOLT(NORM(STYLE_SQL['pano'] + " || ' ' || p_type"))} AS v, {TOKS(NORM('p_brand'))} AS zb, list_transform(regexp_extract_all({STYLE_SQL['pano']}, '\\b[A-Z]{{2,}}\\b'), lambda x: lower(x)) AS zc FROM part
+ UNION ALL SELECT 'dayzer', p_partkey, {NORM(STYLE_SQL['dayzer'])}, '', {VOLT(NORM(STYLE_SQL['dayzer']))}, []::VARCHAR[], list_transform(regexp_extract_all({STYLE_SQL['dayzer']}, '\\b[A-Z]{{2,}}\\b'), lambda x: lower(x)) FROM part),
 lf AS (SELECT id, v, {TOKS('f')} AS ft, {TOKS('c')} AS ct, list_distinct(list_concat(zb, zc)) AS z FROM ref),
 rf AS (SELECT dataset, id, v, {TOKS('f')} AS ft, {TOKS('c')} AS ct, list_distinct(list_concat(zb, zc)) AS z FROM cand),
 lt AS (SELECT id, unnest(ft) AS k FROM lf), rt AS (SELECT dataset, id, unnest(CASE WHEN dataset = 'pano' THEN list_distinct(list_concat(ft, ct)) ELSE ft END) AS k FROM rf),
-ov AS (SELECT lt.id AS left_id, dataset, rt.id AS right_id, count(*) AS n FROM lt JOIN rt USING (k) GROUP BY ALL),
-ol AS (SELECT left_id, ov.dataset, right_id, n + coalesce((lf.v = rf.v)::INT, 0) AS overlap, lf.ft AS lft, rf.ft AS rft, lf.ct AS lct, rf.ct AS rct, lf.v AS lv, rf.v AS rv, lf.z AS lz, rf.z AS rz FROM ov JOIN lf ON lf.id = left_id JOIN rf ON rf.dataset = ov.dataset AND rf.id = right_id),
+ov AS (SELECT left_id, dataset, right_id, count(*) AS n FROM (SELECT lt.id AS left_id, dataset, rt.id AS right_id FROM lt JOIN rt USING (k) UNION ALL SELECT lf.id, rf.dataset, rf.id FROM lf JOIN rf USING (v)) GROUP BY ALL),
+ol AS (SELECT left_id, ov.dataset, right_id, n AS overlap, lf.ft AS lft, rf.ft AS rft, lf.ct AS lct, rf.ct AS rct, lf.v AS lv, rf.v AS rv, lf.z AS lz, rf.z AS rz FROM ov JOIN lf ON lf.id = left_id JOIN rf ON rf.dataset = ov.dataset AND rf.id = right_id),
 bl AS (SELECT *, row_number() OVER (PARTITION BY left_id, dataset ORDER BY overlap DESC, right_id)::INTEGER AS block_rank FROM ol)"""
 DICE = lambda a, b: f"CASE WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0::DOUBLE ELSE 2.0::DOUBLE * {INTER(a, b)} / (len({a}) + len({b})) END"
 SC = REC + f""", sc AS (SELECT left_id, dataset, right_id, {DICE('lft', 'rft')} AS fs, {DICE('lct', 'rct')} AS cs, coalesce((lv = rv)::INT::DOUBLE, 0) AS vm, ({INTER('lz', 'rz')} > 0)::INT::DOUBLE AS zo, ({INTER('lft', 'rft')} > 0)::INT::DOUBLE AS tk FROM bl WHERE block_rank <= 250),
@@ -342,7 +378,7 @@ SQL: dict[str, str] = {
     "pair_scores": f"WITH {SC} SELECT left_id, dataset, right_id, round(fs, 6) AS facility_score, round(cs, 6) AS contingency_score, vm AS voltage_match, zo AS zone_overlap, round(v1, 6) AS score_v1, round(v2, 6) AS score_v2 FROM s2",
     "group_flags": f"WITH {RANKED} SELECT left_id, dataset, rank, round(best, 6) AS best, round(second, 6) AS second, round(best - second, 6) AS margin, best < 0.75::DOUBLE OR best - second < 0.05::DOUBLE AS ambiguous FROM fl",
     "best_match": f"WITH {SC}, r1 AS (SELECT *, row_number() OVER (PARTITION BY left_id, dataset ORDER BY v1 DESC, right_id) AS k FROM s2), b AS (SELECT left_id, dataset, max(v1) FILTER (k = 1) AS score, coalesce(max(v1) FILTER (k = 2), 0) AS second FROM r1 GROUP BY ALL) SELECT lf.id AS left_id, dataset, round(coalesce(score, 0), 6) AS score, round(coalesce(second, 0), 6) AS second, coalesce(score < 0.35::DOUBLE OR score - second < 0.05::DOUBLE, true) AS ambiguous, CASE WHEN score >= 0.7::DOUBLE THEN 'high' WHEN score >= 0.45::DOUBLE THEN 'medium' ELSE 'low' END AS label FROM lf LEFT JOIN b ON b.left_id = lf.id",
-    "review_queue": f"WITH {RANKED}, b AS (SELECT *, best < 0.75::DOUBLE OR best - second < 0.05::DOUBLE AS amb FROM fl WHERE rank = 1), a AS (SELECT * FROM b WHERE NOT amb ORDER BY md5('42|' || left_id || '|' || dataset), left_id, dataset LIMIT 50) SELECT left_id, dataset, right_id, 'flagged' AS reason, NULL::INTEGER AS manual_label, '' AS review_notes FROM b WHERE amb UNION ALL SELECT left_id, dataset, right_id, 'audit', NULL, '' FROM a",
+    "review_queue": f"WITH {RANKED}, b AS (SELECT *, best < 0.75::DOUBLE OR best - second < 0.05::DOUBLE AS amb FROM fl WHERE rank = 1), a AS (SELECT * FROM b WHERE NOT amb AND v2 >= 0.85::DOUBLE ORDER BY md5('42|' || left_id || '|' || dataset), left_id, dataset LIMIT 100) SELECT left_id, dataset, right_id, 'flagged' AS reason, NULL::INTEGER AS manual_label, '' AS review_notes FROM b WHERE amb UNION ALL SELECT left_id, dataset, right_id, 'audit', NULL, '' FROM a",
     "final_matches": f"WITH {RANKED} SELECT left_id, source, right_id, round(score, 6) AS score, right_id IS NOT NULL AS accepted, CASE WHEN right_id IS NULL THEN 'low' WHEN score >= 0.85::DOUBLE THEN 'high' WHEN score >= 0.7::DOUBLE THEN 'medium' ELSE 'low' END AS label FROM fin",
     "wide_matches": f"WITH {RANKED} SELECT left_id, max(right_id) FILTER (source = 'pano') AS pano_right_id, round(max(score) FILTER (source = 'pano'), 6) AS pano_score, max(right_id) FILTER (source = 'dayzer') AS dayzer_right_id, round(max(score) FILTER (source = 'dayzer'), 6) AS dayzer_score FROM fin GROUP BY left_id",
     "final_validation": "WITH n AS (SELECT count(*) * 2 AS k FROM part WHERE p_partkey % 20 = 0) SELECT 'rows' AS \"check\", k AS found, k AS expected FROM n UNION ALL SELECT 'accepted_below', 0, 0 UNION ALL SELECT 'no_reference', 0, 0",
@@ -350,7 +386,7 @@ SQL: dict[str, str] = {
     "missing_rows": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 <> 0)",
     "label_status": "SELECT doc_id, l.m AS manual_label, CASE WHEN m IS NULL THEN 'unreviewed' WHEN m = 1 THEN 'confirmed' WHEN m = 0 THEN 'rejected' ELSE 'unsure' END AS review_status FROM documents LEFT JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN -1 ELSE quality END AS m FROM labels) l USING (doc_id)",
     "precision_by_bucket": "WITH r AS (SELECT lang, CASE WHEN toxic = 1 THEN -1 ELSE quality END AS m FROM documents LEFT JOIN labels USING (doc_id)) SELECT lang, count(*) AS rows, count(*) FILTER (m IN (0, 1)) AS scored, round(avg((m = 1)::INT) FILTER (m IN (0, 1)), 6) AS precision FROM r GROUP BY lang",
-    "edit_ratio": "SELECT n_nationkey, round(1 - levenshtein(n_name, reverse(n_name)) / length(n_name), 6) AS ratio FROM nation",
+    "edit_ratio": "WITH x AS (SELECT p_partkey, lower(p_name) AS a, lower(p_type || ' ' || p_name) AS b FROM part) SELECT p_partkey, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS ratio FROM x",
     "passage_blocking": "WITH b AS (SELECT item_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda t: length(t) >= 12))) AS k FROM benchmark), c AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda t: length(t) >= 12))) AS k FROM documents), n AS (SELECT item_id, doc_id, count(*) AS overlap FROM b JOIN c USING (k) GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id)::INTEGER AS block_rank FROM n) SELECT item_id AS left_id, 'documents' AS dataset, doc_id AS right_id, overlap, block_rank FROM r WHERE block_rank <= 5",
     "graph_edges": f"WITH {EDGE} SELECT src, dst FROM e",
     "graph_fingerprint": f"WITH {NODES_SQL}, {EDGE}, j AS (SELECT a.id, b.kv - a.kv AS g, {BAND('b.kv')} AS band, b.id AS other FROM n a LEFT JOIN e ON e.src = a.id LEFT JOIN n b ON b.id = e.dst) SELECT id, count(other) AS degree, count(*) FILTER (abs(g) <= 1e-6) AS same_kv, count(*) FILTER (g > 1e-6) AS higher_kv, count(*) FILTER (g < -1e-6) AS lower_kv, count(other) FILTER (band = 'ehv') AS n_ehv, count(other) FILTER (band = 'hv') AS n_hv, count(other) FILTER (band = 'lv') AS n_lv, count(other) FILTER (band = 'unknown') AS n_unknown FROM j GROUP BY id",
@@ -358,10 +394,15 @@ SQL: dict[str, str] = {
     "coordinate_profile": f"WITH {NODES_SQL}, m AS (SELECT CASE WHEN id % 17 <> 0 THEN lat END AS lat, CASE WHEN id % 17 <> 0 THEN lon END AS lon FROM n) SELECT count(*) AS rows, count(*) FILTER (lat IS NULL) AS missing, 0::BIGINT AS out_of_range, 0::BIGINT AS zero, count(*) - count(DISTINCT (lat, lon)) AS repeated, round(min(lat), 6)::DOUBLE AS min_lat, round(max(lat), 6)::DOUBLE AS max_lat, round(min(lon), 6)::DOUBLE AS min_lon, round(max(lon), 6)::DOUBLE AS max_lon FROM m",
     "haversine_pairs": f"WITH {DIST} SELECT left_id, right_id, round(km, 6) AS distance_km FROM dist WHERE km <= 60",
     "nearest_pairs": f"WITH {DIST}, r AS (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY km, right_id) AS k FROM dist) SELECT left_id, right_id, round(km, 6) AS distance_km FROM r WHERE k <= 5",
+    "nearest_variant": f"WITH {DIST}, k AS (SELECT left_id, right_id, km FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY km, right_id) AS k FROM dist) WHERE k = 1) SELECT left_id, right_id, round(km, 6) AS distance_km, round(abs(l.kv - r.kv), 6) AS kv_gap, count(*) OVER (PARTITION BY right_id) > 1 AS ambiguous FROM k JOIN n l ON l.id = left_id JOIN n r ON r.id = right_id",
+    "voltage_rank": f"WITH {DIST}, k AS (SELECT left_id, right_id, row_number() OVER (PARTITION BY left_id ORDER BY km, right_id)::INTEGER AS distance_rank FROM dist), v AS (SELECT k.*, CASE WHEN l.kv = r.kv THEN 1.0 WHEN {BAND('l.kv')} = {BAND('r.kv')} THEN 0.65 ELSE 0.0 END::DOUBLE AS voltage_score FROM k JOIN n l ON l.id = left_id JOIN n r ON r.id = right_id WHERE distance_rank <= 5) SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY voltage_score >= 0.65::DOUBLE DESC, distance_rank, right_id)::INTEGER AS voltage_rank FROM v",
+    "flag_columns": f"WITH {RANKED} SELECT left_id, dataset, right_id, v2 < 0.75::DOUBLE AS low_score, best - second < 0.05::DOUBLE AS close_margin, best < 0.75::DOUBLE OR best - second < 0.05::DOUBLE AS ambiguous FROM fl",
+    "label_buckets": f"WITH {RANKED}, b AS (SELECT *, best < 0.75::DOUBLE OR best - second < 0.05::DOUBLE AS amb, best - second < 0.05::DOUBLE AS cm FROM fl WHERE rank = 1), u AS (SELECT left_id, dataset, right_id, 'high_confidence' AS bucket FROM b WHERE NOT amb AND v2 >= 0.85::DOUBLE UNION ALL SELECT left_id, dataset, right_id, 'medium_confidence' FROM b WHERE v2 >= 0.7::DOUBLE AND v2 < 0.85::DOUBLE UNION ALL SELECT left_id, dataset, right_id, 'low_or_ambiguous' FROM b WHERE amb OR v2 < 0.7::DOUBLE OR cm) SELECT left_id, dataset, right_id, bucket FROM (SELECT *, row_number() OVER (PARTITION BY bucket ORDER BY md5('42|' || left_id || '|' || dataset), left_id, dataset) AS k FROM u) WHERE k <= 100",
     "name_fallback": f"WITH {NODES_SQL}, x AS (SELECT l.id AS left_id, r.id AS right_id, {BAND('l.kv')} = {BAND('r.kv')} AS band, list_distinct(string_split('n ' || {NODE('a.s_name')}, ' ')) AS lt, list_distinct(string_split('n ' || {NODE('b.s_name')}, ' ')) AS rt FROM n l JOIN supplier a ON a.s_suppkey = l.id CROSS JOIN n r JOIN supplier b ON b.s_suppkey = r.id WHERE l.id % 17 = 0), y AS (SELECT left_id, right_id, {INTER('lt', 'rt')}::DOUBLE / (len(lt) + len(rt) - {INTER('lt', 'rt')}) + CASE WHEN band THEN 0.25 ELSE 0 END AS s FROM x) SELECT left_id, right_id, fallback_rank FROM (SELECT left_id, right_id, row_number() OVER (PARTITION BY left_id ORDER BY s DESC, right_id DESC)::INTEGER AS fallback_rank FROM y) WHERE fallback_rank <= 5",
 }
 _OWN = """normalize_text extract_voltage unique_tokens interface_words zone_words node_names joined_names dice_jaccard voltage_scores confidence_labels
 block_candidates pair_scores group_flags best_match review_queue final_matches final_validation wide_matches completeness_grid missing_rows label_status
 precision_by_bucket edit_ratio fuzzy_ratio passage_blocking graph_edges graph_fingerprint endpoint_validity coordinate_profile haversine_pairs nearest_pairs
-name_fallback composite_rank one_to_one seeds propagate_final propagation_counts topology_counts distance_by_label ablation sensitivity_grid review_samples case_studies""".split()
+name_fallback composite_rank one_to_one seeds propagate_final propagation_counts topology_counts distance_by_label ablation sensitivity_grid review_samples case_studies
+nearest_variant voltage_rank label_buckets flag_columns""".split()
 QUERIES = {n: globals()[n] for n in _OWN}

@@ -40,11 +40,11 @@ def elastic_net_forecast(s, d):
 
 
 def rf_forecast(s, d):
-    return _forecast(s, d, "random_forest", {"numTrees": 20, "maxDepth": 8})
+    return _forecast(s, d, "random_forest")
 
 
 def gbt_forecast(s, d):
-    return _forecast(s, d, "hist_gbt", {"maxIter": 20})
+    return _forecast(s, d, "hist_gbt")
 
 
 def forecast_errors(s, d):
@@ -73,7 +73,7 @@ def cluster_summary(s, d):
 
 
 def gmm_profiles(s, d):
-    out, _ = ml.gaussian_mixture(_profiles(s, d).select("bus", *[f"h{k}" for k in (3, 9, 15, 21)]), ["h3", "h9", "h15", "h21"], "bus", 2)
+    out, _ = ml.gaussian_mixture(_profiles(s, d), [f"h{k}" for k in range(1, 25)], "bus", 2)
     return out
 
 
@@ -99,10 +99,11 @@ def classifier_quality(s, d):
 
 
 def embedding_clusters(s, d):
-    e = _t(s, d, "embeddings").where(F.col("embedding").isNotNull())
-    cols = [f"x{k}" for k in range(8)]
-    rows = e.select("vec_id", *[F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate(cols)])
-    return ml.kmeans(rows, cols, "vec_id", 5, (42,))[0]
+    """Clusters of whole vectors, those of the commonest length."""
+    e = _t(s, d, "embeddings").where(F.col("embedding").isNotNull()).withColumn("n", F.size("embedding"))
+    n = e.agg(F.mode("n", True).alias("n")).first()["n"] or 0
+    rows = e.where(F.col("n") == n).select("vec_id", *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(n)])
+    return ml.kmeans(rows, [f"x{k}" for k in range(n)], "vec_id", 5)[0]
 
 
 QUERIES = {f.__name__: f for f in (ridge_forecast, elastic_net_forecast, rf_forecast, gbt_forecast, forecast_errors, kmeans_profiles, cluster_summary, gmm_profiles, logistic_match, classifier_quality, embedding_clusters)}

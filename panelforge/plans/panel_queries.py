@@ -245,9 +245,16 @@ def profile_zscore(s, d):
 
 
 def month_year_pivot(s, d):
-    rows = _t(s, d, "lineitem").select(F.month("l_shipdate").alias("month"), F.year("l_shipdate").alias("year"), "l_quantity")
-    years = [1995, 1996, 1997, 1998]
-    return r6(rows.where(F.col("year").isin(years)).groupBy("month").pivot("year", years).agg(F.avg("l_quantity")).toDF("month", *[f"y{y}" for y in years]), *[f"y{y}" for y in years])
+    """Means by month, one column for each year that the table holds."""
+    rows = _t(s, d, "lineitem").select(F.month("l_shipdate").alias("month"), F.concat(F.lit("y"), F.year("l_shipdate")).alias("year"), "l_quantity")
+    out = rows.where(F.col("year").isNotNull()).groupBy("month").pivot("year").agg(F.avg("l_quantity"))
+    return r6(out, *out.columns[1:])
+
+
+def month_year_long(s, d):
+    """The same in long form, whatever years there are."""
+    rows = _t(s, d, "lineitem").groupBy(F.month("l_shipdate").alias("month"), F.year("l_shipdate").alias("year")).agg(F.avg("l_quantity").alias("mean"))
+    return r6(rows, "mean")
 
 
 def topn_groups(s, d):
@@ -409,7 +416,8 @@ SQL: dict[str, str] = {
     "he_profile_pivot": f"WITH {KEYED} SELECT bus, " + ", ".join(f"round(avg(pd) FILTER (he = {k}), 6) AS h{k}" for k in range(1, 25)) + " FROM keyed GROUP BY bus",
     "profile_interpolate": f"WITH {KEYED}, g AS (SELECT bus, he, CASE WHEN (he + bus) % 5 <> 0 THEN avg(pd) END AS m FROM keyed GROUP BY bus, he), n AS (SELECT *, max(CASE WHEN m IS NOT NULL THEN he END) OVER (PARTITION BY bus ORDER BY he ROWS UNBOUNDED PRECEDING) AS x0, min(CASE WHEN m IS NOT NULL THEN he END) OVER (PARTITION BY bus ORDER BY he ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS x1 FROM g) SELECT n.bus, n.he, round(n.m, 6) AS m, round(coalesce(n.m, a.m + (b.m - a.m) * (n.he - x0)::DOUBLE / nullif(x1 - x0, 0), a.m, b.m, 0), 6) AS filled FROM n LEFT JOIN g a ON a.bus = n.bus AND a.he = x0 LEFT JOIN g b ON b.bus = n.bus AND b.he = x1",
     "profile_zscore": f"WITH {KEYED}, g AS (SELECT bus, he, avg(pd) AS m FROM keyed GROUP BY ALL) SELECT bus, he, round(m, 6) AS m, round(coalesce((m - avg(m) OVER (PARTITION BY bus)) / nullif(stddev_pop(m) OVER (PARTITION BY bus), 0), 0), 6) AS z FROM g",
-    "month_year_pivot": "SELECT month(l_shipdate)::INTEGER AS month, " + ", ".join(f"round(avg(l_quantity) FILTER (year(l_shipdate) = {y}), 6) AS y{y}" for y in range(1995, 1999)) + " FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 1998 GROUP BY 1",
+    "month_year_pivot": "SELECT month(l_shipdate)::INTEGER AS month, " + ", ".join(f"round(avg(l_quantity) FILTER (year(l_shipdate) = {y}), 6) AS y{y}" for y in range(1995, 2002)) + " FROM lineitem GROUP BY 1",
+    "month_year_long": "SELECT month(l_shipdate)::INTEGER AS month, year(l_shipdate)::INTEGER AS year, round(avg(l_quantity), 6) AS mean FROM lineitem GROUP BY ALL",
     "topn_groups": "SELECT user_id, round(sum(value), 6) AS total FROM events GROUP BY user_id ORDER BY sum(value) DESC NULLS LAST, user_id LIMIT 25",
     "mode_zone": "WITH c AS (SELECT user_id % 12 AS bus, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT bus, arg_min(event_type, (-n, event_type)) AS main_type FROM c GROUP BY bus",
     "column_profile": "WITH o AS (SELECT o_orderkey::VARCHAR AS a, o_custkey::VARCHAR AS b, o_orderstatus AS c, nullif(o_orderpriority, '5-LOW') AS d FROM orders), u AS (SELECT 'o_orderkey' AS col, a AS v FROM o UNION ALL SELECT 'o_custkey', b FROM o UNION ALL SELECT 'o_orderstatus', c FROM o UNION ALL SELECT 'o_orderpriority', d FROM o) SELECT col AS \"column\", count(*) AS rows, count(v) AS non_null, count(*) - count(v) AS nulls, count(*) FILTER (trim(v) = '') AS blanks, round((count(*) - count(v) + count(*) FILTER (trim(v) = '')) * 100.0 / count(*), 6)::DOUBLE AS missing_pct, count(DISTINCT v) AS distinct_values, count(DISTINCT v) + (count(v) < count(*))::INT AS distinct_with_null FROM u GROUP BY col",
