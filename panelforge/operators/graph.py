@@ -358,3 +358,9 @@ def case_studies(results: DataFrame, rules: dict[str, tuple[Column, Column]]) ->
     hits = [F.when(cond, F.struct(F.lit(n).alias("case"), order.cast("double").alias("by"))) for n, (cond, order) in rules.items()]
     rows = results.withColumn("_c", F.explode(F.array_compact(F.array(*hits)))).select("*", "_c.case", "_c.by").drop("_c")
     return rows.withColumn("_r", F.row_number().over(W.partitionBy("case").orderBy("by", "left_id"))).where(F.col("_r") == 1).drop("_r", "by")
+
+
+def match_lines(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """Plot data: the coordinates of both ends of each match that has them."""
+    out = _sides(matches.where(F.col("right_id").isNotNull()), left, right, ["lat", "lon"]).dropna("any", subset=["l_lat", "l_lon", "r_lat", "r_lon"])
+    return out.select("left_id", "right_id", F.col("l_lat").alias("left_lat"), F.col("l_lon").alias("left_lon"), F.col("r_lat").alias("right_lat"), F.col("r_lon").alias("right_lon"))

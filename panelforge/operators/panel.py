@@ -123,10 +123,16 @@ def zscore(points: DataFrame, keys: list[str], value: str, out: str) -> DataFram
 
 
 def sequences(panel: DataFrame, keys: list[str], length: int, value: str = "pd", ts: str = "ts") -> DataFrame:
-    """(keys, ts, sequence, target): the ``length`` values before each row, where there are so many."""
-    w = _series(keys, ts).rowsBetween(-length, -1)
-    rows = panel.withColumn("sequence", F.collect_list(value).over(w)).where(F.size("sequence") == length)
-    return rows.select(*keys, ts, "sequence", F.col(value).alias("target"))
+    """(keys, ts, sequence, target): the ``length`` values before each row, where there are so many.
+
+    Missing values are interpolated first, by the rows' places: linear between the nearest known ones, the
+    nearest at the ends, 0 without any; the target stays as it is.
+    """
+    w = _series(keys, ts)
+    rows = panel.withColumn("_at", F.row_number().over(w))
+    filled = interpolate(rows.select(*keys, "_at", value), keys, "_at", value, "_filled").select(*keys, "_at", "_filled")
+    rows = rows.join(filled, [*keys, "_at"]).withColumn("sequence", F.collect_list("_filled").over(w.rowsBetween(-length, -1)))
+    return rows.where(F.size("sequence") == length).select(*keys, ts, "sequence", F.col(value).alias("target"))
 
 
 def running_sum(panel: DataFrame, keys: list[str], value: str = "pd", ts: str = "ts") -> DataFrame:

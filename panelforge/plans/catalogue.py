@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.plans import match_queries, ml_queries, panel_queries
+from panelforge.plans import match_queries, ml_queries, panel_queries, source_queries
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {**panel_queries.QUERIES, **match_queries.QUERIES, **ml_queries.QUERIES}
+    return {**panel_queries.QUERIES, **match_queries.QUERIES, **ml_queries.QUERIES, **source_queries.QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**panel_queries.SQL, **match_queries.SQL, **ml_queries.SQL}
+    return {**panel_queries.SQL, **match_queries.SQL, **ml_queries.SQL, **source_queries.SQL}

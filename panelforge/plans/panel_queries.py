@@ -95,7 +95,7 @@ def value_range(s, d):
 
 
 def file_inventory(s, d):
-    return io.inventory(s, f"{d}/events.parquet").select("rows")
+    return io.inventory(s, f"{d}/events.parquet").agg(F.sum("rows").cast("long").alias("rows"))
 
 
 def calendar_features(s, d):

@@ -15,6 +15,14 @@ CONSTRAINT_SCHEMAS = {
     "pano": "PID long, `Monitored Facility` string, `Contingency Name` string, Earliest string, Latest string",
 }
 BUS_SCHEMA = "id long, bus_unique_id string, bus_type string, base_kv double, zone_name string, pd double, pg double, date string, he int"
+NODE_SCHEMAS = {
+    "left": "MDB_ID string, NAME string, BASKV double, IDE string, AREA_NAME string, ZONE_NAME string, LAT double, LON double",
+    "right": "NAME string, BASKV double, BUS_TYPE string, AREA_NAME string, ZONE_NAME string, LAT double, LON double, PANO_ID string, STATION string",
+}
+BRANCH_SCHEMAS = {
+    "left": "MDB_ID string, NAME string, BRANCH_TYPE string, FROM_BUS string, TO_BUS string, FROM_KV double, TO_KV double, CKT string, R double, X double, B double, SRATEA double, SRATEB double, WRATEA double, WRATEB double",
+    "right": "NAME string, BRANCH_TYPE string, FROM_BUS_ID string, FROM_BUS_KV double, TO_BUS_ID string, TO_BUS_KV double, CIRCUIT string, R double, X double, B double, RATE_A double, RATE_B double, RATE_C double, FROM_BUS_NAME string, TO_BUS_NAME string, PANO_ID string",
+}
 ZONE_SCHEMA = "zone_name string, pd double, pg double, load_bus_count int, gen_bus_count int, date string, he int"
 
 
@@ -68,9 +76,59 @@ def years_between(start: str, end: str) -> list[int]:
     return list(range(int(start[:4]), int(end[:4]) + 1))
 
 
-def inventory(spark: SparkSession, path: str) -> DataFrame:
-    """(file, rows, mb) of a Parquet table; rows come from the footers (no column is read)."""
-    return spark.read.parquet(path).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count("*").alias("rows"), (F.max("_metadata.file_size") / 1e6).alias("mb"))
+def read_level(spark: SparkSession, folder: str, level: str, start: str, end: str, ids: list[str] | None = None, zones: list[str] | None = None) -> DataFrame:
+    """Members ("bus") or zones ("zone") of a date window, out of the yearly files, with the hour's start as ``timestamp``."""
+    from panelforge.functions.dates import hour_ending_time
+
+    schema = {"bus": BUS_SCHEMA, "zone": ZONE_SCHEMA}[level]
+    columns = [c.split()[0] for c in schema.split(", ")]
+    paths = year_files(spark, folder, f"{level}_load", years_between(start, end))
+    rows = read_panel(spark, paths, columns, start, end, ids if level == "bus" else None, zones)
+    return rows.withColumn("timestamp", hour_ending_time("date", "he"))
+
+
+def inventory(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """(file, kind, rows, row_groups, columns, mb) of each file of a Parquet table, from the footers alone.
+
+    Footers are read by the executors' file system classes on the driver, one a file; no data is read.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system, rows = at.getFileSystem(conf), []
+    found = [at] if system.getFileStatus(at).isFile() else [x.getPath() for x in system.listStatus(at)]
+    for file in found:
+        if not file.getName().endswith(".parquet"):
+            continue
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(file, conf))
+        try:
+            meta = reader.getFooter()
+            rows.append((file.getName(), kind, reader.getRecordCount(), meta.getBlocks().size(), meta.getFileMetaData().getSchema().getFieldCount(), system.getFileStatus(file).getLen() / 1e6))
+        finally:
+            reader.close()
+    return spark.createDataFrame(rows, "file string, kind string, rows long, row_groups int, columns int, mb double")
+
+
+def find_file(spark: SparkSession, folder: str, names: list[str], patterns: list[str], depth: int = 4) -> str:
+    """The first of ``names`` in a folder, else the first path by name that fits a pattern in it or below; none raises."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(folder)
+    system = at.getFileSystem(conf)
+    for name in names:
+        if system.exists(p := jvm.org.apache.hadoop.fs.Path(at, name)):
+            return p.toString()
+    for pattern in patterns:
+        for below in range(depth + 1):
+            hits = system.globStatus(jvm.org.apache.hadoop.fs.Path(at, "*/" * below + pattern))
+            if hits:
+                return min(h.getPath().toString() for h in hits)
+    raise FileNotFoundError(f"none of {', '.join(names)} in {folder}")
+
+
+def find_review_file(spark: SparkSession, folder: str) -> str:
+    """The reviewed matches, also under a misspelt name."""
+    # Names under which reviewers hand the file back.
+    names = ["bus_mapping_manual_reviewed_extended.csv", "bus_mapping_manual_reveiwed_extended.csv", "bus_mapping_manual_review_extended_reviewed.csv"]
+    return find_file(spark, folder, names, ["*manual*reviewed*extended*.csv", "*manual*reveiwed*extended*.csv", "*manual*review*extended*reviewed*.csv"])
 
 
 def value_range(df: DataFrame, column: str) -> DataFrame:

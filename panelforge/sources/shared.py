@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no folder (single-machine tests).
+#: Used only by local sessions that name no folder (single-machine tests).
 LOCAL_CHECKPOINTS = "file:///tmp/checkpoints"
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``. Only a local session may leave it unset."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+    return named or LOCAL_CHECKPOINTS
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage in ``spark.checkpoint.dir``; survives lost executors."""
+    """Cut the lineage in the shared folder; survives lost executors."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or LOCAL_CHECKPOINTS)
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()

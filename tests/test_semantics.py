@@ -170,7 +170,7 @@ def test_graph_twins(spark):
     scored = GR.composite(GR.topology_features(GR.attribute_features(pairs, nodes, nodes), GR.fingerprints(edges, nodes), GR.fingerprints(edges, nodes)))
     accepted, log = GR.propagate(scored, edges, edges)
     assert log[0][0] == 0 and log[-1][2] == accepted.count()
-    done = GR.propagated_results(scored, accepted).collect()
+    done = GR.propagated_results(scored, accepted, edges, edges).collect()
     hits = [r["right_id"] for r in done if r["right_id"] is not None]
     assert len(done) == 6 and len(hits) == len(set(hits)) and {r["left_id"]: r["right_id"] for r in done}[0] == 0
     best = GR.one_to_one(scored).where("right_id is not null").select("right_id").collect()
@@ -237,3 +237,128 @@ def test_stream_equals_batch(spark, tmp_path):
     made = spark.read.parquet(f"{tmp_path}/out").select("bus", "ts", F.round("pd", 6).alias("pd"))
     batch = P.hourly(source, ["bus"], "ts", "value").select("bus", "ts", F.round("pd", 6).alias("pd"))
     assert made.count() > 0 and made.exceptAll(batch).count() == 0
+
+
+def line_graph(spark):
+    """Six nodes on a line, near one another, of two names; the right side holds the same nodes."""
+    rows = [(k, f"Node {k // 2}", float((69, 345)[k % 2]), 30.0 + k * 0.02, -100.0, ["n", str(k // 2)], [str(k // 2)], f"n {k // 2}") for k in range(6)]
+    nodes = spark.createDataFrame(rows, "id long, name string, kv double, lat double, lon double, tokens array<string>, numbers array<string>, norm string")
+    edges = GR.simple_graph(spark.createDataFrame([(k, k + 1) for k in range(5)], "src long, dst long"))
+    return nodes, edges
+
+
+def test_results_hold_the_pair_that_was_accepted(spark):
+    """A node whose second candidate is accepted shows that candidate's distance and voltage."""
+    pairs = spark.createDataFrame([(1, 10, 1.0, 1, 0.65, 0.5, 0.5, 0.5, 0.60), (1, 11, 5.0, 2, 1.0, 0.6, 0.5, 0.5, 0.59), (2, 12, 2.0, 1, 1.0, 0.9, 0.9, 0.9, 0.95)], "left_id long, right_id long, distance_km double, distance_rank int, voltage_score double, name_score double, topology_score double, distance_score double, composite double")
+    scored = GR.ranked_pairs(pairs, "composite").withColumns({"conflict": F.lit(False), "ambiguous": F.lit(False), "label": F.lit("low"), "kv_gap": F.lit(0.0)})
+    accepted = spark.createDataFrame([(2, 12, 0, "seed", 0.95), (1, 11, 1, "propagated", 0.9)], "left_id long, right_id long, round int, stage string, score double")
+    le = GR.simple_graph(spark.createDataFrame([(1, 2)], "src long, dst long"))
+    re_ = GR.simple_graph(spark.createDataFrame([(11, 12)], "src long, dst long"))
+    got = {r["left_id"]: r for r in GR.propagated_results(scored, accepted, le, re_).collect()}
+    assert (got[1]["right_id"], got[1]["distance_km"], got[1]["voltage_score"], got[1]["stage"], got[1]["round"], got[1]["accepted"]) == (11, 5.0, 1.0, "propagated", 1, True)
+    assert (got[2]["right_id"], got[2]["label"]) == (12, "high")
+
+
+def test_propagation_by_hand(spark):
+    """Support, consistency and score of a pair against a plain loop over neighbours."""
+    nodes, edges = line_graph(spark)
+    pairs = G.radius_join(nodes, nodes, 5.0).withColumn("composite", F.lit(0.5))
+    accepted = spark.createDataFrame([(0, 0), (2, 2), (4, 5)], "left_id long, right_id long")
+    near = {k: {k - 1, k + 1} & set(range(6)) for k in range(6)}
+    to = {0: 0, 2: 2, 4: 5}
+    for r in GR.support(pairs, accepted, edges, edges).collect():
+        l, p = r["left_id"], r["right_id"]  # noqa: E741
+        hits = sum(to[n] in near[p] for n in near[l] if n in to)
+        fwd = hits / max(1, sum(n in to for n in near[l]))
+        rev = hits / max(1, sum(n in to.values() for n in near[p]))
+        boost = 0.1 if hits >= 2 else 0.05 * hits
+        want = 0.65 * fwd + 0.35 * rev
+        assert (r["support"], r["consistency"]) == (hits, pytest.approx(want))
+        assert r["spread_score"] == pytest.approx(min(1, 0.72 * 0.5 + 0.28 * want + boost))
+
+
+def test_last_row_of_a_name_counts(spark):
+    nodes = spark.createDataFrame([("1_9", 9, "A", "a"), ("1_10", 10, "A", "a")], "id string, row long, name string, norm string")
+    out = GR.resolve_endpoints(spark.createDataFrame([("A", "a")], "x string, y string"), nodes, ("x", "y")).first()
+    assert (out["src"], out["dst"]) == ("1_10", "1_10")
+
+
+def test_voltage_alone_makes_a_candidate(spark):
+    rec = lambda rows: spark.createDataFrame(rows, "dataset string, record_id long, block_tokens array<string>, voltage int")
+    left = rec([("m", 1, ["a", "b"], 345)])
+    right = rec([("p", 7, ["c"], 345), ("p", 3, ["d"], 345), ("p", 5, ["a"], 69), ("p", 9, ["a"], 345), ("p", 11, ["z"], 69)])
+    got = [(r["right_id"], r["overlap"]) for r in M.block_candidates(left, right, 3).orderBy("block_rank").collect()]
+    assert got == [(9, 2), (3, 1), (5, 1)]
+
+
+def test_fallback_fills_up_exactly(spark):
+    """Left rows without coordinates against all right rows, few of which share a token."""
+    kv = [69.0, 138.0, 345.0, None]
+    right = [(k, ["t%d" % (k % 50)], kv[k % 4]) for k in range(200)]
+    left = [(k, ["t%d" % k, "x"], kv[k % 4]) for k in range(60)] + [(99, [], None)]
+    table = lambda rows: spark.createDataFrame([(i, t, v, None, None) for i, t, v in rows], "id long, tokens array<string>, kv double, lat double, lon double")
+    got = {}
+    for r in G.name_fallback(table(left), table(right), 6).orderBy("left_id", "fallback_rank").collect():
+        got.setdefault(r["left_id"], []).append(r["right_id"])
+    band = lambda v: None if v is None else "ehv" if v >= 300 else "hv" if v >= 100 else "lv"
+    for i, t, v in left:
+        score = lambda r: (len(set(t) & set(r[1])) / len(set(t) | set(r[1]))) + (0.25 if band(v) and band(v) == band(r[2]) else 0)  # noqa: B023, E731
+        assert got[i] == [r[0] for r in sorted(right, key=lambda r: (-score(r), -r[0]))[:6]], i
+
+
+def test_far_rows_meet_all_parts(spark):
+    left = spark.createDataFrame([(1, 80.0, 0.0), (2, -80.0, 170.0)], "id long, lat double, lon double")
+    right = spark.createDataFrame([(k, (k % 10) - 5.0, float(k)) for k in range(40)], "id long, lat double, lon double")
+    got = G.nearest_join(left, right, 3).collect()
+    km = {(l["id"], r["id"]): l for l in left.collect() for r in right.collect()}
+    every = left.crossJoin(right.withColumnsRenamed({"id": "rid", "lat": "rlat", "lon": "rlon"})).select("id", "rid", D.haversine("lat", "lon", "rlat", "rlon").alias("km")).collect()
+    for i in (1, 2):
+        want = sorted((r["km"], r["rid"]) for r in every if r["id"] == i)[:3]
+        assert sorted((r["distance_km"], r["right_id"]) for r in got if r["left_id"] == i) == want
+    assert km
+
+
+def test_footers_and_review_files(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "t").mkdir()
+    pq.write_table(pa.table({"a": list(range(100)), "b": ["x"] * 100}), tmp_path / "t/one.parquet", row_group_size=40)
+    r = io.inventory(spark, f"file://{tmp_path}/t", "kind").first()
+    assert (r["file"], r["kind"], r["rows"], r["row_groups"], r["columns"]) == ("one.parquet", "kind", 100, 3, 2) and r["mb"] > 0
+    with pytest.raises(FileNotFoundError):
+        io.find_review_file(spark, f"file://{tmp_path}")
+
+
+def test_folds_are_even_and_stratified(spark):
+    from panelforge.operators import ml
+
+    rows = ml.with_folds(spark.range(5000).withColumn("y", (F.col("id") % 10 == 0).cast("int")), "id", "y", 5)
+    got = {(r["y"], r["fold"]): r["count"] for r in rows.groupBy("y", "fold").count().collect()}
+    assert got == {(y, f): (100 if y else 900) for y in (0, 1) for f in range(5)}
+    assert not ml.enough_labels(rows.where("id < 500"), "y") and ml.enough_labels(rows, "y")
+
+
+def test_sequences_fill_gaps(spark):
+    rows = spark.createDataFrame([(1, datetime(2024, 1, 1, h), None if h == 2 else float(h)) for h in range(6)], "bus long, ts timestamp_ntz, pd double")
+    got = {r["ts"].hour: (r["sequence"], r["target"]) for r in P.sequences(rows, ["bus"], 3).collect()}
+    assert got == {3: ([0.0, 1.0, 2.0], 3.0), 4: ([1.0, 2.0, 3.0], 4.0), 5: ([2.0, 3.0, 4.0], 5.0)}
+
+
+def test_models_by_name_and_importances(spark):
+    """Every regressor and both classifiers fit; the informative column leads."""
+    from panelforge.operators import ml
+
+    rows = spark.range(400).select("id", (F.col("id") % 20).cast("double").alias("a"), (F.xxhash64("id") % 7).cast("double").alias("b"), (F.col("id") % 3).cast("string").alias("c"))
+    rows = rows.withColumns({"y": F.col("a") * 2 + 1, "z": (F.col("a") > 9).cast("int")})
+    for kind in ml.REGRESSORS:
+        small = {"maxIter": 5} if kind.startswith(("gbt", "hist")) else {"numTrees": 5} if kind == "random_forest" else None
+        model = ml.fit_regressor(rows, kind, ["a", "b"], ["c"], "y", small)
+        assert ml.importances(model, ["a", "b"], ["c"])[0][0] == "a", kind
+        assert ml.predict(model, rows, ["a", "b"], ["c"]).agg(F.avg(F.abs(F.col("y") - F.col("predicted_pd")))).first()[0] < 8
+    assert ml.permutation_importance(model, rows, ["a", "b"], ["c"], "y", ["a", "b"])[0][0] == "a"
+    for kind in ("logistic", "forest"):
+        scored = ml.classify(ml.fit_classifier(rows, ["a", "b"], "z", kind), rows, ["a", "b"])
+        assert ml.classifier_metrics(scored, "z").first()["auc"] > 0.95
+    folds = ml.cross_validate(rows, ["a", "b"], "id", "z", 3)
+    assert len(folds) == 3 and all(f["accuracy"] > 0.8 for f in folds)
