@@ -1,7 +1,7 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
 A text is lower-cased (A-Z only) and read as UTF-8 bytes, where every byte of a non-ASCII character
-is a word byte. Base phrases are found first. Then come two sets of regular expressions: some 230
+is a word byte. Base phrases are found first. Then come two sets of regular expressions: 217
 signatures written one by one, and the names of each license in several ways of stating them. A rule
 runs only where its keyword occurs. Detections are taken in order of priority, then length, then place;
 one whose interval lies within an accepted one is suppressed, so that "gnu lesser general public license
