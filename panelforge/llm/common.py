@@ -47,9 +47,22 @@ def staged(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     return out
 
 
+def staged_sorted(df: DataFrame, label: str, keys: list[str], buckets: int) -> DataFrame:
+    """``staged`` as a table of ``buckets`` files, each sorted: a merge join on ``keys`` reads it as it lies."""
+    spark, name = df.sparkSession, f"{label}-{uuid.uuid4().hex}".replace("-", "_")
+    path = f"{shared_dir(spark)}/{name}"
+    df.repartition(buckets, *keys).write.option("path", path).bucketBy(buckets, *keys).sortBy(*keys).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    _staged[path] = spark
+    out.staged_at, out.staged_as = path, name
+    return out
+
+
 def release(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more (those of a loop's earlier rounds)."""
     for df in tables:
+        if name := getattr(df, "staged_as", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
         if _staged.pop(path := getattr(df, "staged_at", None), None):
             drop_path(df.sparkSession, path)
 

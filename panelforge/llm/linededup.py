@@ -1,8 +1,8 @@
 """Line dedup over levelled sorted runs of line hashes; DataFrame operations only.
 
 Documents arrive in batches of ascending doc_id. A batch's line hashes are reduced to one row a hash
-and merge-anti-joined against the runs: hashes that the runs lack form a new run, written in hash
-order to the shared folder. When a level holds ``FANOUT`` runs they are compacted into one run of the
+and merge-anti-joined against the runs: hashes that the runs lack form a new run, written in buckets
+and in hash order to the shared folder. When a level holds ``FANOUT`` runs they are compacted into one run of the
 next level, so that a hash is rewritten about log(batches) times. A line is dropped where its hash
 belongs to an earlier document, of an older batch (by the runs) or of its own (by the batch's
 reduction). Line hashes are 96 bits wide (XXH64 and Murmur3).
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import NO_ID, documents, staged, text_or_empty
+from panelforge.llm.common import NO_ID, documents, release, staged, staged_sorted, text_or_empty
 
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -33,35 +33,46 @@ def line_key(line: Column) -> Column:
 
 
 class LineRuns:
-    """The levelled runs: rows (_h, _g, _first), each hash once over all of them."""
+    """The levelled runs: rows (_h, _g, _first), each hash once over all of them.
+
+    A run is written once into as many buckets as the session's shuffles have partitions, one sorted file
+    a bucket. A batch dealt by the same hash is therefore merged with every run as it lies: no join
+    shuffles or sorts a run again.
+    """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.levels = spark, [[]]
-
-    def _written(self, rows: DataFrame) -> DataFrame:
-        return staged(rows.sortWithinPartitions(*HASH), "line-run")
-
-    def known(self) -> DataFrame | None:
-        runs = [r for level in self.levels for r in level]
-        out = None
-        for r in runs:
-            out = r if out is None else out.unionByName(r)
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        # a scan of one file a bucket then tells the planner its order
+        spark.conf.set("spark.sql.legacy.bucketedTableScan.outputOrdering", "true")
+
+    def merged(self, seen: DataFrame) -> DataFrame:
+        """``seen`` with ``_old``, the first document of its hash in any run (null: in none), by one merge join a run."""
+        out = seen.withColumn("_old", F.lit(None).cast("long"))
+        for run in (r for level in self.levels for r in level):
+            out = out.join(run.withColumnRenamed("_first", "_run").hint("merge"), HASH, "left")
+            out = out.withColumn("_old", F.coalesce("_old", "_run")).drop("_run")
         return out
 
     def add(self, fresh: DataFrame) -> None:
         """Add the run of a batch's new hashes, and compact levels that are full."""
-        self.levels[0].append(self._written(fresh))
+        self.levels[0].append(staged_sorted(fresh, "line-run", HASH, self.buckets))
         for k, level in enumerate(self.levels):
             if len(level) < FANOUT:
                 break
-            merged = level[0]
+            rows = level[0]
             for r in level[1:]:
-                merged = merged.unionByName(r)
-            merged = self._written(merged.repartitionByRange(*HASH))
+                rows = rows.unionByName(r)
             self.levels[k] = []
             if k + 1 == len(self.levels):
                 self.levels.append([])
-            self.levels[k + 1].append(merged)
+            self.levels[k + 1].append(staged_sorted(rows, "line-run", HASH, self.buckets))
+            release(*level)
+
+    def close(self) -> None:
+        """Delete the runs, once no later batch needs them."""
+        release(*[r for level in self.levels for r in level])
+        self.levels = [[]]
 
 
 def keyed_lines(docs: DataFrame, text: str, id_col: str) -> DataFrame:
@@ -93,17 +104,13 @@ def dropped_lines(docs: DataFrame, text: str = "text", id_col: str = "doc_id", b
     for b in range(len(cuts) + 1):
         own = lines.where(F.col("_batch") == b)
         seen = own.groupBy(*HASH).agg(F.min("_id").alias("_min"), F.max("_id").alias("_max"))
-        known = runs.known()
-        if known is None:
-            told = seen.withColumn("_old", F.lit(None).cast("long"))
-        else:
-            told = seen.join(known.withColumnRenamed("_first", "_old"), HASH, "left")
-        told = staged(told, "batch")  # so that the join below shuffles both sides and a hot line can be split
+        told = staged(runs.merged(seen), "batch")  # so that the join below shuffles both sides and a hot line can be split
         if b < len(cuts):
             runs.add(told.where(F.col("_old").isNull()).select(*HASH, F.col("_min").alias("_first")))
         first = told.select(*HASH, F.coalesce("_old", "_min").alias("_first"), "_max").where(F.col("_max") > F.col("_first"))
         hit = own.join(first.select(*HASH, "_first"), HASH).where(F.col("_id") > F.col("_first")).select("_id", "_row", "_pos")
         out = hit if out is None else out.unionByName(hit)
+    runs.close()
     return out.groupBy("_id", "_row").agg(F.collect_set("_pos").alias("_drop"))
 
 

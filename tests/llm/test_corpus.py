@@ -12,6 +12,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import compare  # noqa: E402
@@ -366,6 +367,23 @@ def test_line_dedup_is_native(docs):
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "CartesianProduct"))
 
 
+def test_line_runs_merge_as_they_lie(spark):
+    """Two runs meet a batch by merge joins: the batch is shuffled and sorted once, the runs never."""
+    runs = linededup.LineRuns(spark)
+    rows = lambda a, b: spark.range(a, b).select(F.xxhash64("id").alias("_h"), F.hash("id").alias("_g"), F.col("id").alias("_first"))
+    runs.add(rows(0, 1000))
+    runs.add(rows(1000, 2000))
+    seen = rows(500, 3000).groupBy("_h", "_g").agg(F.min("_first").alias("_min"), F.max("_first").alias("_max"))
+    plan = runs.merged(seen)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and plan.count("Bucketed: true") == 2
+    runs.add(rows(2000, 2500))  # the third run of a level: all three become one of the next
+    assert [len(level) for level in runs.levels] == [0, 1]
+    told = {r["_min"]: r["_old"] for r in runs.merged(seen).collect()}
+    assert told == {k: k if k < 2500 else None for k in range(500, 3000)}
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("line_run")]
+
+
 @pytest.mark.parametrize("block", [8192, 3])
 def test_simhash(spark, odd, block, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", block)
