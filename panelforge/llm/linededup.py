@@ -60,9 +60,8 @@ class LineRuns:
         for k, level in enumerate(self.levels):
             if len(level) < FANOUT:
                 break
-            rows = level[0]
-            for r in level[1:]:
-                rows = rows.unionByName(r)
+            # plain files, not tables: a union of tables passes for dealt already and would leave several files a bucket
+            rows = self.spark.read.schema(level[0].schema).parquet(*[r.staged_at for r in level])
             self.levels[k] = []
             if k + 1 == len(self.levels):
                 self.levels.append([])

@@ -378,6 +378,9 @@ def test_line_runs_merge_as_they_lie(spark):
     assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and plan.count("Bucketed: true") == 2
     runs.add(rows(2000, 2500))  # the third run of a level: all three become one of the next
     assert [len(level) for level in runs.levels] == [0, 1]
+    assert len(runs.levels[1][0].inputFiles()) == runs.buckets
+    plan = runs.merged(seen)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 1 and plan.count("Exchange") == 1 and plan.count("Sort [") == 1
     told = {r["_min"]: r["_old"] for r in runs.merged(seen).collect()}
     assert told == {k: k if k < 2500 else None for k in range(500, 3000)}
     runs.close()
