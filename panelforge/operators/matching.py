@@ -32,24 +32,38 @@ def record_features(df: DataFrame, dataset: str, record_id: Column, facility: Co
     return out.withColumn("block_tokens", F.array_union(blocks, "contingency_tokens") if with_contingency_tokens else blocks)
 
 
+def _signed(rows: DataFrame, *keep: str) -> DataFrame:
+    """Record ids with the two things that blocking looks at, and a text that names both."""
+    tokens = F.array_sort(F.coalesce("block_tokens", F.array().cast("array<string>")))
+    sign = F.concat_ws("\x1f", F.array_join(tokens, " "), F.col("voltage").cast("string"))
+    return rows.select(*keep, F.col("record_id").alias("id"), tokens.alias("tokens"), "voltage", sign.alias("sign"))
+
+
 def block_candidates(left: DataFrame, right: DataFrame, most: int = SCORED) -> DataFrame:
-    """(left_id, dataset, right_id, overlap): the right rows sharing most tokens, one more for an equal voltage.
+    """(left_id, dataset, right_id, overlap, block_rank): the right rows sharing most tokens, one more for an equal voltage.
 
-    An equi-join on exploded tokens, counted per pair, with the count pushed before the ranking; ties at
-    the cut go to the smaller right id. A voltage alone makes a candidate, too: of those only the ``most``
-    smallest ids of a source and voltage can be within the cut, since each of them counts at least as much.
+    Ties at the cut go to the smaller right id. Rows alike in tokens and voltage share a signature; the
+    work is done once a signature: an equi-join on exploded tokens, counted per pair of signatures. Of a
+    right signature only the ``most`` smallest ids can be within the cut, and none where signatures of a
+    larger overlap fill it. A voltage alone makes a candidate, too: of those only the ``most`` smallest
+    ids of a source and voltage can be within the cut, since each of them counts at least as much.
     """
-    lt = left.select(F.col("record_id").alias("left_id"), F.explode("block_tokens").alias("token"))
-    rt = right.select("dataset", F.col("record_id").alias("right_id"), F.explode("block_tokens").alias("token"))
-    by_token = lt.join(rt, "token").groupBy("left_id", "dataset", "right_id").agg(F.count("*").alias("n"))
-    lv = left.where(F.col("voltage").isNotNull()).select(F.col("record_id").alias("left_id"), "voltage")
-    rv = right.where(F.col("voltage").isNotNull()).select("dataset", F.col("record_id").alias("right_id"), F.col("voltage").alias("rv"))
-    first = top_k(rv, ["dataset", "rv"], ["right_id"], most, "_n").select("dataset", "right_id", F.col("rv").alias("voltage"))
-    by_voltage = lv.join(first, "voltage").select("left_id", "dataset", "right_id", F.lit(0).cast("long").alias("n"))
-    pairs = by_token.unionByName(by_voltage).groupBy("left_id", "dataset", "right_id").agg(F.max("n").alias("n"))
-    pairs = pairs.join(lv, "left_id", "left").join(rv, ["dataset", "right_id"], "left")
-    pairs = pairs.withColumn("overlap", F.col("n") + F.coalesce((F.col("voltage") == F.col("rv")).cast("long"), F.lit(0)))
-    return top_k(pairs.select("left_id", "dataset", "right_id", "overlap"), ["left_id", "dataset"], [F.desc("overlap"), "right_id"], most, "block_rank")
+    l = _signed(left)  # noqa: E741
+    r = _signed(right, "dataset")
+    ls = l.groupBy("sign").agg(F.first("tokens").alias("tokens"), F.first("voltage").alias("lv"))
+    rs = r.groupBy("dataset", "sign").agg(F.first("tokens").alias("tokens"), F.first("voltage").alias("rv"), F.count("*").alias("size")).withColumnRenamed("sign", "other")
+    ids = top_k(r.select("dataset", F.col("sign").alias("other"), F.col("id").alias("right_id")), ["dataset", "other"], ["right_id"], most, "_n").drop("_n")
+    lt, rt = ls.select("sign", F.explode("tokens").alias("token")), rs.select("dataset", "other", F.explode("tokens").alias("token"))
+    by_token = lt.join(rt, "token").groupBy("sign", "dataset", "other").agg(F.count("*").alias("n"))
+    smallest = top_k(r.where(F.col("voltage").isNotNull()), ["dataset", "voltage"], ["id"], most, "_n").select("dataset", F.col("sign").alias("other"), "voltage").distinct()
+    by_voltage = ls.where(F.col("lv").isNotNull()).join(smallest, F.col("lv") == F.col("voltage")).select("sign", "dataset", "other", F.lit(0).cast("long").alias("n"))
+    pairs = by_token.unionByName(by_voltage).groupBy("sign", "dataset", "other").agg(F.max("n").alias("n"))
+    pairs = pairs.join(ls.select("sign", "lv"), "sign").join(rs.select("dataset", "other", "rv", "size"), ["dataset", "other"])
+    pairs = pairs.withColumn("overlap", F.col("n") + F.coalesce((F.col("lv") == F.col("rv")).cast("long"), F.lit(0)))
+    above = W.partitionBy("sign", "dataset").orderBy(-F.col("overlap")).rangeBetween(W.unboundedPreceding, -1)
+    pairs = pairs.withColumn("above", F.coalesce(F.sum("size").over(above), F.lit(0))).where(F.col("above") < most).select("sign", "dataset", "other", "overlap")
+    best = top_k(pairs.join(ids, ["dataset", "other"]).drop("other"), ["sign", "dataset"], [F.desc("overlap"), "right_id"], most, "block_rank")
+    return l.select("sign", F.col("id").alias("left_id")).join(best, "sign").select("left_id", "dataset", "right_id", "overlap", "block_rank")
 
 
 def score_pairs(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:

@@ -37,9 +37,9 @@ def parts(s: SparkSession, d: str) -> DataFrame:
 
 
 def records(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """(reference records, candidate records): a stated query set, every 20th part, against all parts of two other styles."""
+    """(reference records, candidate records): all parts of one style against all parts of two others."""
     p = _t(s, d, "part")
-    ref = M.record_features(p.where(F.col("p_partkey") % 20 == 0), "market", F.col("p_partkey"), styles()["market"], F.col("p_type"), F.col("p_brand"))
+    ref = M.record_features(p, "market", F.col("p_partkey"), styles()["market"], F.col("p_type"), F.col("p_brand"))
     pano = M.record_features(p, "pano", F.col("p_partkey"), styles()["pano"], F.col("p_type"), F.col("p_brand"), True)
     day = M.record_features(p, "dayzer", F.col("p_partkey"), styles()["dayzer"])
     return ref, pano.unionByName(day)
@@ -347,7 +347,7 @@ NODES_SQL = "n AS (SELECT s_suppkey AS id, ([69, 138, 345, 500])[s_nationkey % 4
 HAV = lambda a, o, b, p: f"2 * 6371.0088 * asin(sqrt(least(1.0, power(sin((radians({b}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({b})) * power(sin((radians({p}) - radians({o})) / 2), 2))))"
 DIST = f"{NODES_SQL}, dist AS (SELECT l.id AS left_id, r.id AS right_id, {HAV('l.lat', 'l.lon', 'r.lat + 0.01', 'r.lon + 0.01')} AS km FROM n l CROSS JOIN n r WHERE l.id % 17 <> 0)"
 EDGE = "e AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b USING (l_orderkey) WHERE a.l_linenumber % 2 = 1 AND b.l_linenumber % 2 = 1 AND a.l_suppkey <> b.l_suppkey)"
-REC = f"""ref AS (SELECT p_partkey AS id, {NORM(STYLE_SQL['market'])} AS f, {NORM('p_type')} AS c, {VOLT(NORM(STYLE_SQL['market'] + " || ' ' || p_type"))} AS v, {TOKS(NORM('p_brand'))} AS zb, list_transform(regexp_extract_all({STYLE_SQL['market']}, '\\b[A-Z]{{2,}}\\b'), lambda x: lower(x)) AS zc FROM part WHERE p_partkey % 20 = 0),
+REC = f"""ref AS (SELECT p_partkey AS id, {NORM(STYLE_SQL['market'])} AS f, {NORM('p_type')} AS c, {VOLT(NORM(STYLE_SQL['market'] + " || ' ' || p_type"))} AS v, {TOKS(NORM('p_brand'))} AS zb, list_transform(regexp_extract_all({STYLE_SQL['market']}, '\\b[A-Z]{{2,}}\\b'), lambda x: lower(x)) AS zc FROM part),
 cand AS (SELECT 'pano' AS dataset, p_partkey AS id, {NORM(STYLE_SQL['pano'])} AS f, {NORM('p_type')} AS c, {VOLT(NORM(STYLE_SQL['pano'] + " || ' ' || p_type"))} AS v, {TOKS(NORM('p_brand'))} AS zb, list_transform(regexp_extract_all({STYLE_SQL['pano']}, '\\b[A-Z]{{2,}}\\b'), lambda x: lower(x)) AS zc FROM part
  UNION ALL SELECT 'dayzer', p_partkey, {NORM(STYLE_SQL['dayzer'])}, '', {VOLT(NORM(STYLE_SQL['dayzer']))}, []::VARCHAR[], list_transform(regexp_extract_all({STYLE_SQL['dayzer']}, '\\b[A-Z]{{2,}}\\b'), lambda x: lower(x)) FROM part),
 lf AS (SELECT id, v, {TOKS('f')} AS ft, {TOKS('c')} AS ct, list_distinct(list_concat(zb, zc)) AS z FROM ref),
@@ -381,7 +381,7 @@ SQL: dict[str, str] = {
     "review_queue": f"WITH {RANKED}, b AS (SELECT *, best < 0.75::DOUBLE OR best - second < 0.05::DOUBLE AS amb FROM fl WHERE rank = 1), a AS (SELECT * FROM b WHERE NOT amb AND v2 >= 0.85::DOUBLE ORDER BY md5('42|' || left_id || '|' || dataset), left_id, dataset LIMIT 100) SELECT left_id, dataset, right_id, 'flagged' AS reason, NULL::INTEGER AS manual_label, '' AS review_notes FROM b WHERE amb UNION ALL SELECT left_id, dataset, right_id, 'audit', NULL, '' FROM a",
     "final_matches": f"WITH {RANKED} SELECT left_id, source, right_id, round(score, 6) AS score, right_id IS NOT NULL AS accepted, CASE WHEN right_id IS NULL THEN 'low' WHEN score >= 0.85::DOUBLE THEN 'high' WHEN score >= 0.7::DOUBLE THEN 'medium' ELSE 'low' END AS label FROM fin",
     "wide_matches": f"WITH {RANKED} SELECT left_id, max(right_id) FILTER (source = 'pano') AS pano_right_id, round(max(score) FILTER (source = 'pano'), 6) AS pano_score, max(right_id) FILTER (source = 'dayzer') AS dayzer_right_id, round(max(score) FILTER (source = 'dayzer'), 6) AS dayzer_score FROM fin GROUP BY left_id",
-    "final_validation": "WITH n AS (SELECT count(*) * 2 AS k FROM part WHERE p_partkey % 20 = 0) SELECT 'rows' AS \"check\", k AS found, k AS expected FROM n UNION ALL SELECT 'accepted_below', 0, 0 UNION ALL SELECT 'no_reference', 0, 0",
+    "final_validation": "WITH n AS (SELECT count(*) * 2 AS k FROM part) SELECT 'rows' AS \"check\", k AS found, k AS expected FROM n UNION ALL SELECT 'accepted_below', 0, 0 UNION ALL SELECT 'no_reference', 0, 0",
     "completeness_grid": "SELECT c_custkey, g.source, n FROM (SELECT c_custkey, unnest(['F', 'O', 'P']) AS source FROM customer) g LEFT JOIN (SELECT o_custkey, o_orderstatus, count(*) AS n FROM orders GROUP BY ALL) o ON o_custkey = c_custkey AND o_orderstatus = g.source",
     "missing_rows": "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 <> 0)",
     "label_status": "SELECT doc_id, l.m AS manual_label, CASE WHEN m IS NULL THEN 'unreviewed' WHEN m = 1 THEN 'confirmed' WHEN m = 0 THEN 'rejected' ELSE 'unsure' END AS review_status FROM documents LEFT JOIN (SELECT doc_id, CASE WHEN toxic = 1 THEN -1 ELSE quality END AS m FROM labels) l USING (doc_id)",

@@ -291,6 +291,22 @@ def test_voltage_alone_makes_a_candidate(spark):
     assert got == [(9, 2), (3, 1), (5, 1)]
 
 
+def test_blocking_by_signature_loses_nothing(spark):
+    """Many rows of few signatures, ties at the cut, empty and null tokens: the same as comparing every pair."""
+    pick = lambda k, m: [w for b, w in enumerate("abcde") if (k * 2654435761 >> (7 + b)) % m == 0]
+    volt = [69, 138, None]
+    left = [("m", k, pick(k, 2), volt[k % 3]) for k in range(40)] + [("m", 90, None, 69), ("m", 91, [], None)]
+    right = [("pq"[k % 2], k, pick(k + 7, 3), volt[k % 5 % 3]) for k in range(300)] + [("p", 400, ["q"], None), ("q", 401, None, 138)]
+    table = lambda rows: spark.createDataFrame(rows, "dataset string, record_id long, block_tokens array<string>, voltage int")
+    for most in (1, 4, 30):
+        want = set()
+        for _, i, t, v in left:
+            for source in "pq":
+                near = [(-(len(set(t or []) & set(u or [])) + (v is not None and v == w)), j) for d, j, u, w in right if d == source]
+                want |= {(i, source, j, -n, k + 1) for k, (n, j) in enumerate(sorted(x for x in near if x[0])[:most])}
+        assert {tuple(r) for r in M.block_candidates(table(left), table(right), most).collect()} == want
+
+
 def test_fallback_fills_up_exactly(spark):
     """Left rows without coordinates against all right rows, few of which share a token."""
     kv = [69.0, 138.0, 345.0, None]
