@@ -45,11 +45,13 @@ def first_rows(df: DataFrame, keys: list[str], order: list[Column | str]) -> Dat
     return top_k(df, keys, order, 1, "_rank").drop("_rank")
 
 
-def first_known(df: DataFrame, keys: list[str], order: list[Column | str], columns: list[str]) -> DataFrame:
-    """The first non-null value of each column by key, which may come from several rows."""
-    w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    marked = df.select(*keys, *[F.first(c, True).over(w).alias(c) for c in columns])
-    return marked.distinct()
+def first_known(df: DataFrame, keys: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """The first non-null value of each column by key, which may come from several rows.
+
+    An aggregate that combines before the shuffle, so that a large group never meets in one task. Nulls of
+    the order come first.
+    """
+    return df.groupBy(*keys).agg(*[F.min_by(c, F.when(F.col(c).isNotNull(), F.struct(*order))).alias(c) for c in columns])
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column | str], k: int, rank: str = "rank") -> DataFrame:

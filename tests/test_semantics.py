@@ -378,3 +378,39 @@ def test_models_by_name_and_importances(spark):
         assert ml.classifier_metrics(scored, "z").first()["auc"] > 0.95
     folds = ml.cross_validate(rows, ["a", "b"], "id", "z", 3)
     assert len(folds) == 3 and all(f["accuracy"] > 0.8 for f in folds)
+
+
+def test_mapping_commands(spark, tmp_path):
+    """The three commands over files: two drawings of one ring of nodes, the right one renamed and shifted a little."""
+    from panelforge.plans import mapping
+
+    def csv(name, header, rows):
+        (tmp_path / name).write_text("\n".join([header, *(",".join(map(str, r)) for r in rows)]) + "\n")
+        return str(tmp_path / name)
+
+    n, kv, out = 24, [69, 138, 345], str(tmp_path / "out")
+    at = lambda k: (30 + k * 0.3, -90 + (k % 5) * 0.3)
+    files = {
+        "left_nodes": csv("ln.csv", "MDB_ID,NAME,BASKV,LAT,LON", [(k, f"Alder{k} Creek", kv[k % 3], *at(k)) for k in range(n)]),
+        "right_nodes": csv("rn.csv", "PANO_ID,NAME,BASKV,LATITUDE,LONGITUDE", [(k, f"ALDER{k}_CREEK", kv[k % 3], at(k)[0] + 0.001, at(k)[1]) for k in range(n)]),
+        "left_branches": csv("lb.csv", "FROM_BUS,TO_BUS,CKT", [(f"Alder{k} Creek", f"Alder{(k + 1) % n} Creek", 1) for k in range(n)]),
+        "right_branches": csv("rb.csv", "FROM_BUS_NAME,TO_BUS_NAME", [(f"alder{k} creek", f"ALDER{(k + 1) % n}_CREEK") for k in range(n)] + [("nowhere", "ALDER1_CREEK")]),
+    }
+    args = [x for k, v in files.items() for x in (f"--{k.replace('_', '-')}", v)]
+    mapping.main(["mapping", *args, "--out", out, "--radius-km", "15", "--top-k", "4"])
+    final = spark.read.parquet(f"{out}/final").collect()
+    assert len(final) == n and all(r["right_id"] == r["left_id"] for r in final)
+    assert spark.read.parquet(f"{out}/right_edges").count() == 2 * n
+    mapping.main(["diagnostics", "--out", out])
+    assert {r["variant"][0] for r in spark.read.parquet(f"{out}/ablation").collect()} == set("ABCDE")
+    sample = spark.read.parquet(f"{out}/review_samples").select("left_id", "stratum", "label").collect()
+    folder = tmp_path / "back"
+    folder.mkdir()
+    (folder / "bus_mapping_manual_reveiwed_extended.csv").write_text("left_id,stratum,label,manual_label\n" + "\n".join(f"{r['left_id']},{r['stratum']},{r['label']},{k % 2 if k else ''}" for k, r in enumerate(sample)) + "\n")
+    mapping.main(["review", "--out", out, "--reviewed", str(folder)])
+    whole = spark.read.parquet(f"{out}/precision").first()
+    marks = [k % 2 for k in range(len(sample)) if k]
+    assert (whole["rows"], whole["scored"]) == (len(sample), len(marks)) and whole["precision"] == pytest.approx(sum(marks) / len(marks))
+    other = str(tmp_path / "other")
+    mapping.main(["mapping", *args, "--out", other, "--no-propagation"])
+    assert spark.read.parquet(f"{other}/baseline").count() == n and not (tmp_path / "other" / "final").exists()
