@@ -612,3 +612,13 @@ def test_shards_of_many_copies(spark):
     split = (got.groupby(["text_crc32", "size"]).shard.nunique() > 1).sum()
     assert len(got) == len(rows) and size.max() < 1.06 * size.mean()
     assert split <= 20, split
+
+
+def test_near_copy_candidates_grow_with_the_rows(spark):
+    """Nodes of one bucket meet its two ends only; pairs of 0.8 share a key of their bands."""
+    got = nearcopies.candidates(spark.createDataFrame([(k, [7, 100 + k]) for k in range(1000)], "node long, keys array<long>"))
+    assert {(r["a"], r["b"]) for r in got.collect()} == {(0, k) for k in range(1, 1000)} | {(k, 999) for k in range(999)}
+    rng = np.random.default_rng(3)
+    pairs = [rng.integers(0, 2**64, (270, ), np.uint64) for _ in range(400)]
+    met = [bool(set(nearcopies.band_keys(g[:240])) & set(nearcopies.band_keys(np.r_[g[:216], g[240:]]))) for g in pairs]  # 216 of 270
+    assert sum(met) >= 398 and nearcopies.band_keys(np.empty(0, np.uint64)) == []
