@@ -118,14 +118,19 @@ def class_weights(rows: DataFrame, label: str) -> DataFrame:
 
 def fit_classifier(rows: DataFrame, features: list[str], label: str, kind: str = "logistic") -> PipelineModel:
     """Balanced, scaled logistic regression (C = 1, L2) or a forest of 300 trees."""
-    rows = class_weights(rows.dropna("any", subset=features), label).withColumn(label, F.col(label).cast("double"))
-    stages = [VectorAssembler(inputCols=features, outputCol="raw_features")]
-    if kind == "logistic":
-        stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
-        stages.append(LogisticRegression(labelCol=label, weightCol="weight", regParam=1.0 / max(1, rows.count()), elasticNetParam=0.0, standardization=False))
-    else:
-        stages.append(RandomForestClassifier(featuresCol="raw_features", labelCol=label, weightCol="weight", numTrees=300, minInstancesPerNode=3, seed=SEED))
-    return Pipeline(stages=stages).fit(rows)
+    # computed once: the fit reads these rows again and again
+    known = rows.dropna("any", subset=features).select(*features, label).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows = class_weights(known, label).withColumn(label, F.col(label).cast("double"))
+        stages = [VectorAssembler(inputCols=features, outputCol="raw_features")]
+        if kind == "logistic":
+            stages.append(StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True))
+            stages.append(LogisticRegression(labelCol=label, weightCol="weight", regParam=1.0 / max(1, rows.count()), elasticNetParam=0.0, standardization=False))
+        else:
+            stages.append(RandomForestClassifier(featuresCol="raw_features", labelCol=label, weightCol="weight", numTrees=300, minInstancesPerNode=3, seed=SEED))
+        return Pipeline(stages=stages).fit(rows)
+    finally:
+        known.unpersist()
 
 
 def classify(model: PipelineModel, rows: DataFrame, features: list[str]) -> DataFrame:

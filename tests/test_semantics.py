@@ -427,3 +427,21 @@ def test_alike_references_are_scored_once(spark):
     assert first.count() == M.alike_rows(ref)[0].count() < ref.count() and members.count() == 2 * ref.count()
     found = M.for_members(M.block_candidates(first, cand, 5), members)
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, M.block_candidates(twice, cand, 5).collect()))
+
+
+def test_fits_of_classifiers_read_rows_once(spark):
+    """A fit computes its rows once, and labelled candidates are stored once scored."""
+    from panelforge.operators import ml
+    from panelforge.plans import ml_queries as MLQ
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def value(x):
+        seen.add(1)
+        return float(x % 7)
+
+    rows = spark.range(200).select(F.udf(value, "double").asNondeterministic()("id").alias("a"), (F.col("id") % 2).cast("int").alias("z"))
+    ml.fit_classifier(rows, ["a"], "z")
+    assert seen.value == 200
+    plan = MLQ._labelled(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "parquet" not in plan
