@@ -473,3 +473,28 @@ def test_fallback_over_common_names(spark, common):
     for k, t, kv in left:
         best = sorted(right, key=lambda r: (-(share(t, r[1]) + (0.25 if kv is not None and kv == r[2] else 0)), -r[0]))
         assert got[k] == [r[0] for r in best[:6]], k
+
+
+def test_nodes_alike_are_compared_once(spark):
+    """Copies of nodes under other ids make no more comparisons, and each pair has the features of its own nodes."""
+    nodes = spark.range(60).select("id", F.concat(F.lit("n "), (F.col("id") % 3).cast("string")).alias("norm"), F.when(F.col("id") % 3 > 0, 69.0 + F.col("id") % 3).alias("kv"))
+    nodes = nodes.withColumns({"tokens": X.name_tokens("norm"), "numbers": X.numeric_tokens("norm")})
+    pairs = nodes.select(F.col("id").alias("left_id")).crossJoin(nodes.select(F.col("id").alias("right_id"))).withColumns({"distance_km": F.lit(1.0), "distance_rank": F.lit(1)})
+    compared, ratio = spark.sparkContext.accumulator(0), S.fuzzy_ratio
+
+    def counted(a, b):
+        def same(x, y):
+            compared.add(1)
+            return float(x == y)
+
+        return F.udf(same, "double").asNondeterministic()(a, b)
+
+    S.fuzzy_ratio = counted
+    try:
+        got = GR.attribute_features(pairs, nodes, nodes).collect()
+    finally:
+        S.fuzzy_ratio = ratio
+    assert len(got) == 3600 and compared.value == 9
+    for r in got:
+        a, b = r["left_id"] % 3, r["right_id"] % 3
+        assert (r["fuzzy"], r["numeric_jaccard"], r["voltage_score"]) == (float(a == b), float(a == b), 0.25 if not a * b else 1.0 if a == b else 0.65)
