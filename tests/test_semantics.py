@@ -498,3 +498,43 @@ def test_nodes_alike_are_compared_once(spark):
     for r in got:
         a, b = r["left_id"] % 3, r["right_id"] % 3
         assert (r["fuzzy"], r["numeric_jaccard"], r["voltage_score"]) == (float(a == b), float(a == b), 0.25 if not a * b else 1.0 if a == b else 0.65)
+
+
+def test_leading_pairs_and_contenders(spark):
+    """The first two of each node by any score stay, in the ranks of all pairs; propagation over them alone gives the results of all pairs."""
+    import random
+
+    rng, n = random.Random(5), 40
+    left = [(a, b) for a in range(n) for b in rng.sample([k for k in range(n) if k != a], 19)] + [(a, a) for a in range(n)]
+    rows = [(a, b, rng.choice([1.0, 4.0, None]), 0, rng.choice([0.65, 1.0]), 0.9, rng.randint(0, 6) / 10, 0.9, 0.9 if a == b and a % 3 else rng.randint(10, 17) / 20, 0.0, False) for a, b in left]
+    pairs = spark.createDataFrame(rows, "left_id long, right_id long, distance_km double, fallback_rank int, voltage_score double, name_score double, topology_score double, distance_score double, composite double, kv_gap double, conflict boolean")
+    scores = {"composite": F.col("composite"), "t": F.col("topology_score")}
+    kept = GR.leading(pairs, scores)
+    assert kept.count() < pairs.count()
+    for name in scores:
+        first = lambda df: sorted(map(tuple, GR.ranked_pairs(df, name).where(F.col("rank") <= 2).select("left_id", "right_id", "rank", "gap").collect()))  # noqa: B023, E731
+        assert first(kept) == first(pairs)
+    edges = GR.simple_graph(spark.createDataFrame([(k, (k + s) % n) for k in range(n) for s in (1, 5)], "src long, dst long"))
+    near = {k: {(k + s) % n for s in (1, 5, -1, -5)} for k in range(n)}
+    accepted = spark.createDataFrame([(k, k, 0, "seed") for k in range(0, n, 3)], "left_id long, right_id long, round int, stage string")
+    best = {}
+    for a, b, km, _, volt, name, _, _, comp, _, _ in rows:
+        hits = sum(m in near[b] for m in near[a] if m % 3 == 0)
+        share = lambda k: hits / max(1, sum(m % 3 == 0 for m in near[k]))  # noqa: B023, E731
+        score = max(0.0, min(1.0, 0.72 * comp + 0.28 * (0.65 * share(a) + 0.35 * share(b)) + (0.1 if hits >= 2 else 0.05 * hits)))
+        best.setdefault(a, []).append((-round(score, 9), -volt, -name, km is None, km or 0, b, hits))
+    got = {r["left_id"]: r for r in GR.ranked_pairs(GR.contenders(pairs, accepted, edges, edges, GR._neighbourhoods(edges)).withColumn("spread_score", F.round("spread_score", 9)), "spread_score").where(F.col("rank") == 1).collect()}
+    for a, all_ in best.items():
+        want, second = sorted(all_)[:2]
+        assert (got[a]["right_id"], got[a]["support"]) == (want[5], want[6]) and got[a]["gap"] == pytest.approx(second[0] - want[0])
+
+
+def test_support_meets_only_pairs_that_may_have_it(spark):
+    """Pairs over two parts of a graph are not joined with neighbours: their number leaves the work as it is."""
+    edges = GR.simple_graph(spark.createDataFrame([(10 * c + a, 10 * c + b) for c in range(6) for a in range(10) for b in range(a)], "src long, dst long"))
+    ids = spark.range(60)
+    pairs = ids.select(F.col("id").alias("left_id")).crossJoin(ids.select(F.col("id").alias("right_id")))
+    accepted = ids.select(F.col("id").alias("left_id"), F.col("id").alias("right_id"))
+    some = GR._supported(pairs, accepted, edges, GR._neighbourhoods(edges)).collect()
+    assert len(some) == 600
+    assert all(r["left_id"] // 10 == r["right_id"] // 10 and r["support"] == (9 if r["left_id"] == r["right_id"] else 8) for r in some)
