@@ -508,7 +508,7 @@ def test_leading_pairs_and_contenders(spark):
     left = [(a, b) for a in range(n) for b in rng.sample([k for k in range(n) if k != a], 19)] + [(a, a) for a in range(n)]
     rows = [(a, b, rng.choice([1.0, 4.0, None]), 0, rng.choice([0.65, 1.0]), 0.9, rng.randint(0, 6) / 10, 0.9, 0.9 if a == b and a % 3 else rng.randint(10, 17) / 20, 0.0, False) for a, b in left]
     pairs = spark.createDataFrame(rows, "left_id long, right_id long, distance_km double, fallback_rank int, voltage_score double, name_score double, topology_score double, distance_score double, composite double, kv_gap double, conflict boolean")
-    scores = {"composite": F.col("composite"), "t": F.col("topology_score")}
+    scores = {n: F.col(n) for n in ("composite", "topology_score")}
     kept = GR.leading(pairs, scores)
     assert kept.count() < pairs.count()
     for name in scores:
