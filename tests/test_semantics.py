@@ -547,3 +547,31 @@ def test_support_meets_only_pairs_that_may_have_it(spark):
     some = GR._supported(pairs, accepted, edges, GR._neighbourhoods(edges)).collect()
     assert len(some) == 600
     assert all(r["left_id"] // 10 == r["right_id"] // 10 and r["support"] == (9 if r["left_id"] == r["right_id"] else 8) for r in some)
+
+
+def test_stored_pairs(spark):
+    """Pairs and edges are stored without what follows from other columns; their scores are those worked out pair by pair."""
+    from panelforge.plans import match_queries as MQ
+
+    d = "/root/testdata/sf0.001"
+    a, b = MQ.graphs(spark, d)
+    got = MQ.pair_table(spark, d, a, b)
+    relation = next(x for x in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation" in x)
+    assert "parquet" in relation and not [c for c in ("composite", "conflict", "distance_score") if c in relation]
+    assert all("parquet" in x._jdf.queryExecution().optimizedPlan().toString() for x in (a, b))
+    l, r = MQ.nodes(spark, d, False), MQ.nodes(spark, d, True)  # noqa: E741
+    pairs = G.spatial_candidates(l, r)
+    plain = GR.with_composite(GR.topology_features(GR.attribute_features(pairs, l, r), GR.fingerprints(a, l), GR.fingerprints(b, r)))
+    keys = ["left_id", "right_id", "distance_km", "kv_gap", "voltage_score", "name_score", "topology_score", "composite", "conflict"]
+    assert sorted(map(repr, got.select(keys).collect())) == sorted(map(repr, plain.select(keys).collect()))
+    grouped = G.spatial_candidates(l, r, ranks=False, grouped=True).select("left_id", F.explode("right_ids").alias("right_id"))
+    assert sorted(map(tuple, grouped.collect())) == sorted(map(tuple, pairs.select("left_id", "right_id").collect()))
+
+
+def test_contenders_sort_only_leading_pairs(spark):
+    """Pairs with support are taken out of the leading pairs, not out of all of them."""
+    pairs = spark.range(40).select((F.col("id") % 8).alias("left_id"), F.col("id").alias("right_id"), (F.col("id") / 40).alias("composite"))
+    edges = GR.simple_graph(spark.createDataFrame([(k, k + 1) for k in range(39)], "src long, dst long"))
+    accepted = spark.createDataFrame([(1, 1)], "left_id long, right_id long")
+    plan = GR.contenders(pairs, accepted, edges, edges, GR._neighbourhoods(edges))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Range" not in plan
